@@ -16,16 +16,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays.
-
-    Only the rows to drop are joined; of rows that repeat a doc_id and text, dropDuplicates leaves one."""
-    groups = exact_dedup.exact_groups(docs.select("doc_id", "text"))
-    kept = groups.where("kept").select("doc_id", "text_sha256")
-    keyed = docs.select(COLUMNS).withColumn("text_sha256", exact_dedup.digest(F.col("text")))
-    ids = ["doc_id", "text_sha256"]
-    matched = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_sha256") == F.col("k.text_sha256"))
-    left = keyed.alias("d").join(kept.alias("k"), matched, "left_semi")
-    return left.dropDuplicates(ids).select(COLUMNS)
+    """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays."""
+    return exact_dedup.exact_groups(docs.select(COLUMNS).withColumn("_kept", F.col("text"))).where("kept").withColumnRenamed("_kept", "text").select(COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
