@@ -86,7 +86,7 @@ def with_next(df: DataFrame, doc_id: str, carried: list[str], rows_per_cell: int
     d = F.col(doc_id)
     seg = common.interval_of(d, edges[1:])
     lo, width = F.get(F.array(*map(F.lit, edges)), seg), F.get(F.array(*(F.lit(float(b - a)) for a, b in zip(edges, ends))), seg)
-    cell = F.coalesce(seg * per + F.least(F.floor((d - lo) * per / width), F.lit(per - 1)), F.lit(-1)).cast("long")
+    cell = F.when(d.isNull(), F.lit(-1)).otherwise(seg * per + F.least(F.floor((d - lo) * per / width), F.lit(per - 1))).cast("long")
     columns = df.columns
     order = Window.partitionBy("_cell").orderBy(F.col(doc_id).desc_nulls_last(), F.xxhash64(*carried))
     celled = df.withColumn("_cell", cell)

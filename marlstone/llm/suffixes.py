@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, GRAM = 50, 25
-NONE = np.iinfo(np.int64).max  # a null doc_id: larger than all
+NONE = 2**63 - 1  # a null doc_id: larger than all
 LONGEST = 512  # strings in one stretch
 PIECE = 1 << 15
 #: Fixed: a perfect difference cover. Any two residues have a shift below 13 that brings both into it.
@@ -137,8 +137,7 @@ class Group:
     """Texts of one group with the key of each of their strings, and the stretches of equal keys."""
 
     def __init__(self, rows: pd.DataFrame):
-        ids = rows["doc_id"].fillna(NONE).astype("int64") if rows["doc_id"].isna().any() else rows["doc_id"].astype("int64")
-        least = ids.groupby(rows["digest"]).min()
+        least = rows["doc_id"].groupby(rows["digest"]).min()
         with_text = rows[rows["body"].notna()].drop_duplicates("digest").sort_values("digest")
         self.digest = with_text["digest"].tolist()
         self.doc = least[self.digest].to_numpy(dtype=np.int64) if self.digest else np.zeros(0, dtype=np.int64)
@@ -246,15 +245,14 @@ def texts(df: DataFrame, groups: int) -> DataFrame:
         least: dict[str, int] = {}
         for batch in batches:
             rows = []
-            for doc_id, missing, body in zip(batch["doc_id"], batch["doc_id"].isna(), batch["body"]):
-                own = NONE if missing else int(doc_id)
+            for own, body in zip(batch["doc_id"].tolist(), batch["body"]):
                 digest = hashlib.sha256(body).hexdigest()
                 if digest not in least or own < least[digest]:
-                    rows.append((int(digest[:12], 16) % groups, digest, None if missing else own, None if digest in least else bytes(body)))
+                    rows.append((int(digest[:12], 16) % groups, digest, own, None if digest in least else bytes(body)))
                     least[digest] = own
-            yield pd.DataFrame(rows, columns=["g", "digest", "doc_id", "body"]).astype({"g": "int64", "doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["g", "digest", "doc_id", "body"]).astype({"g": "int64", "doc_id": "int64"})
 
-    rows = df.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    rows = df.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     return rows.mapInPandas(run, "g long, digest string, doc_id long, body binary")
 
 

@@ -1,0 +1,316 @@
+"""Each operator against brute force on a small table with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+from marlstone.llm import common, exact_dedup, packing, personal, pieces, queries, secrets_scan, sharding, simhash, suffixes, toxicity
+
+sha = lambda b: hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def run(spark, name, folder):
+    return queries.QUERIES[name](spark, folder).collect()
+
+
+def counted(found):
+    return Counter(map(tuple, found))
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_table(spark, empty, name):
+    assert run(spark, name, empty) == []
+
+
+def test_sharding(spark, folder, rows):
+    got = run(spark, "op1_sharding", folder)
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 8, crc(t)) for d, t in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and set(slots) <= set(range(24))
+
+
+def test_sharding_balance(spark):
+    """A text with half of all rows is cut between its documents."""
+    from pyspark.sql import functions as F
+
+    text = F.when(F.col("id") % 2 == 0, F.lit("copy")).otherwise(F.concat(F.lit("t"), "id"))
+    table = common.saved(spark.range(20000).select("id", sharding.content_key(text, F.col("id")).alias("key"), (F.lit(10) + F.col("id") % 7).alias("size")))
+    sums = [r["s"] for r in sharding.histogram_shards(table, "key", "size", ["id"]).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sums) == 24 and max(sums) - min(sums) <= 0.002 * sum(sums) / 24 + 16
+
+
+def simple_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def linked(values, close):
+    root = {v: v for v in values}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in values:
+        for b in values:
+            if a < b and close(a, b):
+                root[find(a)] = find(b)
+    return {v: find(v) for v in values}
+
+
+def test_simhash(spark, folder, rows):
+    fps = [(d, simple_fingerprint(t)) for d, t in rows]
+    root = linked({f for _, f in fps}, lambda a, b: (a ^ b).bit_count() <= 3)
+    least = defaultdict(lambda: None)
+    for d, f in fps:
+        if d is not None and (least[root[f]] is None or d < least[root[f]]):
+            least[root[f]] = d
+    assert counted(run(spark, "op2_simhash", folder)) == Counter((d, f"{f:016x}", least[root[f]]) for d, f in fps)
+
+
+def test_simhash_hot_keys(spark):
+    """Chunks of a large key lose no link, and a group of near copies is one component."""
+    r = np.random.default_rng(1)
+    fps = np.unique(np.concatenate([r.integers(0, 2**62, 50), (1 << 40) ^ (1 << r.integers(0, 62, 80)) ^ (1 << r.integers(0, 62, 80))]))
+    nodes = spark.createDataFrame([(int(f), int(f)) for f in fps], "node long, fp0 long")
+    root = linked(set(fps.tolist()), lambda a, b: (a ^ b).bit_count() <= 3)
+    for largest in (20_000, 7):
+        found = linked(set(fps.tolist()), lambda a, b, e={tuple(sorted(x)) for x in simhash.links(nodes, simhash.CONTRACT, largest).collect()}: (a, b) in e)
+        same = lambda x: {frozenset(v for v in x if x[v] == k) for k in x.values()}
+        assert same(found) == same(root)
+
+
+def test_toxicity(spark, folder, rows):
+    got = run(spark, "op3_toxicity", folder)
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_toxicity_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = dict(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").collect())
+    got = [(r.predicted, labels[r.doc_id]) for r in run(spark, "op3_toxicity", folder) if r.held_out and r.doc_id in labels]
+    assert len(got) > 40 and sum(a == b for a, b in got) / len(got) >= 0.93
+
+
+def test_toxicity_gradients():
+    model = toxicity.train(["bad words here"] * 6 + ["good words there"] * 6, [1] * 6 + [0] * 6, steps=2)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    r = np.random.default_rng(0)
+    x, n, y = r.standard_normal((5, 3, 10)), np.array([5, 2, 4]), np.array([1.0, 0, 1])
+    loss = lambda: float(np.log1p(np.exp(-(2 * y - 1) * model.forward(x @ model.p["W"] + model.p["b"], n))).sum())
+    keep = {}
+    logit = model.forward(x @ model.p["W"] + model.p["b"], n, keep)
+    grads, _ = model.backward(x, n, keep, 1 / (1 + np.exp(-logit)) - y)
+    for name in ("W", "Uf", "Ub", "A", "v", "o"):
+        at = tuple(0 for _ in model.p[name].shape)
+        old = model.p[name][at]
+        model.p[name][at] = old + 1e-3
+        up = loss()
+        model.p[name][at] = old - 1e-3
+        down = loss()
+        model.p[name][at] = old
+        assert (up - down) / 2e-3 == pytest.approx(grads[name][at], rel=2e-2, abs=2e-3)
+
+
+def test_sentencepiece(spark, folder, rows):
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = [(d, model.encode(t or "")) for d, t in rows]
+    assert counted(run(spark, "op4_sentencepiece", folder)) == Counter((d, len(i), sha(",".join(map(str, i))), sha(model.decode(i))) for d, i in want)
+    coder = pieces.coder(public_tokenizers.path("piece_bpe_32k.model"))
+    for t in ["", " ", "  a  b ", "▁▁x", "<s> <0x0A>", "日本語テキスト" * 50, "aaaaaaa" * 30, "x\r\n\ty\x00"]:
+        assert coder.encode(t) == model.encode(t) and coder.decode(model.encode(t)) == model.decode(model.encode(t))
+
+
+def test_exact_dedup(spark, folder, rows):
+    got = run(spark, "op5_exact_dedup", folder)
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[(t or "").translate(LOWER)].append(d)
+    top = {t: max((d for d in ids if d is not None), default=None) for t, ids in groups.items()}
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == Counter((d, top[k], len(groups[k]), sha(k)) for d, k in ((d, (t or "").translate(LOWER)) for d, t in rows))
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(sha(t) for t in groups)
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
+def test_exact_dedup_heavy(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("t"), (F.col("id") % 4000).cast("string"))).alias("text"))
+    got = {r.text_sha256: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(df).collect()}
+    assert got[sha("hot")] == (8997, 3000) and sum(n for _, n in got.values()) == 9000
+
+
+def kind_spans(found):
+    return sorted(found, key=lambda s: (s[0], s[1]))
+
+
+def secret_base(text):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return kind_spans(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16])
+
+
+def test_secret_scan(spark, folder, rows):
+    got = run(spark, "op6_secret_scan", folder)
+    want = Counter()
+    for d, t in rows:
+        spans = secret_base(t or "")
+        listed = ",".join(f"{secrets_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        want[(d, *(sum(s[1] == k for s in spans) for k in range(3)), sha(listed))] += 1
+    assert Counter(tuple(r)[:5] for r in got) == want
+    spans = {r.doc_id: r.spans for r in got}
+    ids = {t: d for d, t in rows if t}
+    both = spans[ids["login: admin99 password=hunter22 https://db.example.com/x"]]
+    assert {s.split(":")[0] for s in both.split(",")} == {"weak_id", "weak_secret", "endpoint"}
+    assert spans[ids["password=hunter22"]] == ""
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "a token=abcdefghijklmnop b"), (2, "clean é text"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets_scan.redacted(df).collect()} == {1: "a [SECRET] b", 2: "clean é text", 3: None}
+
+
+def test_personal_data(spark, folder, rows):
+    got = run(spark, "op7_personal_data", folder)
+    want = Counter()
+    for d, t in rows:
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in personal.EMAIL.finditer(t)]
+        spans += [(m.start(), 1, m.end()) for m in personal.IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+        digits = lambda m: re.sub(r"\D", "", m[0])
+        spans += [(m.start(), 2, m.end()) for m in personal.CARD.finditer(t) if 12 <= len(digits(m)) <= 19 and personal.luhn(digits(m))]
+        spans += [(m.start(), 3, m.end()) for m in personal.PHONE.finditer(t) if 9 <= len(digits(m)) <= 15]
+        spans = kind_spans(spans)
+        want[(d, *(sum(s[1] == k for s in spans) for k in range(4)), sha(",".join(f"{personal.KINDS[k]}:{a}:{b}" for a, k, b in spans)))] += 1
+    assert Counter(tuple(r)[:6] for r in got) == want
+
+
+def test_personal_bootstrap(spark):
+    """Mail addresses follow a phrase; an identifier of another form after the same phrase is found, others aren't."""
+    texts = [f"please write to: user{i}@mail{i}.example.com today" for i in range(12)] + ["please write to: user77@intranet today", "see room number AB12345 today"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [s for s in r.spans if s.ord == 4] for r in personal.personal_spans(df).collect()}
+    assert [(s.start, s.end) for s in spans[12]] == [(17, 32)] and not spans[13] and not spans[0]
+
+
+def test_fingerprints(spark, folder, rows):
+    got = run(spark, "op8_fingerprints", folder)
+    order = [(d, t or "") for d, t in rows if d is not None]
+    order.sort(key=lambda x: -x[0])
+    by_id = defaultdict(list)
+    for r in got:
+        by_id[r.doc_id].append(r)
+    assert len(got) == len(rows) and all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
+    for (d, t), (_, following) in zip(order, order[1:]):
+        k = len(t) // 3
+        edited = t[: len(t) - k] + following[:k]
+        # of a row that is there twice, one copy is followed by the other
+        assert sha(edited) in [r.edited_sha256 for r in by_id[d]]
+    same = defaultdict(set)
+    for d, t in order:
+        same[t].add(by_id[d][0].fingerprint)
+    assert all(len(x) == 1 for x in same.values())
+
+
+def test_fingerprint_accuracy(spark):
+    from marlstone.llm import fingerprints
+
+    folder = "/root/testdata/sf0.001"
+    docs = sorted(((r.doc_id, r.text) for r in common.documents(spark, folder).collect()), reverse=True)
+    shingles = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})(t.lower().split())
+    near, errors = {r.doc_id: r.near_edited for r in fingerprints.op8_fingerprints(spark, folder).collect()}, []
+    for (d, t), (_, f) in zip(docs, docs[1:]):
+        k = len(t) // 3
+        a, b = shingles(t), shingles(t[: len(t) - k] + f[:k])
+        errors.append(near[d] - len(a & b) / len(a | b))
+    assert abs(np.mean(errors)) < 0.015 and np.sqrt(np.mean(np.square(errors))) < 0.06
+
+
+def brute_repeats(rows):
+    first = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            s = b[i : i + 50]
+            first[s] = min(first.get(s, suffixes.NONE), suffixes.NONE if d is None else d)
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < (suffixes.NONE if d is None else d):
+                gone[i : i + 50] = b"\1" * 50
+        spans = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
+        yield d, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))
+
+
+def test_repeated_passages(spark, folder, rows):
+    assert counted(run(spark, "op9_repeated_passages", folder)) == Counter(brute_repeats(rows))
+
+
+def test_repeated_passages_many_groups(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert counted(suffixes.without_repeats(df, group_bytes=3000).collect()) == Counter(brute_repeats(rows))
+
+
+def test_sorted_suffixes():
+    r = np.random.default_rng(2)
+    data = bytes(r.integers(97, 99, 400).astype(np.uint8)) * 3
+    starts = np.arange(len(data) - 49)
+    order, same = suffixes.sorted_suffixes(data, starts)
+    heads = [data[i : i + 50] for i in starts[order]]
+    assert heads == sorted(heads) and same.tolist() == [False, *(a == b for a, b in zip(heads, heads[1:]))]
+
+
+def test_packing(spark, folder, rows):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    got = run(spark, "op10_packing", folder)
+    want = Counter()
+    for d, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        for i, at in enumerate(range(0, len(ids), 4096)):
+            want[(d, i, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], dtype="<u4").tobytes()))] += 1
+    assert Counter(tuple(r)[:5] for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for x in sequences.values():
+        at = 0
+        for offset, length in sorted(x):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(sequences) == -(-sum(r.length for r in got) // 4096)
+
+
+def test_packing_plan():
+    r = np.random.default_rng(4)
+    for lengths in (r.integers(1, 4097, 4000), r.lognormal(6, 1.2, 20000).astype(int).clip(1, 4096), np.full(5000, 1500), np.array([4096, 1, 2049, 2049])):
+        histogram = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True))}
+        made, used = packing.plan(histogram), Counter()
+        for pattern, times in made:
+            assert sum(pattern) <= 4096
+            for n in pattern:
+                used[n] += times
+        assert used == Counter(histogram)
+        alone = sum(c for n, c in histogram.items() if n > 2048)
+        assert sum(t for _, t in made) <= 1.02 * max(alone, -(-int(lengths.sum()) // 4096), len(lengths) / 2 if (lengths == 1500).all() else 0) + 1
