@@ -26,7 +26,7 @@ class WordEncoder:
 
     LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached

@@ -27,7 +27,7 @@ class PieceCoder:
 
     WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-    def __init__(self, model_file: str, cached: int = 250_000):
+    def __init__(self, model_file: str, cached: int = 150_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)

@@ -53,7 +53,7 @@ class Model:
     hidden: int = 8
     window: int = 64
     stride: int = 48
-    cached: int = 250_000
+    cached: int = 150_000
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
     _inputs: np.ndarray | None = field(default=None, repr=False)
 
