@@ -34,6 +34,12 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with the session's Arrow batches bounded, so that a worker never holds a whole partition of long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. For pure ASCII that is lower(), which is faster than translate()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

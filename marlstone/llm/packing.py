@@ -61,7 +61,7 @@ class WordEncoder:
             some = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at : at + 100]]
             if len(self.known) > self.cached:
                 self.known = {"": b""}
-            if len(self.runs) > 2 * self.cached:
+            if len(self.runs) > 3 * self.cached:
                 self.runs = {}
             new = set().union(*some).difference(self.known)
             if new:
@@ -92,7 +92,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(pieces, PIECE)
+    return common.small_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInPandas(pieces, PIECE)
 
 
 def best_configuration(price: np.ndarray, size: np.ndarray, capacity: int) -> list[int]:

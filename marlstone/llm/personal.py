@@ -104,7 +104,7 @@ def extracted(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             })
 
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"rid long, doc_id long, base array<{SPAN}>, hints array<{HINT}>")
+    return common.small_batches(rows).mapInPandas(run, f"rid long, doc_id long, base array<{SPAN}>, hints array<{HINT}>")
 
 
 def trusted(edges: DataFrame, rounds: int = 3, confidence: float = 0.6, seeds: int = 3) -> DataFrame:

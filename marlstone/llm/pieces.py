@@ -216,7 +216,7 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
             rows = [(d, n, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()) for d, (n, a, b) in zip(batch["doc_id"], coder(model_file).coded(batch["text"].tolist()))]
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, CODED)
+    return common.small_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInPandas(run, CODED)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def fingerprints(df: DataFrame, scheme: Scheme, doc_id: str = "doc_id", text: st
             fps = np.array([fingerprint(t, scheme) for t in batch["text"]], dtype=np.uint64).reshape(-1, scheme.longs).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), **{n: fps[:, k] for k, n in enumerate(names)}})
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return common.small_batches(df.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def keyed(nodes: DataFrame, scheme: Scheme) -> DataFrame:

@@ -309,7 +309,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
     narrow = docs.select(F.monotonically_increasing_id().alias("_row"), *kept, F.coalesce("text", F.lit("")).alias("_text"))
     schema = narrow.drop("_text").withColumn("_score", F.lit(0.0)).schema
-    return narrow.mapInPandas(run, schema).withColumnRenamed("_score", "score").drop("_row")
+    return common.small_batches(narrow).mapInPandas(run, schema).withColumnRenamed("_score", "score").drop("_row")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
