@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ class WordEncoder:
     LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
     def __init__(self, path: str, cached: int = 120_000):
+        # one thread: Spark runs a worker for each core
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
@@ -91,8 +95,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
                 rows += [(doc_id, i, at // 4, min(4 * capacity, len(raw) - at) // 4, zlib.crc32(raw[at : at + 4 * capacity])) for i, at in enumerate(range(0, len(raw), 4 * capacity))]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
+            del batch
+            pa.default_memory_pool().release_unused()
 
-    return common.small_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInPandas(pieces, PIECE)
+    return common.small_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 250).mapInPandas(pieces, PIECE)
 
 
 def best_configuration(price: np.ndarray, size: np.ndarray, capacity: int) -> list[int]:
