@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (columns a, b): root is the least node of its component.
 
     Each round writes its edges to the shared folder; the driver sees a count and a checksum. A node with very many
@@ -19,9 +19,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     at = common.saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = checksum(at)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = common.saved(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
