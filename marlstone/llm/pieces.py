@@ -60,6 +60,8 @@ class PieceCoder:
             for half in (key >> 22, key & 0x3FFFFF):
                 if half < n and self.rank[i] < self.rank[half]:
                     self.hasty[half] = True
+        # neighbours in some piece, packed: no merge ever crosses any other two characters
+        self.joined = np.unique(np.array([ord(a) << 21 | ord(b) for p in self.ids for a, b in zip(p, p[1:])], dtype=np.int64))
         self.known: dict[str, bytes] = {}  # the ids of a word, in decimal, joined by commas
         self.shown: dict[str, bytes] = {}  # what they decode to
         self.cached = cached
@@ -103,14 +105,23 @@ class PieceCoder:
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all words, flat, and each word's start.
 
-        Each round finds the least pair rank of every word, merges that pair wherever it stands in the word (leftmost
-        first where occurrences overlap; only the leftmost of a hasty piece), and closes the gaps. Words without a
-        pair left are set aside."""
+        Words are first cut between characters that no piece has side by side. Each round finds the least pair rank of
+        every part, merges that pair wherever it stands in the part (leftmost first where occurrences overlap; no further
+        than the first that makes a better pair, see late), and closes the gaps. Parts without a pair left are set
+        aside."""
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         chars, where = np.unique(flat, return_inverse=True)
         sym = np.array([self.symbol(chr(c)) for c in chars.tolist()], dtype=np.int64)[where]
-        word = np.repeat(np.arange(len(words)), lengths)
+        cut = np.zeros(len(flat), dtype=bool)
+        firsts = np.cumsum(lengths) - lengths
+        if len(flat):
+            side = flat[:-1] << 21 | flat[1:]
+            cut[1:] = self.joined[np.minimum(np.searchsorted(self.joined, side), len(self.joined) - 1)] != side
+            cut[firsts[lengths > 0]] = True
+        before = np.append(0, np.cumsum(cut))  # parts that start before a character
+        word = before[1:] - 1
+        parts = np.append(before[firsts], before[-1])
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
             piece = self._merges(sym[:-1], sym[1:])
@@ -130,8 +141,8 @@ class PieceCoder:
             new_run = np.append(True, np.diff(at) != 1)
             first = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
             at = at[(np.arange(len(at)) - first) % 2 == 0]
-            leftmost = np.append(True, word[at[1:]] != word[at[:-1]])
-            at = at[leftmost | ~self.hasty[piece[at]]]
+            if self.hasty[piece[at]].any():
+                at = at[~self.late(sym, word, piece, at)]
             sym[at] = piece[at]
             keep = np.ones(len(sym), dtype=bool)
             keep[at + 1] = False
@@ -141,7 +152,21 @@ class PieceCoder:
             sym, word = sym[keep], word[keep]
         word, sym = (np.concatenate(x) for x in zip(*done)) if done else (word, sym)
         order = np.argsort(word, kind="stable")
-        return sym[order], np.searchsorted(word[order], np.arange(len(words) + 1))
+        return sym[order], np.searchsorted(word[order], parts)
+
+    def late(self, sym: np.ndarray, word: np.ndarray, piece: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the merges at these places (ascending) come after one, in the same word, that makes a better pair
+        with a neighbour: on its left what the merges before it leave, on its right a symbol not yet merged."""
+        made = piece[at]
+        left, right = np.maximum(at - 1, 0), np.minimum(at + 2, len(sym) - 1)
+        beside = np.append(False, np.diff(at) == 2)
+        on_left = self._merges(np.where(beside, made, sym[left]), made)
+        on_right = self._merges(made, sym[right])
+        better = (self.rank[on_left] < self.rank[made]) & (at > 0) & (word[left] == word[at])
+        better |= (self.rank[on_right] < self.rank[made]) & (at + 2 < len(sym)) & (word[right] == word[at])
+        so_far = np.cumsum(better) - better
+        first = np.maximum.accumulate(np.where(np.append(True, word[at[1:]] != word[at[:-1]]), np.arange(len(at)), 0))
+        return so_far > so_far[first]
 
     def encode_words(self, words: list[str]) -> Iterator[list[int]]:
         sym, starts = self.merge(words)

@@ -1,6 +1,7 @@
 """Each operator against brute force on a small table with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -135,8 +136,12 @@ def test_sentencepiece(spark, folder, rows):
     want = [(d, model.encode(t or "")) for d, t in rows]
     assert counted(run(spark, "op4_sentencepiece", folder)) == Counter((d, len(i), sha(",".join(map(str, i))), sha(model.decode(i))) for d, i in want)
     coder = pieces.coder(public_tokenizers.path("piece_bpe_32k.model"))
-    for t in ["", " ", "  a  b ", "▁▁x", "<s> <0x0A>", "日本語テキスト" * 50, "aaaaaaa" * 30, "x\r\n\ty\x00"]:
+    for t in ["", " ", "  a  b ", "▁▁x", "<s> <0x0A>", "日本語テキスト" * 50, "aaaaaaa" * 30, "x\r\n\ty\x00", "thethinandhere" * 40]:
         assert coder.encode(t) == model.encode(t) and coder.decode(model.encode(t)) == model.decode(model.encode(t))
+    r = random.Random(5)
+    for letters in ["acgt", "etaoinshrdlu", "ABCDabcd0189+/", "the \u2581", "=-\n "]:
+        t = "".join(r.choice(letters) for _ in range(5000))
+        assert coder.encode(t) == model.encode(t)
 
 
 def test_exact_dedup(spark, folder, rows):
@@ -193,8 +198,8 @@ def test_personal_data(spark, folder, rows):
     want = Counter()
     for d, t in rows:
         t = t or ""
-        spans = [(m.start(), 0, m.end()) for m in personal.EMAIL.finditer(t)]
-        spans += [(m.start(), 1, m.end()) for m in personal.IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+        spans = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
         digits = lambda m: re.sub(r"\D", "", m[0])
         spans += [(m.start(), 2, m.end()) for m in personal.CARD.finditer(t) if 12 <= len(digits(m)) <= 19 and personal.luhn(digits(m))]
         spans += [(m.start(), 3, m.end()) for m in personal.PHONE.finditer(t) if 9 <= len(digits(m)) <= 15]
@@ -203,6 +208,16 @@ def test_personal_data(spark, folder, rows):
     assert Counter(tuple(r)[:6] for r in got) == want
 
 
+def test_personal_runs():
+    email, ip = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+    r = random.Random(7)
+    for _ in range(3000):
+        t = "".join(r.choice("a1@.-_ %2b") for _ in range(r.randint(0, 40)))
+        assert personal.emails(t) == [m.span() for m in re.finditer(email, t)]
+        assert [m.span() for m in personal.IP.finditer(t)] == [m.span() for m in re.finditer(ip, t)]
+    assert personal.base_spans("0" * 6000 + ".1.1.1 " + "a" * 500_000 + " x@y.com")[0] == (0, 1, 6006)
+
+
 def test_personal_bootstrap(spark):
     """Mail addresses follow a phrase; an identifier of another form after the same phrase is found, others aren't."""
     texts = [f"please write to: user{i}@mail{i}.example.com today" for i in range(12)] + ["please write to: user77@intranet today", "see room number AB12345 today"]
