@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import common, exact_dedup, packing, secrets_scan, simhash, toxicity
+from marlstone.llm import common, exact_dedup, jaccard, packing, secrets_scan, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,9 +21,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked as near copies (shingles of five words, similarity about 0.8 and more) the least doc_id stays."""
-    found = simhash.near_components(docs.select("doc_id", "text"), simhash.NEAR_COPIES)
-    dropped = found.where("doc_id <> component_id").select("doc_id")
+    """Of documents linked as near copies (sets of shingles of five words with a similarity of 0.8 and more) the least doc_id stays."""
+    rows = common.saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    found = jaccard.near_components(rows.select("row", "doc_id", "text"))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    dropped = found.join(least, "component").where("doc_id <> component_id").select("doc_id")
     return docs.select(COLUMNS).join(dropped, "doc_id", "left_anti").select(COLUMNS)
 
 

@@ -1,0 +1,142 @@
+"""Near copies by exact Jaccard similarity of shingle sets, found through prefixes: no pair at the bound is missed.
+
+In any one order of all shingles, two sets with a similarity of 0.8 share one of their first size - ceil(0.8 size) + 1
+shingles. The order here is that of the hashes, with common shingles last. Pairs that share a prefix shingle must then
+share enough of their prefixes, and what is left is compared in full, as sets of hashes of the two texts.
+
+A group of n near copies would make n * n pairs, so a first round compares each set with a few hubs only, and the second,
+complete one leaves out pairs which the first has connected already: components are the same."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import common, graph, simhash
+
+SHINGLE = 5
+HUBS = 4
+LONGS = 16
+
+
+def shingles(text: str) -> np.ndarray:
+    return np.unique(simhash.shingle_hashes(text, SHINGLE))
+
+
+def prefix(found: np.ndarray, common_ones: np.ndarray) -> np.ndarray:
+    """The first shingles in the common order: by hash, those of common_ones (sorted) after all others."""
+    n = len(found) - (4 * len(found) + 4) // 5 + 1 if len(found) else 0
+    if not len(common_ones):
+        return found[:n]
+    last = common_ones[np.minimum(np.searchsorted(common_ones, found), len(common_ones) - 1)] == found
+    return np.concatenate([found[~last], found[last]])[:n]
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """A bit for each of 1024 parts of the hashes: whether the set has an odd number there. Each shingle that only one
+    of two sets has flips one bit, so sets differ in at least as many shingles as bits."""
+    return np.packbits(np.bincount((found % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) % 2 == 1, bitorder="little").view(np.int64)
+
+
+def prefixes(df: DataFrame, common_ones: np.ndarray) -> DataFrame:
+    """row, node (a hash of the shingle set), size, prefix and parities of each row of df (columns row, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(t) for t in batch["text"]]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"row": batch["row"], "node": node, "size": [len(s) for s in sets], "prefix": [prefix(s, common_ones).view(np.int64) for s in sets], "parities": [parities(s) for s in sets]})
+
+    rows = df.select("row", F.coalesce("text", F.lit("")).alias("text"))
+    return common.small_batches(rows).mapInPandas(run, "row long, node long, size long, prefix array<long>, parities array<long>")
+
+
+def sampled(df: DataFrame, docs: int = 10_000, least: int = 10) -> DataFrame:
+    """Shingles (token, count) that at least `least` of about `docs` rows have, to be put last: a guess that only saves time."""
+    some = df.where(F.pmod(F.xxhash64("row"), F.lit(max(1, df.count() // docs))) == 0).select(F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"token": np.concatenate([np.zeros(0, dtype=np.uint64), *(shingles(t) for t in batch["text"])]).view(np.int64)})
+
+    return common.small_batches(some).mapInPandas(run, "token long").groupBy("token").count().where(F.col("count") >= least)
+
+
+def enough(both: Column, a: Column, b: Column) -> Column:
+    """Whether sets of a and b shingles that share `both` are at 0.8 or more, in whole numbers."""
+    return 9 * both >= 4 * (a + b)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets have a similarity of 0.8 or more; texts: row, text."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("row").alias(f"row_{x}"), F.col("size").alias(f"size_{x}"), F.col("prefix").alias(f"prefix_{x}"), F.col("parities").alias(f"parities_{x}"))
+    both = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    # what is shared behind the prefix that ends first can't be more than what is left of its set
+    rest = F.greatest(F.col("size_a") - F.size("prefix_a"), F.col("size_b") - F.size("prefix_b"))
+    apart = sum((F.bit_count(F.col("parities_a")[i].bitwiseXOR(F.col("parities_b")[i])) for i in range(LONGS)), F.lit(0))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(enough(both + rest, F.col("size_a"), F.col("size_b")))
+    likely = likely.where(9 * apart <= F.col("size_a") + F.col("size_b"))
+    likely = common.saved(likely.select("a", "b", "row_a", "row_b"))
+    text = lambda x: texts.select(F.col("row").alias(f"row_{x}"), F.coalesce("text", F.lit("")).alias(f"text_{x}"))
+    rows = likely.join(text("a"), "row_a").join(text("b"), "row_b").select("a", "b", "text_a", "text_b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = {}  # within a batch only
+            close = np.zeros(len(batch), dtype=bool)
+            for i, (s, t) in enumerate(zip(batch["text_a"], batch["text_b"])):
+                a, b = (held[x] if x in held else held.setdefault(x, shingles(x)) for x in (s, t))
+                close[i] = 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+            yield batch.loc[close, ["a", "b"]]
+
+    return common.saved(common.small_batches(rows, 250).mapInPandas(run, "a long, b long"))
+
+
+def near_components(df: DataFrame, frequent: int = 100, most_frequent: int = 200_000) -> DataFrame:
+    """row, doc_id and component (one number for all rows connected by similarities of 0.8 or more) for every row.
+
+    df: row (unique), doc_id, text, in files. Shingles that are common in a sample or in over `frequent` prefixes
+    (most_frequent of each at most) are put last in the order. Any set of them may be: it only saves pairs. Texts
+    without words are copies."""
+
+    def last(counts: DataFrame) -> np.ndarray:
+        return counts.orderBy(F.desc("count"), "token").limit(most_frequent).select("token").toPandas()["token"].to_numpy(dtype=np.int64)
+
+    first = np.sort(last(sampled(df)).view(np.uint64))
+    sets = common.saved(prefixes(df, first))
+    nodes = sets.join(sets.groupBy("node").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    hot = last(nodes.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > frequent))
+    hot = hot[~np.isin(hot.view(np.uint64), first)]
+    if len(hot):
+        common_ones = np.union1d(first, hot.view(np.uint64))
+        # a prefix that ends before the common shingles and has no new one is the same in both orders, others are made again
+        tokens = nodes.sparkSession.createDataFrame(pd.DataFrame({"token": common_ones.view(np.int64)}))
+        again = nodes.select("row", F.explode("prefix").alias("token")).join(F.broadcast(tokens), "token", "left_semi").select("row").distinct()
+        other = prefixes(df.select("row", "text").join(again, "row", "left_semi"), common_ones)
+        nodes = nodes.join(again, "row", "left_anti").unionByName(other)
+    nodes = common.saved(nodes)
+    rows = nodes.select("node", "size", F.explode("prefix").alias("token"))
+
+    turn = F.struct(F.xxhash64("node", F.pmod("token", F.lit(HUBS))).alias("turn"), F.col("node").alias("a"), F.col("size").alias("size_a"))
+    hubs = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(turn).alias("hub")).where("n > 1").select("token", "hub.a", "hub.size_a")
+    sizes = (5 * F.col("size_a") >= 4 * F.col("size_b")) & (5 * F.col("size_b") >= 4 * F.col("size_a"))
+    own = rows.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"))
+    near_hubs = own.join(hubs, "token").where((F.col("a") != F.col("b")) & sizes)
+    pair = lambda x: common.saved(x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = verified(pair(near_hubs), nodes, df)
+
+    roots = common.saved(graph.components(edges))
+    named = rows.join(roots, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("root"))
+    several = named.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("largest")).where("least <> largest").select("token")
+    named = common.saved(named.join(several, "token"))
+    side = lambda x: named.select("token", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("root").alias(f"root_{x}"))
+    apart = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & sizes)
+    more = verified(pair(apart), nodes, df)
+    if not more.isEmpty():
+        roots = common.saved(graph.components(edges.unionByName(more)))
+    return sets.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("component")).join(df.select("row", "doc_id"), "row")

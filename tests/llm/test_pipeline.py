@@ -1,6 +1,7 @@
 """Each stage on its own input, held against what the operator says of it and against brute force."""
 
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 
 import corpus_pipeline as pipeline
 from marlstone.llm import common, exact_dedup, toxicity
@@ -44,3 +45,38 @@ def test_near_copies_go(spark):
     rows = [(1, base), (2, base.replace("w49x7 ", "other ")), (3, " ".join(f"v{i * 7}" for i in range(300)))]
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in pipeline.near(spark, docs, "").collect()} == {1, 3}
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    """Pairs at 0.8 exactly and just below it, groups and common lines: components are those of all pairs."""
+    r = random.Random(3)
+    words = lambda n: [f"{r.randrange(10**6)}" for _ in range(n)]
+    line, texts = words(25), []
+    for i in range(150):
+        base = words(r.choice([9, 24, 60, 61, 120, 300])) + (line if i % 2 else [])
+        texts += [base, base + words(r.randrange(1, len(base) // 2)), base[: -r.randrange(1, len(base) // 3)]]
+        at = r.randrange(len(base))
+        texts.append(base[:at] + words(1) + base[at + 1 :])
+    # 80 shingles of 100 are in both, 79 of 100, and one line over and over, which counts once
+    exact = words(104)
+    texts += [exact[:84], exact, (other := words(104))[:83], other, line * 40, line * 40 + words(30)]
+    texts += [base[:i] + words(1) + base[i + 1 :] for base in [words(80)] for i in range(0, 80, 2) for _ in range(4)]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    at, sharing = list(range(len(sets))), defaultdict(list)
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in sharing[x]).items():
+            if 9 * n >= 4 * (len(s) + len(sets[j])):
+                a, b = sorted((root(i), root(j)))
+                at[b] = a
+        for x in s:
+            sharing[x].append(i)
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {root(i) for i in range(len(sets))}
+    assert len(want) > 250
+    assert {r.doc_id for r in pipeline.near(spark, docs, "").collect()} == want
