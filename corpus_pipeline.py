@@ -21,12 +21,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked as near copies (sets of shingles of five words with a similarity of 0.8 and more) the least doc_id stays."""
+    """Of documents linked as near copies (sets of shingles of five words with a similarity of 0.8 and more) one row of the least doc_id stays.
+
+    Null doc_ids come last. Rows count one by one, so different texts under one doc_id stay or go by themselves."""
     rows = common.saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
     found = jaccard.near_components(rows.select("row", "doc_id", "text"))
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    dropped = found.join(least, "component").where("doc_id <> component_id").select("doc_id")
-    return docs.select(COLUMNS).join(dropped, "doc_id", "left_anti").select(COLUMNS)
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("kept")).select("kept.row")
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
