@@ -4,18 +4,16 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "doc_id long, piece int, start long, length long, ids binary"
 UNIT = 16
 
 
@@ -79,26 +77,32 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """A row for each piece of at most capacity tokens: doc_id, piece, start, length, ids_crc32.
+    """A row for each piece of at most capacity tokens: doc_id, piece, start, length, ids (little-endian, 32 bits each).
 
     Ids are the tokenizer's without special tokens, then end_id; null texts count as empty (one id). A worker keeps
     its cache of words, of bounded size, from task to task."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
             _encoders[tokenizer] = WordEncoder(tokenizer)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            rows = []
-            for doc_id, raw in zip(batch["doc_id"], _encoders[tokenizer].encode(batch["text"].tolist())):
+        end, size = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        for part in common.slices(batches, 250):
+            owner, cut = [], []
+            for row, raw in enumerate(_encoders[tokenizer].encode(part.column(1).to_pylist())):
                 raw += end
-                rows += [(doc_id, i, at // 4, min(4 * capacity, len(raw) - at) // 4, zlib.crc32(raw[at : at + 4 * capacity])) for i, at in enumerate(range(0, len(raw), 4 * capacity))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
-            del batch
-            pa.default_memory_pool().release_unused()
+                owner += [row] * -(-len(raw) // size)
+                cut += [(at, raw[at : at + size]) for at in range(0, len(raw), size)]
+            out = [
+                part.column(0).take(pa.array(owner, pa.int64())),
+                pa.array([at // size for at, _ in cut], pa.int32()),
+                pa.array([at // 4 for at, _ in cut], pa.int64()),
+                pa.array([len(ids) // 4 for _, ids in cut], pa.int64()),
+                pa.array([ids for _, ids in cut], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids"])
 
-    return common.small_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 250).mapInPandas(pieces, PIECE)
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(pieces, PIECE)
 
 
 def best_configuration(price: np.ndarray, size: np.ndarray, capacity: int) -> list[int]:
@@ -212,7 +216,8 @@ def plan(histogram: dict[int, int], capacity: int = 4096) -> list[tuple[tuple[in
 
 
 def packed(pieces: DataFrame, capacity: int = 4096, rows_per_cell: int = 4096) -> DataFrame:
-    """Adds sequence_id and offset (gapless from 0 in each sequence) to pieces (a saved table with doc_id, piece, length).
+    """Adds sequence_id and offset (gapless from 0 in each sequence) to pieces: a saved table with doc_id, piece, start,
+    length and any other columns (those named sequence_id or offset are replaced).
 
     The driver gets counts of at most capacity lengths and gives back runs: pieces of one length and a range of ranks
     go to one slot of one pattern. Ranks come from cells of a length, so that no task holds all pieces of a length.
@@ -234,15 +239,18 @@ def packed(pieces: DataFrame, capacity: int = 4096, rows_per_cell: int = 4096) -
     for length, first, _, shift, at in runs:
         starts.setdefault(length, []).append((first, shift, at))
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     table = [(length, [s[0] for s in x], [s[1] for s in x], [s[2] for s in x]) for length, x in starts.items()]
     places = spark.createDataFrame(table, "length long, firsts array<long>, shifts array<long>, ats array<long>")
     before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     shifted = counts.select("length", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     own = Window.partitionBy("length", "_cell").orderBy("doc_id", "piece", "start")
-    ranked = dealt.withColumn("_own", F.row_number().over(own)).join(shifted, ["length", "_cell"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
+    ranked = dealt.withColumn("_own", F.row_number().over(own)).join(shifted, ["length", "_cell"])
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_own") - 1)
     # at most capacity rows and, in all, as many runs as the patterns have slots: counts of patterns, not of pieces
     found = ranked.join(F.broadcast(places), "length").withColumn("_run", F.size(F.filter("firsts", lambda x: x <= F.col("_rank"))) - 1)
-    return found.select(*pieces.columns, (F.get("shifts", F.col("_run")) + F.col("_rank")).alias("sequence_id"), F.get("ats", F.col("_run")).alias("offset"))
+    sequence = (F.get("shifts", F.col("_run")) + F.col("_rank")).alias("sequence_id")
+    return found.select(*pieces.columns, sequence, F.get("ats", F.col("_run")).alias("offset"))
 
 
 def tokenizer_path() -> str:
@@ -252,8 +260,16 @@ def tokenizer_path() -> str:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """A row for each piece of each document (see token_pieces), with its ids, sequence_id and offset (see packed).
+
+    Null and empty texts are one id, the end's; longer ones than a sequence are cut into pieces. Pieces of one length are
+    ranked by doc_id (nulls too), piece and start; repeated rows are pieces of their own. Other columns of docs aren't
+    read, whatever their names. An empty table gives no rows."""
     return packed(common.saved(token_pieces(docs, tokenizer or tokenizer_path())))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(common.documents(spark, sf_dir))
+    """All documents as packed pieces, as pack_documents does it (see there for nulls, empty and long texts, ties, repeated
+    rows, empty tables and other columns); ids are reduced to their digest before they are placed."""
+    pieces = token_pieces(common.documents(spark, sf_dir), tokenizer_path())
+    return packed(common.saved(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))

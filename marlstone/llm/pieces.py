@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from . import common
 
 SPACE = "▁"
 FAR = np.int64(1 << 40)
-CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+CODED = "doc_id long, ids array<int>, decoded string"
 
 
 class PieceCoder:
@@ -38,7 +37,7 @@ class PieceCoder:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a space mark after another character")
         self.byte_ids = [0] * 256
-        self.decimal = [b"%d" % i for i in range(n)]
+        self.raw = [i.to_bytes(4, "little") for i in range(n)]
         self.text = [p.replace(SPACE, " ").encode() for p in names]
         for i in range(n):
             if model.is_byte(i):
@@ -62,7 +61,7 @@ class PieceCoder:
                     self.hasty[half] = True
         # neighbours in some piece, packed: no merge ever crosses any other two characters
         self.joined = np.unique(np.array([ord(a) << 21 | ord(b) for p in self.ids for a, b in zip(p, p[1:])], dtype=np.int64))
-        self.known: dict[str, bytes] = {}  # the ids of a word, in decimal, joined by commas
+        self.known: dict[str, bytes] = {}  # the ids of a word, 32 bits each
         self.shown: dict[str, bytes] = {}  # what they decode to
         self.cached = cached
 
@@ -185,7 +184,7 @@ class PieceCoder:
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
             for w, ids in zip(some, self.encode_words(some), strict=True):
-                self.known[w] = b",".join([self.decimal[i] for i in ids])
+                self.known[w] = b"".join([self.raw[i] for i in ids])
                 self.shown[w] = b"".join([self.text[i] for i in ids])
 
     def encode(self, text: str) -> list[int]:
@@ -194,16 +193,14 @@ class PieceCoder:
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.text[i] for i in ids]).removeprefix(b" ").decode("utf-8", "replace")
 
-    def coded(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
-        """Of each text: how many ids, the ids in decimal joined by commas, and what they decode to."""
-        for at in range(0, len(texts), 100):
-            some = [self.words(t) for t in texts[at : at + 100]]
-            if len(self.known) > self.cached:
-                self.known, self.shown = {}, {}
-            self.learn(list(set().union(*some).difference(self.known)))
-            for words in some:
-                ids = b",".join(map(self.known.__getitem__, words))
-                yield ids.count(b",") + bool(words), ids, b"".join(map(self.shown.__getitem__, words)).removeprefix(b" ")
+    def coded(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Of each text: its ids (little-endian, 32 bits each), and what they decode to."""
+        some = [self.words(t) for t in texts]
+        if len(self.known) > self.cached:
+            self.known, self.shown = {}, {}
+        self.learn(list(set().union(*some).difference(self.known)))
+        known, shown = self.known.__getitem__, self.shown.__getitem__
+        return [b"".join(map(known, w)) for w in some], [b"".join(map(shown, w)).removeprefix(b" ") for w in some]
 
 
 _coders: dict[str, PieceCoder] = {}
@@ -215,36 +212,35 @@ def coder(model_file: str) -> PieceCoder:
     return _coders[model_file]
 
 
-def encode_column(df: DataFrame, model_file: str, text: str = "text") -> DataFrame:
-    """Adds ids (array of int) to df; null and empty texts have none."""
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([coder(model_file).encode(t or "") for t in texts])
+def encoded(docs: DataFrame, model_file: str) -> DataFrame:
+    """doc_id, ids (array<int>) and decoded (what decoding the ids gives) for every row of docs (doc_id, text).
 
-    return df.withColumn("ids", ids(text))
+    Null and empty texts have no ids. Texts of any length are encoded whole, words that a worker has met before from
+    its cache. Repeated rows are rows of their own; ties don't arise; other columns of docs aren't read, whatever their
+    names. An empty table gives no rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches, 100):
+            raw, shown = coder(model_file).coded(part.column(1).to_pylist())
+            flat = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
+            starts = pa.array(np.cumsum([0, *(len(r) // 4 for r in raw)]), pa.int32())
+            decoded = pa.array(shown, pa.binary()).cast(pa.string())
+            out = [part.column(0), pa.ListArray.from_arrays(starts, flat), decoded]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"])
 
-def decode_column(df: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
-    """Adds decoded (string) to df; null ids give an empty text."""
-    @F.pandas_udf("string")
-    def decoded(column: pd.Series) -> pd.Series:
-        return pd.Series([coder(model_file).decode(list(x) if x is not None else []) for x in column])
-
-    return df.withColumn("decoded", decoded(ids))
-
-
-def digests(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; only words that a worker hasn't met are merged."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(d, n, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()) for d, (n, a, b) in zip(batch["doc_id"], coder(model_file).coded(batch["text"].tolist()))]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
-
-    return common.small_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInPandas(run, CODED)
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, CODED)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with digests of their ids and decoded texts, by encoded: see there for nulls, empty and long texts,
+    ties, repeated rows, empty tables and other columns."""
     import public_tokenizers
 
-    return digests(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    rows = encoded(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

@@ -1,15 +1,18 @@
-"""SimHash near-dedup: blocks of fingerprint bits bring pairs together, pivot distances discard them, XOR verifies."""
+"""SimHash near-dedup: pivot distance tables discard pairs, bit by bit comparison verifies survivors.
+
+Pivots alone are a weak index, as distances of unrelated fingerprints to a reference lie close together, so keys bring
+pairs into one group: blocks of bits for fingerprints, prefix shingles for similar texts (see similar.py). Within a
+group no pair is ever written out before its pivot distances and its fingerprints have been compared."""
 
 from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,45 +24,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@dataclass(frozen=True)
-class Scheme:
-    """How texts are fingerprinted and which fingerprints link.
-
-    exact: every link is found, as two fingerprints that differ in at most distance bits agree on 2 of distance + 2
-    blocks. Otherwise tables keys of key_bits random bits each are tried, for distances at which that is hopeless."""
-
-    shingle: int = 3
-    longs: int = 1
-    distance: int = 3
-    exact: bool = True
-    tables: int = 64
-    key_bits: int = 18
-    pivots: int = 8
-    seed: int = 42
-
-    def masks(self) -> list[np.ndarray]:
-        """The bits of each table's key, as one mask of 64 bits for each long."""
-        n = 64 * self.longs
-        if self.exact:
-            edges = [round(i * n / (self.distance + 2)) for i in range(self.distance + 3)]
-            chosen = [[*range(edges[a], edges[a + 1]), *range(edges[b], edges[b + 1])] for a, b in combinations(range(self.distance + 2), 2)]
-        else:
-            r = random.Random(self.seed)
-            chosen = [r.sample(range(n), self.key_bits) for _ in range(self.tables)]
-        return [np.array([sum(1 << (b % 64) for b in bits if b // 64 == k) for k in range(self.longs)], dtype=np.uint64) for bits in chosen]
-
-    def references(self) -> np.ndarray:
-        r = random.Random(self.seed + 1)
-        return np.array([[r.getrandbits(64) for _ in range(self.longs)] for _ in range(self.pivots)], dtype=np.uint64)
-
-
-#: What the operator's query asks for, and what stands for a similarity of 0.8 on shingles of five words: with 256
-#: bits, sets of that similarity differ in 39 bits on average.
-CONTRACT = Scheme()
-NEAR_COPIES = Scheme(shingle=5, longs=4, distance=40, exact=False)
-
-
 def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included; fewer words make one shingle, none make none."""
     data = " ".join(WORD.findall(text.translate(ASCII))).encode("utf-8", "surrogatepass")
     if not data:
         return np.zeros(0, dtype=np.uint64)
@@ -71,143 +37,221 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.array([h(data[a:b], 42) for a, b in zip(starts, ends[words - 1 :])], dtype=np.uint64)
 
 
-def fingerprint(text: str, scheme: Scheme = CONTRACT) -> np.ndarray:
-    """A bit is 1 if it is set in over half the shingles' hashes (repeats count); no words: zero."""
-    h = shingle_hashes(text, scheme.shingle)
-    out = np.zeros(scheme.longs, dtype=np.uint64)
-    for k in range(scheme.longs if len(h) else 0):
-        if k:
-            h = (h ^ (h >> np.uint64(29))) * MIX
-            h ^= h >> np.uint64(32)
-        votes = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(h), 255):
-            bits = np.unpackbits(h[at : at + 255, None].view(np.uint8), axis=1, bitorder="little")
-            votes += np.add.reduce(bits, axis=0, dtype=np.uint8)
-        out[k] = np.packbits(votes * 2 > len(h), bitorder="little").view(np.uint64)[0]
-    return out
-
-
-def fingerprints(df: DataFrame, scheme: Scheme, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp0, fp1, ... (longs) for every row; null texts have no words."""
-    names = [f"fp{k}" for k in range(scheme.longs)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.array([fingerprint(t, scheme) for t in batch["text"]], dtype=np.uint64).reshape(-1, scheme.longs).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), **{n: fps[:, k] for k, n in enumerate(names)}})
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """64 bits; a bit is 1 if it is set in over half the shingles' hashes (repeats count); no words: zero."""
+    h = shingle_hashes(text, shingle)
+    votes = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 255):
+        bits = np.unpackbits(h[at : at + 255, None].view(np.uint8), axis=1, bitorder="little")
+        votes += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
+def fingerprints(df: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and fp (long) for every row; null texts have no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches):
+            fps = pa.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), fps], ["doc_id", "fp"])
+
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long")
+
+
+# --- pairs within groups --------------------------------------------------------------------------------------------
+
+
+def references(count: int, longs: int, seed: int = 43) -> np.ndarray:
+    r = random.Random(seed)
+    return np.array([[r.getrandbits(64) for _ in range(longs)] for _ in range(count)], dtype=np.uint64)
+
+
+def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Hamming distances of each fingerprint (rows of longs) to each reference fingerprint."""
+    return np.stack([np.bitwise_count(fps ^ r).sum(axis=1, dtype=np.int16) for r in pivots], axis=1)
+
+
+def survivors(
+    group: np.ndarray,
+    fps: np.ndarray,
+    table: np.ndarray,
+    most: np.ndarray,
+    limit: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    told: dict | None = None,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row numbers) of one group whose fingerprints are at most limit(i, j) bits apart.
+
+    Rows are sorted by group, and within it by the table's first column; most is the greatest limit a row has with any
+    other. All pairs of a group whose first coordinates are that near are looked at, a lag at a time and never held; a
+    pair whose greatest coordinate difference is above its limit is discarded, and the rest is compared bit by bit. In
+    told, if given, pairs are counted: of the groups, left by the pivots, left by the bits."""
+    first = table[:, 0].astype(np.int64)
+    end = np.searchsorted(group, group, side="right")
+    if told is not None:
+        told["pairs"] = told.get("pairs", 0) + int((end - np.arange(len(group)) - 1).sum())
+    at, lag = np.arange(len(group)), 1
+    while len(at):
+        at = at[at + lag < end[at]]
+        at = at[first[at + lag] - first[at] <= most[at]]
+        for part in np.array_split(at, -(-len(at) // 100_000)) if len(at) else ():
+            i, j = part, part + lag
+            bound = limit(i, j)
+            near = bound >= 0
+            for k in range(table.shape[1]):
+                near &= np.abs(table[i, k] - table[j, k]) <= bound
+            i, j, bound = i[near], j[near], bound[near]
+            close = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= bound
+            if told is not None:
+                told["pivots"] = told.get("pivots", 0) + len(i)
+                told["bits"] = told.get("bits", 0) + int(close.sum())
+            if close.any():
+                yield i[close], j[close]
+        lag += 1
 
-    return common.small_batches(df.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
+class Forest:
+    """Edges that connect what links, without cycles."""
 
-def keyed(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """For each node (node, fp0, ...) a row for each table: key (salted by the table), and its pivot distances."""
-    names, masks, references = [f"fp{k}" for k in range(scheme.longs)], scheme.masks(), scheme.references()
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+        self.edges: list[tuple[int, int]] = []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.ascontiguousarray(batch[names].to_numpy(dtype=np.int64)).view(np.uint64)
-            apart = [np.bitwise_count(fps ^ r).sum(axis=1, dtype=np.uint64) for r in references]
-            pivots = np.zeros(len(fps), dtype=np.uint64)
-            for i, d in enumerate(apart):
-                pivots |= np.minimum(d, 255) << np.uint64(8 * i)
-            for t, mask in enumerate(masks):
-                key = np.full(len(fps), t + 1, dtype=np.uint64) * MIX
-                for k in range(scheme.longs):
-                    key = (key ^ (fps[:, k] & mask[k])) * MIX
-                    key ^= key >> np.uint64(31)
-                yield pd.DataFrame({"key": key.view(np.int64), "node": batch["node"], **{n: batch[n] for n in names}, "pivots": pivots.view(np.int64)})
-
-    return nodes.mapInPandas(run, "key long, node long, " + ", ".join(f"{n} long" for n in names) + ", pivots long")
-
-
-def forest(key: np.ndarray, fps: np.ndarray, pivots: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row numbers) that connect what links among rows of equal key (sorted by it), without cycles.
-
-    All pairs of a key are looked at, a lag at a time and never held; a pair whose distances to some pivot differ by
-    more than distance can't link, and only survivors are compared bit by bit."""
-    n = len(key)
-    end = np.searchsorted(key, key, side="right")
-    apart = pivots[:, None].view(np.uint8).astype(np.int16)
-    parent = np.arange(n)
-    edges: list[tuple[int, int]] = []
-
-    def root(i: int) -> int:
+    def root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = parent[parent[i]]
-            i = int(parent[i])
+            i = parent[i]
         return i
 
-    at, lag = np.arange(n), 1
-    while len(at := at[at + lag < end[at]]):
-        close = at[np.abs(apart[at] - apart[at + lag]).max(axis=1) <= distance]
-        close = close[np.bitwise_count(fps[close] ^ fps[close + lag]).sum(axis=1) <= distance]
-        for i in close[parent[close] != parent[close + lag]].tolist():
-            a, b = root(i), root(i + lag)
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        for x, y in zip(i.tolist(), j.tolist()):
+            a, b = self.root(x), self.root(y)
             if a != b:
-                parent[b] = a
-                edges.append((i, i + lag))
-        lag += 1
-    out = np.array(edges, dtype=np.int64).reshape(-1, 2)
-    return out[:, 0], out[:, 1]
-
-
-def links(nodes: DataFrame, scheme: Scheme, largest: int = 20_000) -> DataFrame:
-    """Edges a, b between nodes (columns node, fp0, ...) that span, for each key, what links under it.
-
-    A key with over largest nodes is cut into chunks, and each pair of chunks is a group of its own, so that no task
-    holds more than two chunks of a key. Which keys those are is counted first."""
-    rows = keyed(nodes, scheme)
-    hot = common.saved(rows.groupBy("key").count().where(F.col("count") > largest).select("key", F.ceil(F.col("count") / largest).alias("chunks")))
-    rows = rows.withColumn("cell", F.lit(0).cast("long"))
-    if not hot.isEmpty():
-        chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
-        # chunk c meets chunk d in the cell of (least, greatest)
-        cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda d: F.least(chunk, d) * F.col("chunks") + F.greatest(chunk, d))
-        names = rows.drop("cell").columns
-        rows = rows.drop("cell").join(hot, "key", "left").select(*names, F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)).alias("cell"))
-    names, distance = [f"fp{k}" for k in range(scheme.longs)], scheme.distance
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def found(part: pd.DataFrame) -> pd.DataFrame:
-            group = part["key"].to_numpy() != part["key"].shift().to_numpy()
-            group = np.cumsum(group | (part["cell"].to_numpy() != part["cell"].shift().to_numpy()))
-            fps = np.ascontiguousarray(part[names].to_numpy(dtype=np.int64)).view(np.uint64)
-            a, b = forest(group, fps, part["pivots"].to_numpy(dtype=np.int64), distance)
-            node = part["node"].to_numpy()
-            return pd.DataFrame({"a": node[a], "b": node[b]})
-
-        for batch in batches:
-            last = (batch["key"] == batch["key"].iloc[-1]) & (batch["cell"] == batch["cell"].iloc[-1])
-            if not last.all():
-                yield found(pd.concat([*held, batch[~last]], ignore_index=True))
+                self.parent[b] = a
+                self.edges.append((x, y))
+
+
+def in_cells(rows: DataFrame, key: str, by: str, largest: int) -> DataFrame:
+    """rows with a cell (long) for each: groups of equal key and cell hold at most about 2 x largest rows.
+
+    A key with over largest rows is cut into chunks by a hash of column by, and each pair of chunks is a cell of its
+    own, so that every pair of the key meets and no task holds more than two chunks. Which keys those are is counted
+    first; rows is read twice."""
+    hot = rows.groupBy(key).count().where(F.col("count") > largest)
+    hot = common.saved(hot.select(key, F.ceil(F.col("count") / largest).alias("_chunks")))
+    if hot.isEmpty():
+        return rows.withColumns({"cell": F.lit(0).cast("long"), "chunk": F.lit(0).cast("long")})
+    n, chunk = F.col("_chunks"), F.coalesce(F.pmod(F.xxhash64(by), F.col("_chunks")), F.lit(0))
+    # chunk c meets chunk d in the cell of (least, greatest)
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda d: F.least(chunk, d) * n + F.greatest(chunk, d))
+    cells = F.when(n.isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)
+    # few keys are hot: at most rows / largest, of 16 bytes each; adaptive execution picks the join and splits its skew
+    return rows.join(hot, key, "left").select(*rows.columns, chunk.cast("long").alias("chunk"), F.explode(cells).alias("cell"))
+
+
+def by_group(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.Table]:
+    """Batches sorted by key and cell, cut and joined so that a group is never in two tables."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, cell = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "cell"))
+        cut = int(np.flatnonzero((key == key[-1]) & (cell == cell[-1]))[0])
+        if held and cut == 0:
+            last = held[-1].num_rows - 1
+            same = held[-1].column("key")[last].as_py() == key[0] and held[-1].column("cell")[last].as_py() == cell[0]
+            if not same:
+                yield pa.Table.from_batches(held)
                 held = []
-            elif held and (held[-1]["key"].iloc[-1] != batch["key"].iloc[0] or held[-1]["cell"].iloc[-1] != batch["cell"].iloc[0]):
-                yield found(pd.concat(held, ignore_index=True))
-                held = []
-            held.append(batch[last])
-        if held:
-            yield found(pd.concat(held, ignore_index=True))
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(n).to_numpy() for n in names]
 
-    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInPandas(run, "a long, b long")
 
+def groups_of(key: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of rows of equal key and cell, which stand side by side."""
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
+    return np.cumsum(new) - 1
 
-def near_components(df: DataFrame, scheme: Scheme = CONTRACT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp0, ... and component_id (the least doc_id reachable over links, itself included) for every row.
 
-    Exact copies share a fingerprint and are one node, so a group of them never makes pairs. Rows with a null doc_id
-    take part; a component of such rows alone has a null component_id. An empty table gives no rows."""
-    names = [f"fp{k}" for k in range(scheme.longs)]
-    docs = common.saved(fingerprints(df, scheme, doc_id, text))
-    node = F.col("fp0") if scheme.longs == 1 else F.xxhash64(*names)
-    nodes = common.saved(docs.groupBy(*names).agg(F.min("doc_id").alias("rep")).withColumn("node", node))
-    comps = graph.components(links(nodes.select("node", *names), scheme))
-    rooted = nodes.join(comps, "node", "left").select(*names, "rep", F.coalesce("root", "node").alias("root"))
+# --- fingerprints of 64 bits ----------------------------------------------------------------------------------------
+
+
+def masks(distance: int) -> list[np.uint64]:
+    """Fingerprints that differ in at most distance bits agree on 2 of distance + 2 blocks: a mask for each two."""
+    edges = [round(i * 64 / (distance + 2)) for i in range(distance + 3)]
+    block = [sum(1 << b for b in range(edges[a], edges[a + 1])) for a in range(distance + 2)]
+    return [np.uint64(a | b) for a, b in combinations(block, 2)]
+
+
+def keyed(nodes: DataFrame, distance: int) -> DataFrame:
+    """For each fingerprint fp (long) a row for each mask: key (salted by the mask's number), fp."""
+    chosen = masks(distance)
+    salt = np.arange(1, len(chosen) + 1, dtype=np.uint64) * MIX
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for t, mask in enumerate(chosen):
+                key = ((fp & mask) ^ salt[t]) * MIX
+                key ^= key >> np.uint64(31)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], ["key", "fp"])
+
+    return nodes.select("fp").mapInArrow(run, "key long, fp long")
+
+
+def links(nodes: DataFrame, distance: int = 3, pivots: int = 16, largest: int = 4000) -> DataFrame:
+    """Edges a, b between fingerprints (column fp, distinct) that span, for each key, what links under it."""
+    refs = references(pivots, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_group(batches):
+            key, cell, fp = columns(rows, "key", "cell", "fp")
+            group = groups_of(key, cell)
+            several = np.bincount(group)[group] > 1
+            group, fp = group[several], fp[several]
+            fps = fp.view(np.uint64)[:, None]
+            order = np.lexsort((np.bitwise_count(fps[:, 0] ^ refs[0, 0]), group))
+            group, fps = group[order], fps[order]
+            found, most = Forest(len(group)), np.full(len(group), distance)
+            for i, j in survivors(group, fps, pivot_table(fps, refs), most, lambda i, j: most[i]):
+                found.add(i, j)
+            ends = np.array(found.edges, dtype=np.int64).reshape(-1, 2)
+            node = fps[:, 0].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[ends[:, 0]]), pa.array(node[ends[:, 1]])], ["a", "b"])
+
+    rows = in_cells(keyed(nodes, distance), "key", "fp", largest).select("key", "cell", "fp")
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, "a long, b long")
+
+
+def near_components(df: DataFrame, distance: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp and component_id (the least doc_id reachable over links, itself included) for every row.
+
+    Texts with one fingerprint (exact copies among them) are one node, so a group of them never makes pairs. Null and
+    empty texts have the fingerprint zero and link like others; a text may be as long as memory holds. Rows with a null
+    doc_id take part; a component of such rows alone has a null component_id. Repeated rows are rows of their own, and
+    ties don't arise. Other columns of df aren't read, whatever their names. An empty table gives no rows."""
+    docs = common.saved(fingerprints(df, 3, doc_id, text))
+    nodes = common.saved(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    roots = graph.components(links(nodes, distance))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = rooted.select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return docs.join(rooted.join(least, "root").select(*names, "component_id"), names)
+    return docs.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_components(common.documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+    """All documents with their fingerprints and components, by near_components: see there for nulls, empty and long
+    texts, ties, repeated rows, empty tables and other columns."""
+    found = near_components(common.documents(spark, sf_dir))
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return found.select("doc_id", hexed, "component_id")

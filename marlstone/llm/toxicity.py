@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 TOKEN = re.compile(r"\w+")
 GRAMS = (3, 4, 5)
-PRIME = np.uint64(0x100000001B3)
+PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+GRAM_BITS = 22
+BLOCK = 10_000  # words whose n-grams are held at once
 
 
 def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all character n-grams of ^word$, flat, and the word that each belongs to."""
+    """Hashes (GRAM_BITS bits) of all character n-grams of ^word$, flat, and the word that each belongs to."""
     marked = ["^" + w + "$" for w in words]
     flat = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, marked), dtype=np.int64, count=len(marked)))
@@ -33,7 +36,8 @@ def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             whole = owner[: len(h)] == owner[n - 1 :]
             hashes.append(h[whole])
             owners.append(owner[: len(h)][whole])
-    return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*owners, np.zeros(0, np.int64)])
+    flat = np.concatenate([*hashes, np.zeros(0, np.uint64)]) * MIX >> np.uint64(64 - GRAM_BITS)
+    return flat.astype(np.int32), np.concatenate([*owners, np.zeros(0, np.int64)])
 
 
 def log_odds(positive: np.ndarray, negative: np.ndarray, p: int, n: int) -> np.ndarray:
@@ -60,13 +64,17 @@ class Model:
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs of words: the word's embedding and, per dimension, the largest value among its known n-grams; with
         the table rows that these came from."""
-        row = np.fromiter((self.words.get(w, 0) for w in words), dtype=np.int64, count=len(words))
+        parts = [self._features(words[at : at + BLOCK]) for at in range(0, max(len(words), 1), BLOCK)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row = np.fromiter((self.words.get(w, 0) for w in words), dtype=np.int32, count=len(words))
         hashes, owner = gram_hashes(words)
         at = np.minimum(np.searchsorted(self.grams, hashes), max(len(self.grams) - 1, 0))
         known = self.grams[at] == hashes if len(self.grams) else np.zeros(len(hashes), dtype=bool)
         at, owner = at[known] + 1, owner[known]
         dims = self.p["G"].shape[1]
-        best = np.zeros((len(words), dims), dtype=np.int64)
+        best = np.zeros((len(words), dims), dtype=np.int32)
         if len(at):
             order = np.argsort(owner, kind="stable")
             at, owner = at[order], owner[order]
@@ -104,7 +112,9 @@ class Model:
         """Logits of windows whose projected inputs are x (T, B, 6 hidden)."""
         k = 3 * self.hidden
         kept = ([], []) if keep is not None else (None, None)
-        h = np.concatenate([self._steps(x[:, :, :k], lengths, self.p["Uf"], False, kept[0]), self._steps(x[:, :, k:], lengths, self.p["Ub"], True, kept[1])], axis=2)
+        forth = self._steps(x[:, :, :k], lengths, self.p["Uf"], False, kept[0])
+        back = self._steps(x[:, :, k:], lengths, self.p["Ub"], True, kept[1])
+        h = np.concatenate([forth, back], axis=2)
         a = np.tanh(h @ self.p["A"] + self.p["a"])
         e = a @ self.p["v"]
         e = np.where(np.arange(len(x))[:, None] < np.maximum(lengths, 1), e, -1e9)
@@ -201,24 +211,27 @@ def train(texts: list[str], labels: list[int], steps: int = 240, batch: int = 48
     vocabulary: dict[str, int] = {}
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d], dtype=np.int64) for d in docs]
     names = list(vocabulary)
-    hashes, owner = gram_hashes(names)
-    kinds, inverse = np.unique(hashes, return_inverse=True)
-    order = np.argsort(owner, kind="stable")
-    edges = np.searchsorted(owner[order], np.arange(len(names) + 1))
-    by_word = np.split(inverse[order], edges[1:-1]) if len(names) else []
-    word_df, gram_df = np.zeros((2, len(names))), np.zeros((2, len(kinds)))
+    grams, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(names), BLOCK):
+        some = names[at : at + BLOCK]
+        hashes, owner = gram_hashes(some)
+        grams.append(hashes[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner, minlength=len(some)))
+    grams, edges = np.concatenate(grams), np.cumsum(np.append(0, np.concatenate(sizes)))
+    word_df, gram_df = np.zeros((2, len(names)), np.float32), np.zeros((2, 1 << GRAM_BITS), np.float32)
     for d, label in zip(ids, y):
         u = np.unique(d)
         word_df[label, u] += 1
         if len(u):
-            gram_df[label, np.unique(np.concatenate([by_word[w] for w in u]))] += 1
+            gram_df[label, np.unique(np.concatenate([grams[edges[w] : edges[w + 1]] for w in u]))] += 1
     p_n, n_n = int((y == 1).sum()), int((y == 0).sum())
 
     def chosen(df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = log_odds(df[1], df[0], p_n, n_n)
-        keep = np.flatnonzero((df.sum(axis=0) >= 4) & (np.abs(z) >= 2.5))
-        keep = np.sort(keep[np.argsort(-np.abs(z[keep]), kind="stable")[:rows]])
-        return keep, np.clip(z[keep] / 4, -1.5, 2).astype(np.float32)
+        keep = np.flatnonzero(df.sum(axis=0) >= 4)
+        z = log_odds(df[1, keep].astype(np.float64), df[0, keep].astype(np.float64), p_n, n_n)
+        keep, z = keep[np.abs(z) >= 2.5], z[np.abs(z) >= 2.5]
+        order = np.sort(np.argsort(-np.abs(z), kind="stable")[:rows])
+        return keep[order], np.clip(z[order] / 4, -1.5, 2).astype(np.float32)
 
     (w_keep, w_z), (g_keep, g_z) = chosen(word_df), chosen(gram_df)
     h, dw, dg, att = 8, 4, 6, 8
@@ -226,8 +239,11 @@ def train(texts: list[str], labels: list[int], steps: int = 240, batch: int = 48
     e, g = small(len(w_keep) + 1, dw, s=0.05), small(len(g_keep) + 1, dg, s=0.05)
     e[0] = g[0] = 0
     e[1:, 0], g[1:, 0] = w_z, g_z
-    p = {"E": e, "G": g, "W": small(dw + dg, 6 * h), "b": np.zeros(6 * h, np.float32), "Uf": small(h, 3 * h), "Ub": small(h, 3 * h), "A": small(2 * h, att), "a": np.zeros(att, np.float32), "v": small(att, s=1.0), "o": small(2 * h, s=0.5), "ob": np.array([-1.0], np.float32)}
-    model = Model({names[i]: k + 1 for k, i in enumerate(w_keep)}, kinds[g_keep], p)
+    p = {"E": e, "G": g, "W": small(dw + dg, 6 * h), "b": np.zeros(6 * h, np.float32)}
+    p |= {"Uf": small(h, 3 * h), "Ub": small(h, 3 * h)}
+    p |= {"A": small(2 * h, att), "a": np.zeros(att, np.float32), "v": small(att, s=1.0)}
+    p |= {"o": small(2 * h, s=0.5), "ob": np.array([-1.0], np.float32)}
+    model = Model({names[i]: k + 1 for k, i in enumerate(w_keep)}, g_keep.astype(np.int32), p)
     if not p_n or not n_n:
         p["o"][:] = 0
         p["ob"][0] = 4.0 if p_n else -4.0
@@ -247,8 +263,8 @@ def train(texts: list[str], labels: list[int], steps: int = 240, batch: int = 48
         order = np.lexsort((score, owner))
         return order[np.append(owner[order][1:] != owner[order][:-1], True)]
 
-    sums = [float(np.maximum(x_all[padded[i][s : s + n], 0], 0).sum() + np.maximum(x_all[padded[i][s : s + n], dw], 0).sum()) for (i, s), n in zip(at, lengths)]
-    top = tops(np.array(sums))
+    hint = np.maximum(x_all[:, 0], 0) + np.maximum(x_all[:, dw], 0)
+    top = tops(np.array([float(hint[padded[i][s : s + n]].sum()) for (i, s), n in zip(at, lengths)]))
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     positive, negative = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     for step in range(1, steps + 1):
@@ -280,39 +296,66 @@ def train(texts: list[str], labels: list[int], steps: int = 240, batch: int = 48
             d = d + 1e-4 * p[k]
             first[k] = 0.9 * first[k] + 0.1 * d
             second[k] = 0.999 * second[k] + 0.001 * d * d
-            p[k] -= ((0.01 if k not in "EG" else 0.003) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            pace = (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            p[k] -= ((0.01 if k not in "EG" else 0.003) * pace).astype(np.float32)
     return model
 
 
-def held_out(doc_id):
+def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(spark: SparkSession, sf_dir: str, sample: int = 2500) -> Model:
-    """Trains on at most sample labelled documents that aren't held out (those of least hash of doc_id); texts and
-    labels only. Labels that are null, or whose document is missing, don't count."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
-    some = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = common.documents(spark, sf_dir).select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null").orderBy("doc_id", F.xxhash64("text")).toPandas()
-    return train(rows["text"].tolist(), rows["toxic"].tolist())
-
+def fit(spark: SparkSession, sf_dir: str, sample: int = 2500, longest: int = 1_000_000, sample_bytes: int = 64_000_000) -> Model:
+    """Trains on at most sample labelled documents that aren't held out: those of least hash of doc_id, without texts of
+    over longest bytes, and no more than sample_bytes in all. Texts and labels only.
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and score (double). Null texts count as empty; every row gets a score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two tables of at most 4097 rows and a few matrices
+    One document a doc_id counts (the text of least hash), so an id that repeats over many rows is one row here. Labels
+    that are null, or whose document is missing, don't count; of several labels of an id, the greatest. One task trains,
+    and the driver gets its model: two tables of at most 4097 rows and a few matrices."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic in (0, 1) and doc_id is not null")
+    some = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    docs = common.documents(spark, sf_dir).select("doc_id", "text").where(F.octet_length("text") <= longest)
+    # at most sample rows of two numbers are broadcast
+    one = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks, size = [], [], 0
         for batch in batches:
-            batch["_score"] = shared.value.scores(batch["_text"].tolist())
-            yield batch.drop(columns="_text")
+            for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                size += len(text)
+                if size <= sample_bytes:
+                    texts.append(text)
+                    marks.append(mark)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, marks))], pa.binary())], ["model"])
+
+    rows = one.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
+    found = rows.mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else train([], [])
+
+
+def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """All columns of docs, text too, and score (double); a column of docs that is named score is replaced.
+
+    Every row gets a score, and repeated rows and ties the same one. Null and empty texts are one window without words.
+    Texts of any length are scored by all their windows. An empty table gives no rows."""
+    kept = [c for c in docs.columns if c.lower() != "score"]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = common.unused(docs, "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches, 1000):
+            scores = pa.array(shared.value.scores(part.column(len(kept)).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], scores], [*kept, "score"])
 
-    kept = [c for c in docs.columns if c != "text"]
-    narrow = docs.select(F.monotonically_increasing_id().alias("_row"), *kept, F.coalesce("text", F.lit("")).alias("_text"))
-    schema = narrow.drop("_text").withColumn("_score", F.lit(0.0)).schema
-    return common.small_batches(narrow).mapInPandas(run, schema).withColumnRenamed("_score", "score").drop("_row")
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(own))
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumn("score", F.lit(0.0)).schema
+    return rows.mapInArrow(run, schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit(spark, sf_dir)
-    scored = score_documents(common.documents(spark, sf_dir).select("doc_id", "text"), model)
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    """All documents with a score by score_documents (see there for nulls, empty and long texts, ties, repeated rows,
+    empty tables and other columns). A null doc_id isn't held out."""
+    scored = score_documents(common.documents(spark, sf_dir).select("doc_id", "text"), fit(spark, sf_dir))
+    outside = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", outside, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
