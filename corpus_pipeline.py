@@ -1,51 +1,67 @@
-"""A corpus pipeline over documents: five stages, each on all that the one before kept."""
+"""A corpus pipeline over documents: five stages, each on all that the one before kept.
+
+All stages take nulls in any column, and read and return the columns of documents; more columns, whatever their names,
+are left out. An empty table gives an empty table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import common, exact_dedup, jaccard, packing, secrets_scan, toxicity
+from marlstone.llm import common, exact_dedup, packing, secrets_scan, similar, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the model, trained on the labels of sf_dir, scores 0.5 or more."""
-    return toxicity.score_documents(docs.select(COLUMNS).withColumn("_kept", F.col("text")), toxicity.fit(spark, sf_dir)).where("score < 0.5").withColumnRenamed("_kept", "text").select(COLUMNS)
+    """Drops the documents that the model, trained on the labels of sf_dir, scores 0.5 or more.
+
+    Null and empty texts are scored like others; repeated rows go or stay together."""
+    scored = toxicity.score_documents(docs.select(COLUMNS), toxicity.fit(spark, sf_dir))
+    return scored.where("score < 0.5").select(COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays."""
-    return exact_dedup.exact_groups(docs.select(COLUMNS).withColumn("_kept", F.col("text"))).where("kept").withColumnRenamed("_kept", "text").select(COLUMNS)
+    """Of equal texts (A-Z lower-cased) one row of the largest doc_id stays, whatever its other columns.
+
+    Null texts are equal to empty ones; null doc_ids come last; among rows of one doc_id any one stays."""
+    return exact_dedup.without_copies(docs.select(COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked as near copies (sets of shingles of five words with a similarity of 0.8 and more) one row of the least doc_id stays.
+    """Of texts connected by similarities of 0.8 and more (sets of five-word shingles), one row of the least doc_id stays.
 
-    Null doc_ids come last. Rows count one by one, so different texts under one doc_id stay or go by themselves."""
+    Null doc_ids come last. Rows count one by one, so different texts under one doc_id stay or go by themselves, and
+    of repeated rows one stays. Texts without words are copies of each other."""
     rows = common.saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
-    found = jaccard.near_components(rows.select("row", "doc_id", "text"))
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("kept")).select("kept.row")
-    return rows.join(kept, "row", "left_semi").select(COLUMNS)
+    found = similar.similar_components(rows.select("row", "text")).join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    # rows that are alone never move their texts: what goes is joined, not what stays
+    several = found.groupBy("component").agg(first.alias("kept"), F.count("*").alias("n")).where("n > 1")
+    gone = found.join(several.select("component", F.col("kept.row").alias("kept")), "component").where("row <> kept")
+    return rows.join(gone.select("row"), "row", "left_anti").select(COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts [SECRET] in place of every span that the secret scan reports; other texts stay as they are."""
+    """Puts [SECRET] in place of every span that the secret scan reports; n_chars follows. Null texts stay null."""
     return secrets_scan.redacted(docs.select(COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document with its place in a sequence, see packing.pack_documents.
+
+    Null texts count as empty: every document has a piece."""
     return packing.pack_documents(docs)
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("simhash_dedup", near), ("secret_scan", secrets), ("packing", pack)]
 
-#: The classifier, the fingerprints and the tokenizer can't be written in SQL; tests hold the stages against brute force.
+#: The classifier and the tokenizer can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage; each stage's table is written to the shared folder and read again."""
     docs = common.documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = common.saved(stage(spark, docs, sf_dir))
