@@ -71,42 +71,84 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (same - chance) / (1 - chance))
 
 
-def with_next(df: DataFrame, doc_id: str, carried: list[str], rows_per_cell: int = 512, segments: int = 64) -> DataFrame:
+def interval(key: Column, starts: list[Column], first: int = 0) -> Column:
+    """How many of the ascending starts are <= key, as a balanced tree of comparisons."""
+    if not starts:
+        return F.lit(first)
+    mid = len(starts) // 2
+    return F.when(key < starts[mid], interval(key, starts[:mid], first)).otherwise(interval(key, starts[mid + 1 :], first + mid + 1))
+
+
+def cells(keys: DataFrame, rows_per_cell: int, ranges: int = 256) -> DataFrame:
+    """range, starts: the keys at which cells of about rows_per_cell rows start (at most ranges x ranges + ranges), in
+    ranges that Spark samples. keys: key (struct whose order is the rows' order), saved.
+
+    Keys are ordered within ranges, exactly; only the starts leave them."""
+    n = keys.count()
+    per = max(rows_per_cell, -(-n // (ranges * ranges)))
+    parts = max(1, min(ranges, n // (4 * per)))
+    ranged = common.saved(keys.repartitionByRange(parts, "key").select("key", F.spark_partition_id().alias("range")))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("key"))
+    starts = ranged.withColumn("i", place).where((F.col("i") - 1) % per == 0)
+    return common.saved(starts.groupBy("range").agg(F.array_sort(F.collect_list("key")).alias("starts")))
+
+
+def with_next(df: DataFrame, doc_id: str, carried: list[str], rows_per_cell: int = 512) -> DataFrame:
     """Adds next_<c> for each c of carried: its value in the next row by descending doc_id, after the last the first.
 
-    Rows meet their neighbours in cells of doc_id (quantile segments cut into equal widths; about rows_per_cell rows
-    each, at most 65,536 cells in all), so one exchange moves the texts and no task sees all rows. The last row of a
-    cell gets the first one of the next cell by a join of one row a cell. Rows with one doc_id are ordered by their
-    values; null ids come last, in a cell of their own."""
-    cuts = [i / segments for i in range(1, segments)]
-    seen = df.agg(F.min(doc_id).alias("lo"), F.max(doc_id).alias("hi"), F.count("*").alias("n"), F.percentile_approx(doc_id, cuts, 10000).alias("cuts")).first()
-    edges = sorted({x for x in [seen["lo"], *(seen["cuts"] or [])] if x is not None}) or [0]
-    ends = [*edges[1:], (seen["hi"] or 0) + 1]
-    per = max(1, -(-seen["n"] // (len(edges) * max(rows_per_cell, seen["n"] // 65536))))
-    d = F.col(doc_id)
-    seg = common.interval_of(d, edges[1:])
-    lo, width = F.get(F.array(*map(F.lit, edges)), seg), F.get(F.array(*(F.lit(float(b - a)) for a, b in zip(edges, ends))), seg)
-    cell = F.when(d.isNull(), F.lit(-1)).otherwise(seg * per + F.least(F.floor((d - lo) * per / width), F.lit(per - 1))).cast("long")
-    columns = df.columns
-    order = Window.partitionBy("_cell").orderBy(F.col(doc_id).desc_nulls_last(), F.xxhash64(*carried))
-    celled = df.withColumn("_cell", cell)
-    placed = celled.withColumns({"_less": F.lag(F.lit(True)).over(order), "_more": F.lead(F.lit(True)).over(order), **{f"next_{c}": F.lead(c).over(order) for c in carried}})
-    # the first row by lag, not row_number: that would put a limit below the exchange, which all three uses share
+    Null ids come last. Rows with one doc_id (null ones too) are ordered by a hash of the first of carried, which is part of
+    a row's key, so that neither clustered nor repeated nor null ids fill a cell; only rows with equal ids and texts stay
+    in one. Rows meet their neighbours in cells of the key order, so one exchange moves the texts; the last row of a cell
+    gets the first one of the next cell by a join of one row a cell."""
+    d, columns = F.col(doc_id), df.columns
+    key = F.struct(
+        d.isNull().alias("none"),
+        F.coalesce(F.bitwise_not(d), F.lit(0)).alias("down"),
+        F.xxhash64(carried[0]).alias("tie"),
+    )
+    table = cells(common.saved(df.select(key.alias("key"))), rows_per_cell)
+    firsts = [r["first"] for r in table.select("range", F.get("starts", F.lit(0)).alias("first")).orderBy("range").collect()]
+    literal = lambda k: F.struct(*(F.lit(k[c]).alias(c) for c in ("none", "down", "tie")))
+    table = table.orderBy("range").coalesce(1).select(F.monotonically_increasing_id().alias("_range"), "starts")
+    keyed = df.withColumn("_key", key).withColumn("_range", interval(F.col("_key"), [literal(k) for k in firsts[1:]]).cast("long"))
+    inside = F.coalesce(F.size(F.filter("starts", lambda s: s <= F.col("_key"))), F.lit(0))
+    # at most 65,792 keys are broadcast
+    celled = keyed.join(F.broadcast(table), "_range").withColumn("_cell", F.coalesce("_range", F.lit(0)) * 100_000 + inside)
+    celled = celled.select(*columns, "_key", "_cell")
+    # the id is part of the order so that all uses need the same columns, and share the exchange
+    order = Window.partitionBy("_cell").orderBy("_key", doc_id)
+    nexts = {f"next_{c}": F.lead(c).over(order) for c in carried}
+    placed = celled.withColumns({"_less": F.lag(F.lit(True)).over(order), "_more": F.lead(F.lit(True)).over(order), **nexts})
+    # the first row by lag, not row_number: that would put a limit below the exchange, which all uses share
     heads = placed.where("_less is null").select(F.col("_cell").alias("_next"), *(F.col(c).alias(f"next_{c}") for c in carried))
-    down = Window.orderBy(F.col("_cell").desc())  # at most 65,536 rows
-    cells = df.select(cell.alias("_cell")).distinct()
-    after = cells.withColumn("_next", F.coalesce(F.lead("_cell").over(down), F.first("_cell").over(down)))
-    tails = placed.where("_more is null").drop(*(f"next_{c}" for c in carried)).join(after, "_cell").join(heads, "_next")
+    ends = placed.where("_more is null").drop(*(f"next_{c}" for c in carried))
+    by_cell = Window.orderBy("_cell")  # a row a cell
+    every = by_cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follow = celled.select("_cell").distinct().select("_cell", F.coalesce(F.lead("_cell").over(by_cell), F.first("_cell").over(every)).alias("_next"))
+    tails = ends.join(follow, "_cell").join(heads, "_next")
     result = [*columns, *(f"next_{c}" for c in carried)]
     return placed.where("_more").select(result).unionByName(tails.select(result))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = with_next(with_fingerprint(docs, F.col("text"), "bits"), "doc_id", ["text", "bits"])
+    """All documents with fingerprints of their texts and edited texts, and likenesses.
+
+    Null texts count as empty, and empty ones have the fingerprint of no words; texts of any length are read whole; null
+    doc_ids come last, and for ties and repeated rows see with_next. Other columns aren't read, whatever their names.
+    An empty table gives no rows; a single document is its own next one."""
+    docs = common.documents(spark, sf_dir).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(with_fingerprint(docs, F.col("text"), "bits"), "doc_id", ["text", "bits"])
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.left("text", n - cut), F.left("next_text", cut))
-    rows = both.select("doc_id", n.cast("long").alias("n_chars"), "bits", "next_bits", edited.alias("edited"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "bits", "next_bits", edited.alias("edited"))
     rows = with_fingerprint(rows, F.col("edited"), "edited_bits")
-    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), packed(F.col("bits")).alias("fingerprint"), packed(F.col("edited_bits")).alias("edited_fingerprint"), likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"), likeness(F.col("bits"), F.col("next_bits")).alias("near_next"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        packed(F.col("bits")).alias("fingerprint"),
+        packed(F.col("edited_bits")).alias("edited_fingerprint"),
+        likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"),
+        likeness(F.col("bits"), F.col("next_bits")).alias("near_next"),
+    )

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,12 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-DIGIT = re.compile(r"[0-9]+|@")
+MARK = re.compile(r"[0-9@]")
+WORD = re.compile(r"\S+")
 EDGE = "\"'.,;:!?()[]{}<>|*#$%&"
 SPAN = "struct<start:long,ord:int,end:long>"
-HINT = "struct<start:long,end:long,pattern:string,instance:long,seed:boolean>"
+HINT = "struct<start:long,end:long,patterns:array<string>,instance:long,seed:boolean>"
+SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "A" for c in common.UPPER}, **{c: "a" for c in common.UPPER.lower()}})
 
 
 def luhn(digits: str) -> bool:
@@ -65,96 +68,139 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """The lexical patterns at a place: the two words before it, and the last of them if it ends in a colon or such."""
-    words = text[max(0, start - 60) : start].lower().split()[-2:]
-    if len(words) < 2:
+class Words:
+    """The words of a text (cut at white space), whole, whatever their lengths."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts, self.ends = [], []
+        for m in WORD.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def patterns(self, start: int, end: int, most: int = 3) -> list[str]:
+        """The lexical patterns at a place: one to three words before it, as many after it, the last word before it with
+        the place's word shape, and the words on both sides. What is left of a word that the place cuts counts."""
+        at = bisect_right(self.starts, start) - 1
+        left = [self.text[self.starts[i] : min(self.ends[i], start)] for i in range(max(0, at - most), at + 1)]
+        at = bisect_left(self.ends, end)
+        right = [self.text[max(self.starts[i], end) : self.ends[i]] for i in range(at, min(len(self.ends), at + most + 1))]
+        left, right = ([w.lower() for w in x if w.strip(EDGE + "=-")] for x in (left, right))
+        left, right = left[-most:], right[:most]
+        out = ["<" + " ".join(left[-n:]) for n in range(1, len(left) + 1)]
+        out += [">" + " ".join(right[:n]) for n in range(1, len(right) + 1)]
+        if left:
+            out.append("#" + left[-1] + " " + re.sub(r"(.)\1+", r"\1+", self.text[start:end].translate(SHAPE)))
+        if left and right:
+            out.append("=" + left[-1] + " _ " + right[0])
+        return out
+
+
+def hints(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, list[str], int, bool]]:
+    """Patterns and instance of every seed (base span) and of every other word that looks like an identifier: at least
+    6 characters, white space and EDGE apart, with 4 digits or an @."""
+    if not MARK.search(text):
         return []
-    out = [" ".join(words)]
-    return [*out, words[1]] if words[1][-1] in ":=#" and len(words[1]) > 2 else out
-
-
-def hints(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, bool]]:
-    """Pattern and instance of every seed (base span) and of every other word that looks like an identifier: at least
-    6 characters with 4 digits, or with an @."""
-    out = []
+    words, out = Words(text), []
+    instance = lambda value: xxhash.xxh64_intdigest(value) >> 1
     for start, _, end in base:
-        out += [(start, end, p, xxhash.xxh64_intdigest(text[start:end]) >> 1, True) for p in contexts(text, start)]
-    covered, done = iter(base), 0
-    span = next(covered, None)
-    for m in DIGIT.finditer(text):
-        at = m.start()
-        if at < done:
+        out.append((start, end, words.patterns(start, end), instance(text[start:end]), True))
+    free, ends = 0, [end for _, _, end in base]
+    for a, b in zip(words.starts, words.ends):
+        if b - a < 6:
+            continue
+        word = text[a:b]
+        if not MARK.search(word):
+            continue
+        value = word.strip(EDGE)
+        start = a + len(word) - len(word.lstrip(EDGE))
+        end = start + len(value)
+        if len(value) < 6 or not ("@" in value or sum(c in "0123456789" for c in value) >= 4):
             continue
-        start, end = at, m.end()
-        while start > max(0, at - 100) and not text[start - 1].isspace():
-            start -= 1
-        while end < min(len(text), at + 100) and not text[end].isspace():
-            end += 1
-        done = end
-        while start < end and text[start] in EDGE:
-            start += 1
-        while end > start and text[end - 1] in EDGE:
-            end -= 1
-        while span and span[2] <= start:
-            span = next(covered, None)
-        value = text[start:end]
-        if len(value) < 6 or not ("@" in value or sum(c.isdigit() for c in value) >= 4) or span and span[0] < end:
+        while free < len(base) and ends[free] <= start:
+            free += 1
+        if any(x[0] < end and x[2] > start for x in base[free : free + 4]):
             continue
-        out += [(start, end, p, xxhash.xxh64_intdigest(value) >> 1, False) for p in contexts(text, start)]
+        out.append((start, end, words.patterns(start, end), instance(value), False))
     return out
 
 
 def extracted(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            base = [base_spans(t) for t in batch["text"]]
-            found = [hints(t, b) for t, b in zip(batch["text"], base)]
-            yield pd.DataFrame({
-                "rid": batch["rid"], "doc_id": batch["doc_id"].astype("Int64"),
-                "base": [[dict(zip(("start", "ord", "end"), x)) for x in b] for b in base],
-                "hints": [[dict(zip(("start", "end", "pattern", "instance", "seed"), x)) for x in h] for h in found],
-            })
-
-    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"rid long, doc_id long, base array<{SPAN}>, hints array<{HINT}>")
-
-
-def trusted(edges: DataFrame, rounds: int = 3, confidence: float = 0.6, seeds: int = 3) -> DataFrame:
-    """pattern, instance of the unseen instances that trusted patterns bring.
-
-    edges has pattern, instance, seed. Over the graph of patterns and instances, a pattern's score is the mean belief in
-    its instances (with one unknown more), and an unseen instance is believed as far as its patterns don't all fail
-    it; seeds are believed fully. After the rounds, patterns of at least that confidence with enough seeds count."""
+    """row (a key), doc_id, base (array of spans) and hints of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("ord", pa.int32()), ("end", pa.int64())]))
+        hint = [("start", pa.int64()), ("end", pa.int64()), ("patterns", pa.list_(pa.string())), ("instance", pa.int64()), ("seed", pa.bool_())]
+        for part in common.slices(batches):
+            texts = part.column(2).to_pylist()
+            base = [base_spans(t) for t in texts]
+            found = [[dict(zip(("start", "end", "patterns", "instance", "seed"), x)) for x in hints(t, b)] for t, b in zip(texts, base)]
+            named = [[dict(zip(("start", "ord", "end"), x)) for x in b] for b in base]
+            out = [part.column(0), part.column(1), pa.array(named, spans), pa.array(found, pa.list_(pa.struct(hint)))]
+            yield pa.RecordBatch.from_arrays(out, ["row", "doc_id", "base", "hints"])
+
+    body = F.coalesce(F.col(text), F.lit("")).alias("text")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), body)
+    return rows.mapInArrow(run, f"row long, doc_id long, base array<{SPAN}>, hints array<{HINT}>")
+
+
+def trusted(edges: DataFrame, confidence: float = 0.6, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The patterns of high confidence (pattern, score), and the unseen instances that they discover (instance).
+
+    edges: pattern, instance, seed. Over the graph of patterns and instances, a pattern's score is the share of known
+    instances among its instances and one more; it is trusted at that confidence with at least so many known ones. An
+    unseen instance becomes known if its trusted patterns don't all fail it (1 - product of 1 - score) at that
+    confidence, and then counts as a seed for others. Scores only rise, so rounds go on until nothing new is known."""
     edges = common.saved(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    belief = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
-    for _ in range(rounds):
-        scores = common.saved(edges.join(belief, "instance").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + 1)).alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds")))
-        fit = F.when(F.col("seeds") >= seeds, F.least("score", F.lit(0.999))).otherwise(0.0)
-        doubt = F.exp(F.sum(F.log(1 - fit)))
-        belief = common.saved(edges.join(scores, "pattern").groupBy("instance").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - doubt).alias("belief")))
-    good = scores.where((F.col("seeds") >= seeds) & (F.col("score") >= confidence)).select("pattern")
-    return edges.where("not seed").join(good, "pattern").join(belief.where(F.col("belief") >= confidence), "instance").select("pattern", "instance")
+    known, n = common.saved(edges.where("seed").select("instance").distinct()), -1
+    while True:
+        count = known.count()
+        marked = edges.join(known.withColumn("known", F.lit(1)), "instance", "left")
+        scores = marked.groupBy("pattern").agg(F.sum("known").alias("k"), F.count("*").alias("n"))
+        score = F.col("k") / (F.col("n") + 1)
+        good = scores.where(F.col("k") >= least).select("pattern", score.alias("score")).where(F.col("score") >= confidence)
+        if count == n:
+            return good, known.join(edges.where("seed").select("instance").distinct(), "instance", "left_anti")
+        n = count
+        good = common.saved(good)
+        doubt = F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))
+        new = edges.where("not seed").join(good, "pattern").groupBy("instance").agg(doubt.alias("doubt"))
+        new = new.where(1 - F.col("doubt") >= confidence).select("instance")
+        known = common.saved(known.unionByName(new).distinct())
 
 
 def joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["ord"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    said = F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["ord"]), s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(said, ",")
 
 
 def personal_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base (array of spans) and spans (base, and context ones found by bootstrapping) for every row.
+    """doc_id and spans for every row: an array, sorted, of start, ord (a place in KINDS) and end; the base kinds, and
+    context for what bootstrapping finds. Code points, end exclusive.
 
-    Spans are in code points, end exclusive. Null texts count as empty; repeated rows are rows of their own."""
+    A discovered identifier is reported wherever a trusted pattern stands beside it. Null texts count as empty; texts of
+    any length are read whole; repeated rows are rows of their own, and count once in the graph, which has distinct
+    patterns and instances. Spans that start together are told apart by kind. Other columns of df aren't read, whatever
+    their names. An empty table gives no rows."""
     found = common.saved(extracted(df, doc_id, text))
-    seen = found.select("rid", F.explode("hints").alias("h")).select("rid", "h.*")
-    new = trusted(seen.select("pattern", "instance", "seed"))
-    places = seen.where("not seed").join(new, ["pattern", "instance"]).groupBy("rid").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("context")).alias("ord"), "end")).alias("more"))
+    seen = found.select("row", F.explode("hints").alias("h")).select("row", "h.*")
+    edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "seed")
+    good, new = trusted(edges)
+    places = seen.where("not seed").join(new, "instance").withColumn("pattern", F.explode("patterns"))
+    places = places.join(good.select("pattern"), "pattern", "left_semi").select("row", "start", "end").distinct()
+    span = F.struct("start", F.lit(KINDS.index("context")).alias("ord"), "end")
+    more = places.groupBy("row").agg(F.collect_list(span).alias("more"))
     none = F.array().cast(f"array<{SPAN}>")
-    return found.join(places, "rid", "left").select("doc_id", "base", F.concat("base", F.coalesce("more", none)).alias("spans"))
+    spans = F.array_sort(F.concat("base", F.coalesce("more", none)))
+    return found.select("row", "doc_id", "base").join(more, "row", "left").select("doc_id", spans.alias("spans"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_spans(common.documents(spark, sf_dir))
-    count = lambda k: F.size(F.filter("base", lambda s: s["ord"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, KINDS[:4]), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    """All documents with their personal data, by personal_spans: see there for nulls, empty and long texts, ties, repeated
+    rows, empty tables and other columns."""
+    found = personal_spans(common.documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["ord"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    base = F.filter("spans", lambda s: s["ord"] < KINDS.index("context"))
+    sha = F.sha2(joined(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, KINDS[:-1]), sha, joined(F.col("spans")).alias("spans"))

@@ -132,22 +132,21 @@ class Forest:
                 self.edges.append((x, y))
 
 
-def in_cells(rows: DataFrame, key: str, by: str, largest: int) -> DataFrame:
+def in_cells(rows: DataFrame, counts: DataFrame, key: str, by: str, largest: int) -> DataFrame:
     """rows with a cell (long) for each: groups of equal key and cell hold at most about 2 x largest rows.
 
-    A key with over largest rows is cut into chunks by a hash of column by, and each pair of chunks is a cell of its
-    own, so that every pair of the key meets and no task holds more than two chunks. Which keys those are is counted
-    first; rows is read twice."""
-    hot = rows.groupBy(key).count().where(F.col("count") > largest)
-    hot = common.saved(hot.select(key, F.ceil(F.col("count") / largest).alias("_chunks")))
+    A key with over largest rows (counts has key and n) is cut into chunks by a hash of column by, and each pair of
+    chunks is a cell of its own, so that every pair of the key meets and no task holds more than two chunks."""
+    chunks = F.ceil(F.col("n") / largest).alias("_chunks")
+    hot = common.saved(counts.where(F.col("n") > largest).select(key, chunks))
     if hot.isEmpty():
-        return rows.withColumns({"cell": F.lit(0).cast("long"), "chunk": F.lit(0).cast("long")})
-    n, chunk = F.col("_chunks"), F.coalesce(F.pmod(F.xxhash64(by), F.col("_chunks")), F.lit(0))
+        return rows.withColumn("cell", F.lit(0).cast("long"))
+    n, chunk = F.col("_chunks"), F.pmod(F.xxhash64(by), F.col("_chunks"))
     # chunk c meets chunk d in the cell of (least, greatest)
     cells = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda d: F.least(chunk, d) * n + F.greatest(chunk, d))
     cells = F.when(n.isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)
     # few keys are hot: at most rows / largest, of 16 bytes each; adaptive execution picks the join and splits its skew
-    return rows.join(hot, key, "left").select(*rows.columns, chunk.cast("long").alias("chunk"), F.explode(cells).alias("cell"))
+    return rows.join(hot, key, "left").select(*rows.columns, F.explode(cells).alias("cell"))
 
 
 def by_group(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.Table]:
@@ -229,7 +228,9 @@ def links(nodes: DataFrame, distance: int = 3, pivots: int = 16, largest: int =
             node = fps[:, 0].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node[ends[:, 0]]), pa.array(node[ends[:, 1]])], ["a", "b"])
 
-    rows = in_cells(keyed(nodes, distance), "key", "fp", largest).select("key", "cell", "fp")
+    rows = keyed(nodes, distance)
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    rows = in_cells(rows, counts, "key", "fp", largest).select("key", "cell", "fp")
     return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, "a long, b long")
 
 

@@ -87,7 +87,7 @@ def sampled(df: DataFrame, docs: int = 10_000, least: int = 10) -> DataFrame:
 def candidates(rows: DataFrame, hubs_only: bool) -> DataFrame:
     """Distinct pairs a < b of nodes whose fingerprints allow a similarity of 0.8.
 
-    rows: key, cell, chunk, node, size, root, parities. hubs_only: pairs of each group's hub (its least node by a hash)
+    rows: key, cell, node, size, root, parities. hubs_only: pairs of each group's hub (its least node by a hash)
     alone; otherwise all pairs with different roots."""
     refs = simhash.references(PIVOTS, LONGS)
 
@@ -154,7 +154,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return common.saved(rows.mapInArrow(run, "a long, b long"))
 
 
-def similar_components(df: DataFrame, frequent: int = 100, most_frequent: int = 200_000, largest: int = 4000) -> DataFrame:
+def shared(nodes: DataFrame) -> DataFrame:
+    """key (a prefix shingle of several nodes), n (how many), x and y (hashes of which): aggregated before the shuffle."""
+    tokens = nodes.select("node", F.explode("prefix").alias("key"))
+    which = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(c) for i, c in enumerate("xy")]
+    return tokens.groupBy("key").agg(F.count("*").alias("n"), *which).where("n > 1")
+
+
+def similar_components(
+    df: DataFrame, frequent: int = 1000, most_frequent: int = 200_000, largest: int = 4000
+) -> DataFrame:
     """row and component (a row of it; one value for all rows connected by similarities of 0.8 or more), for every row.
 
     df: row (long, unique), text, in files, as it is read several times; other columns aren't read. Words are lower-cased
@@ -162,7 +171,8 @@ def similar_components(df: DataFrame, frequent: int = 100, most_frequent: int =
     shingle. Repeated rows are copies. An empty table gives no rows.
 
     Shingles that are common in a sample or in over `frequent` prefixes (most_frequent of each at most) are put last in
-    the order. Any set of them may be: it only saves pairs. Groups of over largest texts are dealt in cells."""
+    the order. Any set of them may be: it only saves pairs. Of shingles that the very same texts share, one is enough.
+    Groups of over largest texts are dealt in cells."""
 
     def last(counts: DataFrame) -> np.ndarray:
         top = counts.orderBy(F.desc("count"), "token").limit(most_frequent).select("token")
@@ -170,37 +180,37 @@ def similar_components(df: DataFrame, frequent: int = 100, most_frequent: int =
 
     first = last(sampled(df))
     sets = common.saved(prefixes(df, first))
-    nodes = sets.join(sets.groupBy("digest").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    several = sets.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n")).where("n > 1")
+    copies = common.saved(sets.select("row", "digest").join(several, "digest").select("row", "node"))
+    nodes = sets.join(copies.where("row <> node").select("row"), "row", "left_anti")
     nodes = nodes.select(F.col("row").alias("node"), "size", "prefix", "parities")
-    counts = nodes.select(F.explode("prefix").alias("token")).groupBy("token").count()
-    hot = np.setdiff1d(last(counts.where(F.col("count") > frequent)), first)
+    keys = common.saved(shared(nodes))
+    hot = last(keys.where(F.col("n") > frequent).select(F.col("key").alias("token"), F.col("n").alias("count")))
+    hot = np.setdiff1d(hot, first)
     if len(hot):
         every = np.union1d(first, hot)
         # a prefix that ends before the common shingles and has no new one is the same in both orders; others change
         tokens = df.sparkSession.createDataFrame([(int(t),) for t in every.view(np.int64)], "token long")
         held = nodes.select("node", F.explode("prefix").alias("token")).join(F.broadcast(tokens), "token", "left_semi")
-        again = common.saved(held.select("node").distinct())
-        other = prefixes(df.select("row", "text").join(again.withColumnRenamed("node", "row"), "row", "left_semi"), every)
+        again = common.saved(held.select(F.col("node").alias("row")).distinct())
+        other = prefixes(df.select("row", "text").join(again, "row", "left_semi"), every)
         other = other.select(F.col("row").alias("node"), "size", "prefix", "parities")
-        nodes = nodes.join(again, "node", "left_anti").unionByName(other)
-    nodes = common.saved(nodes)
-
-    # shingles of one text alone go before the fingerprints come in
-    rows = nodes.select("node", F.explode("prefix").alias("key"))
-    shared = nodes.select(F.explode("prefix").alias("key")).groupBy("key").count().where("count > 1").select("key")
-    rows = common.saved(rows.join(shared, "key", "left_semi"))
-    cells = common.saved(simhash.in_cells(rows, "key", "node", largest))
+        nodes = common.saved(nodes.join(again.withColumnRenamed("row", "node"), "node", "left_anti").unionByName(other))
+        keys = common.saved(shared(nodes))
+    chosen = common.saved(keys.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key", "n"))
+    rows = nodes.select("node", F.explode("prefix").alias("key")).join(chosen.select("key"), "key")
+    cells = simhash.in_cells(common.saved(rows.select("key", "node")), chosen, "key", "node", largest)
+    facts = nodes.select("node", "size", "parities")
 
     def pairs(roots: DataFrame | None) -> DataFrame:
-        facts = nodes.select("node", "size", "parities")
-        facts = facts.join(roots, "node", "left") if roots else facts.withColumn("root", F.lit(None).cast("long"))
-        facts = facts.withColumn("root", F.coalesce("root", "node"))
-        return candidates(cells.join(facts, "node"), roots is None)
+        known = facts.join(roots, "node", "left") if roots else facts.withColumn("root", F.lit(None).cast("long"))
+        known = known.withColumn("root", F.coalesce("root", "node"))
+        return candidates(cells.join(known, "node"), roots is None)
 
     edges = verified(pairs(None), df)
     roots = common.saved(graph.components(edges))
     more = verified(pairs(roots), df)
     if not more.isEmpty():
         roots = common.saved(graph.components(edges.unionByName(more)))
-    copies = sets.select("row", F.col("digest")).join(sets.groupBy("digest").agg(F.min("row").alias("node")), "digest")
-    return copies.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("component"))
+    named = df.select("row").join(copies, "row", "left").select("row", F.coalesce("node", "row").alias("node"))
+    return named.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("component"))
