@@ -5,7 +5,9 @@ neighbouring strings mostly share one. All suffixes of one key are a bucket. Thr
 same exchange each time) find which keys occur in two texts, hand the stretches of such keys to their buckets, and
 apply the answers:
 
-1. each group lists its distinct keys; buckets answer with a bit for each: in another text as well or not;
+1. each group lists its distinct keys; buckets answer with two bits for each: in another text as well or not, and
+   hot or not. A hot key has very many different stretches; in the later passes each of its strings has a key of its
+   own, the string's hash, so that equal strings still meet and no bucket gets all of them;
 2. each group hands over the distinct stretches (what neighbouring strings of one key cover) of repeated keys, with
    the least doc_id of each; a bucket sorts the suffixes of keys with several stretches, and answers with the least
    doc_id of each string;
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, GRAM = 50, 25
+GRAMS = LENGTH - GRAM + 1
+MIX = np.uint64(0x9E3779B97F4A7C15)
 NONE = 2**63 - 1  # a null doc_id: larger than all
 LONGEST = 512  # strings in one stretch
 PIECE = 1 << 15
@@ -133,6 +138,15 @@ def least_gram(byte: np.ndarray) -> np.ndarray:
     return np.minimum(least[: len(least) - (span - n)], least[span - n :])
 
 
+class Part(NamedTuple):
+    """Stretches: where they start, of how many strings, under which key, and whose (number of the text)."""
+
+    start: np.ndarray
+    count: np.ndarray
+    key: np.ndarray
+    owner: np.ndarray
+
+
 class Group:
     """Texts of one group with the key of each of their strings, and the stretches of equal keys."""
 
@@ -175,63 +189,113 @@ class Group:
         self.key = least[self.start]
         self.owner = np.searchsorted(self.begin, self.start, side="right") - 1
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct keys in order, and whether two texts here have it."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct keys in order, whether two texts here have it, and about how many different stretches it has."""
         order = np.argsort(self.key, kind="stable")
         key, owner = self.key[order], self.owner[order]
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
-        return key[heads], np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads) if len(heads) else np.zeros(0, dtype=bool)
-
-    def repeated(self, answers: pd.DataFrame, buckets: int) -> np.ndarray:
-        """The stretches whose keys another text has: from the buckets' bits, in the order of distinct()."""
-        keys, _ = self.distinct()
-        found = np.zeros(len(keys), dtype=bool)
-        edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-        for bucket, data in zip(answers["bucket"], answers["data"]):
-            n = edges[bucket + 1] - edges[bucket]
-            found[edges[bucket] : edges[bucket + 1]] = np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=n).astype(bool)
-        return np.flatnonzero(found[np.searchsorted(keys, self.key)]) if len(keys) else np.zeros(0, dtype=np.int64)
-
-    def stretches(self, which: np.ndarray) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-        """Distinct stretches, numbered by first occurrence; the number of each of which; the least doc of each."""
+        if not len(key):
+            return key, np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        times = np.diff(np.append(heads, len(key)))
+        several = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
+        # stretches of a key that occurs more than once are told apart by their lengths and 16 bytes at their ends
+        which = np.repeat(np.arange(len(heads)), times)
+        again = np.flatnonzero(times[which] > 1)
+        at, count = self.start[order[again]], self.count[order[again]]
+        sign = (self._word(at) * MIX ^ self._word(at + count + (LENGTH - 9))) * MIX + count.astype(np.uint64)
+        place = np.lexsort((sign, which[again]))
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = (which[again][place][1:] != which[again][place][:-1]) | (sign[place][1:] != sign[place][:-1])
+        kinds = np.ones(len(heads), dtype=np.int64)
+        kinds[times > 1] = np.bincount(which[again][place][new], minlength=len(heads))[times > 1]
+        return key[heads], several, kinds
+
+    def _word(self, at: np.ndarray) -> np.ndarray:
+        byte = np.frombuffer(self.data, dtype=np.uint8)
+        return np.ascontiguousarray(byte[at[:, None] + np.arange(8)]).view(np.uint64).ravel()
+
+    def _string_key(self, at: np.ndarray) -> np.ndarray:
+        """A key for each string of 50 bytes, from its hash, distributed as least hashes are (see bucket_of)."""
+        out = np.zeros(len(at), dtype=np.uint64)
+        for a in range(0, len(at), 1 << 18):
+            h = np.zeros(len(at[a : a + (1 << 18)]), dtype=np.uint64)
+            for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
+                h = (h ^ self._word(at[a : a + (1 << 18)] + k)) * MIX
+                h ^= h >> np.uint64(29)
+            share = h.astype(np.float64) / 2.0**64
+            out[a : a + (1 << 18)] = (-np.expm1(np.log1p(-np.minimum(share, 1 - 1e-15)) / GRAMS) * 2.0**64).astype(np.uint64)
+        return out
+
+    def repeated(self, answers: pd.DataFrame, buckets: int) -> Part:
+        """The stretches whose keys another text has, those of hot keys string by string: from the buckets' bits, which
+        are in the order of distinct()."""
+        keys = self.distinct()[0]
+        if not len(keys):
+            return Part(self.start, self.count, self.key, self.owner)
+        found, hot = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+        own, asked = bucket_of(keys, buckets), answers["bucket"].to_numpy()
+        starts, ends = np.searchsorted(own, asked), np.searchsorted(own, asked, side="right")
+        for a, b, data in zip(starts.tolist(), ends.tolist(), answers["data"]):
+            bits = np.frombuffer(data, dtype=np.uint8).reshape(2, -1)
+            found[a:b] = np.unpackbits(bits[0], count=b - a).astype(bool)
+            hot[a:b] = np.unpackbits(bits[1], count=b - a).astype(bool)
+        at = np.searchsorted(keys, self.key)
+        which, single = np.flatnonzero(found[at] & ~hot[at]), np.flatnonzero(hot[at])
+        n = self.count[single]
+        start = np.repeat(self.start[single], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return Part(
+            np.append(self.start[which], start),
+            np.append(self.count[which], np.ones(len(start), dtype=np.int64)),
+            np.append(self.key[which], self._string_key(start)),
+            np.append(self.owner[which], np.repeat(self.owner[single], n)),
+        )
+
+    def stretches(self, part: Part) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+        """Distinct stretches, numbered by first occurrence; the number of each of part; the least doc of each."""
         seen: dict[bytes, int] = {}
-        data = self.data
-        number = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(self.start[which].tolist(), (self.start[which] + self.count[which] + LENGTH - 1).tolist())], dtype=np.int64)
+        data, ends = self.data, part.start + part.count + (LENGTH - 1)
+        number = [seen.setdefault(data[a:b], len(seen)) for a, b in zip(part.start.tolist(), ends.tolist())]
+        number = np.array(number, dtype=np.int64)
         least = np.full(len(seen), NONE, dtype=np.int64)
-        np.minimum.at(least, number, self.doc[self.owner[which]])
+        np.minimum.at(least, number, self.doc[part.owner])
         return seen, number, least
 
-    def split(self, which: np.ndarray, number: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stretch numbers in the order of buckets, where each bucket begins in it, and the key of each stretch."""
-        key = np.zeros(n, dtype=np.uint64)
-        key[number] = self.key[which]
-        bucket = bucket_of(key, buckets)
-        order = np.argsort(bucket, kind="stable")
-        return order, np.searchsorted(bucket[order], np.arange(buckets + 1)), key
+
+def dealt(part: Part, number: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The key of each of n stretches, and for each bucket that has some its stretches' numbers."""
+    key = np.zeros(n, dtype=np.uint64)
+    key[number] = part.key
+    bucket = bucket_of(key, buckets)
+    order = np.argsort(bucket, kind="stable")
+    names, heads = np.unique(bucket[order], return_index=True)
+    return key, list(zip(names.tolist(), np.split(order, heads[1:]))) if n else []
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of keys. Keys are least hashes, so small ones are common; the power evens the ranges out."""
     share = key.astype(np.float64) / 2.0**64
-    return np.minimum((buckets * -np.expm1(26 * np.log1p(-np.minimum(share, 1 - 1e-16)))).astype(np.int64), buckets - 1)
+    return np.minimum((buckets * -np.expm1(GRAMS * np.log1p(-np.minimum(share, 1 - 1e-16)))).astype(np.int64), buckets - 1)
 
 
-def removed(group: Group, which: np.ndarray, number: np.ndarray, least: list[np.ndarray]) -> list[tuple]:
-    """(digest, first_id, n_bytes, n_removed, n_spans, kept_sha256) of each text."""
+def removed(group: Group, part: Part, number: np.ndarray, least: list[np.ndarray]) -> list[tuple]:
+    """(digest, first_id, spans, kept_sha256) of each text; spans: starts and ends of what goes, one after the other."""
     cover = np.zeros(len(group.data) + 1, dtype=np.int32)
-    if len(which):
-        count = group.count[which]
+    if len(number):
+        count = part.count
         flat = np.concatenate([least[i] for i in number])
-        place = np.repeat(group.start[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        gone = place[flat < np.repeat(group.doc[group.owner[which]], count)]
+        place = np.repeat(part.start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        gone = place[flat < np.repeat(group.doc[part.owner], count)]
         np.add.at(cover, gone, 1)
         np.add.at(cover, gone + LENGTH, -1)
     hidden = np.cumsum(cover)[:-1] > 0
     byte, rows = np.frombuffer(group.data, dtype=np.uint8), []
     for digest, doc, a, n in zip(group.digest, group.doc.tolist(), group.begin.tolist(), group.sizes.tolist()):
         h = hidden[a : a + n]
-        k = int(h.sum())
-        rows.append((digest, None if doc == NONE else doc, k, int(h[0]) + int((h[1:] & ~h[:-1]).sum()) if k else 0, hashlib.sha256(byte[a : a + n][~h].tobytes()).hexdigest() if k else digest))
+        spans, sha = None, digest
+        if h.any():
+            spans = np.flatnonzero(np.diff(h, prepend=False, append=False)).tolist()
+            sha = hashlib.sha256(byte[a : a + n][~h].tobytes()).hexdigest()
+        rows.append((digest, None if doc == NONE else doc, spans, sha))
     return rows
 
 
@@ -256,30 +320,35 @@ def texts(df: DataFrame, groups: int) -> DataFrame:
     return rows.mapInPandas(run, "g long, digest string, doc_id long, body binary")
 
 
-def without_repeats(df: DataFrame, group_bytes: int = 8_000_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
+def without_repeats(df: DataFrame, group_bytes: int = 8_000_000, hot: int = 20_000) -> DataFrame:
+    """doc_id, n_bytes, spans (array of start and end of each maximal removed run, in bytes) and kept_sha256 (of the
+    remaining bytes) for every row.
 
     A byte goes if a 50-byte string that covers it also starts in a document of smaller doc_id. Null texts count as
-    empty; a null doc_id is larger than all others, and rows of one doc_id don't remove each other's strings."""
+    empty, and texts of under 50 bytes stay whole; a text of any length is one group's at least, in memory. A null doc_id
+    is larger than all others; rows of one doc_id (ties, repeated rows) don't remove each other's strings. Other columns
+    of df aren't read, whatever their names. An empty table gives no rows.
+
+    hot: keys with over so many different stretches, counted by group, are dealt string by string."""
     body = F.coalesce("text", F.lit("")).cast("binary")
-    narrow = common.saved(df.select("doc_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes")))
+    narrow = df.select("doc_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes"))
+    narrow = common.saved(narrow)
     total = narrow.agg(F.sum("n_bytes")).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    buckets = groups
+    buckets = min(groups, max(256, groups // 4))
     grouped = texts(df, groups).groupBy("g")
 
     def list_keys(rows: pd.DataFrame) -> pd.DataFrame:
         group = Group(rows)
-        keys, several = group.distinct()
-        edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-        out = []
-        for b in range(buckets):
-            own = keys[edges[b] : edges[b + 1]]
-            if len(own):
-                # six bytes of a key tell it apart well enough here: answers only choose what is compared
-                low = np.ascontiguousarray(own.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 2:]
-                out.append((b, int(rows["g"].iloc[0]), np.ascontiguousarray(low.T).tobytes(), np.packbits(several[edges[b] : edges[b + 1]]).tobytes()))
-        return pd.DataFrame(out, columns=["bucket", "g", "keys", "several"])
+        keys, several, kinds = group.distinct()
+        # six bytes of a key tell it apart well enough here: answers only choose what is compared
+        low = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 2:]
+        facts = np.minimum(kinds, 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
+        names, heads = np.unique(bucket_of(keys, buckets), return_index=True)
+        g, ends, out = int(rows["g"].iloc[0]), [*heads[1:], len(keys)], []
+        for b, i, j in zip(names.tolist(), heads.tolist(), ends):
+            out.append((b, g, np.ascontiguousarray(low[i:j].T).tobytes(), facts[i:j].tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "g", "keys", "facts"])
 
     def answer_keys(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("g")
@@ -289,32 +358,34 @@ def without_repeats(df: DataFrame, group_bytes: int = 8_000_000) -> DataFrame:
             wide = np.zeros((n, 8), dtype=np.uint8)
             wide[:, 2:] = np.frombuffer(data, dtype=np.uint8).reshape(6, n).T
             parts.append(wide.view("<u8").ravel())
-        key = np.concatenate(parts)
-        twice = np.concatenate([np.unpackbits(np.frombuffer(s, dtype=np.uint8), count=len(p)).astype(bool) for s, p in zip(rows["several"], parts)])
+        key, facts = np.concatenate(parts), np.frombuffer(b"".join(rows["facts"]), dtype=np.uint8)
         order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
-        # all of a run of equal keys: the middle ones have both neighbours, the ends one
+        heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        times = np.diff(np.append(heads, len(order)))
+        several = np.maximum.reduceat(facts[order] >> 7, heads).astype(bool) | (times > 1)
+        many = np.add.reduceat((facts[order] & 127).astype(np.int64), heads) > hot
+        twice, often = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+        twice[order], often[order] = np.repeat(several, times), np.repeat(several & many, times)
         edges = np.cumsum([0, *map(len, parts)])
-        return pd.DataFrame({"g": rows["g"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "data": [np.packbits(twice[a:b]).tobytes() for a, b in zip(edges, edges[1:])]})
+        bits = [np.packbits(twice[a:b]).tobytes() + np.packbits(often[a:b]).tobytes() for a, b in zip(edges, edges[1:])]
+        return pd.DataFrame({"g": rows["g"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "data": bits})
 
-    bits = grouped.applyInPandas(list_keys, "bucket long, g long, keys binary, several binary").groupBy("bucket").applyInPandas(answer_keys, "g long, bucket long, data binary")
+    listed = grouped.applyInPandas(list_keys, "bucket long, g long, keys binary, facts binary")
+    bits = listed.groupBy("bucket").applyInPandas(answer_keys, "g long, bucket long, data binary")
 
     def hand_over(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         columns = ["bucket", "g", "sizes", "docs", "keys", "data"]
         if not len(rows):
             return pd.DataFrame(columns=columns)
         group = Group(rows)
-        which = group.repeated(answers, buckets)
-        seen, number, least = group.stretches(which)
-        order, edges, key = group.split(which, number, len(seen), buckets)
-        listed, out = list(seen), []
-        for b in range(buckets):
-            own = order[edges[b] : edges[b + 1]]
-            if len(own):
-                some = [listed[i] for i in own]
-                out.append((b, int(rows["g"].iloc[0]), np.array([len(s) for s in some], dtype=np.uint16).tobytes(), least[own].tobytes(), key[own].tobytes(), b"".join(some)))
+        part = group.repeated(answers, buckets)
+        seen, number, least = group.stretches(part)
+        key, by_bucket = dealt(part, number, len(seen), buckets)
+        listed, g, out = list(seen), int(rows["g"].iloc[0]), []
+        for b, own in by_bucket:
+            some = [listed[i] for i in own]
+            sizes = np.array([len(s) for s in some], dtype=np.uint16).tobytes()
+            out.append((b, g, sizes, least[own].tobytes(), key[own].tobytes(), b"".join(some)))
         return pd.DataFrame(out, columns=columns)
 
     def sort_buckets(rows: pd.DataFrame) -> pd.DataFrame:
@@ -349,39 +420,47 @@ def without_repeats(df: DataFrame, group_bytes: int = 8_000_000) -> DataFrame:
             out.append((g, bucket, np.array([len(x) for x in some], dtype=np.uint16).tobytes(), np.concatenate(some).tobytes()))
         return pd.DataFrame(out, columns=["g", "bucket", "sizes", "data"])
 
-    strings = grouped.cogroup(bits.groupBy("g")).applyInPandas(hand_over, "bucket long, g long, sizes binary, docs binary, keys binary, data binary")
+    handed = "bucket long, g long, sizes binary, docs binary, keys binary, data binary"
+    strings = grouped.cogroup(bits.groupBy("g")).applyInPandas(hand_over, handed)
     least = strings.groupBy("bucket").applyInPandas(sort_buckets, "g long, bucket long, sizes binary, data binary")
     told = bits.select("g", "bucket", F.lit(None).cast("binary").alias("sizes"), "data").unionByName(least)
 
     def apply(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["digest", "first_id", "n_removed", "n_spans", "kept_sha256"]
+        columns = ["digest", "first_id", "gone", "kept_sha256"]
         if not len(rows):
             return pd.DataFrame(columns=columns)
         group = Group(rows)
         first = answers["sizes"].isna()
-        which = group.repeated(answers[first], buckets)
-        seen, number, _ = group.stretches(which)
-        order, edges, _ = group.split(which, number, len(seen), buckets)
+        part = group.repeated(answers[first], buckets)
+        seen, number, _ = group.stretches(part)
+        by_bucket = dict(dealt(part, number, len(seen), buckets)[1])
         size = np.zeros(len(seen), dtype=np.int64)
-        size[number] = group.count[which]
+        size[number] = part.count
         values: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(seen)
         for bucket, sizes, data in zip(answers["bucket"][~first], answers["sizes"][~first], answers["data"][~first]):
             ends = np.cumsum(np.frombuffer(sizes, dtype=np.uint16).astype(np.int64)).tolist()
             flat = np.frombuffer(data, dtype=np.int64)
-            for i, a, b in zip(order[edges[bucket] : edges[bucket + 1]].tolist(), [0, *ends], ends):
+            for i, a, b in zip(by_bucket[bucket].tolist(), [0, *ends], ends):
                 values[i] = flat[a:b] if b - a == size[i] else np.broadcast_to(flat[a], size[i])
-        return pd.DataFrame(removed(group, which, number, values), columns=columns).astype({"first_id": "Int64"})
+        return pd.DataFrame(removed(group, part, number, values), columns=columns).astype({"first_id": "Int64"})
 
-    result = grouped.cogroup(told.groupBy("g")).applyInPandas(apply, "digest string, first_id long, n_removed long, n_spans long, kept_sha256 string")
+    told = grouped.cogroup(told.groupBy("g"))
+    result = told.applyInPandas(apply, "digest string, first_id long, gone array<long>, kept_sha256 string")
     own, long_enough = F.col("doc_id").eqNullSafe(F.col("first_id")), F.col("n_bytes") >= LENGTH
     pick = lambda mine, copy, short: F.when(own, mine).otherwise(F.when(long_enough, copy).otherwise(short))
-    return narrow.join(result, "digest").select(
-        "doc_id", "n_bytes",
-        pick(F.col("n_removed"), F.col("n_bytes"), F.lit(0)).cast("long").alias("n_removed"),
-        pick(F.col("n_spans"), F.lit(1), F.lit(0)).cast("long").alias("n_spans"),
-        pick(F.col("kept_sha256"), F.sha2(F.lit("").cast("binary"), 256), F.col("digest")).alias("kept_sha256"),
-    )
+    # a copy of an earlier text goes as a whole
+    gone = pick(F.col("gone"), F.array(F.lit(0).cast("long"), F.col("n_bytes")), F.lit(None).cast("array<long>"))
+    gone = F.coalesce(gone, F.array().cast("array<long>"))
+    evens = F.filter(gone, lambda _, i: i % 2 == 0)
+    odds = F.filter(gone, lambda _, i: i % 2 == 1)
+    spans = F.zip_with(evens, odds, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    kept = pick(F.col("kept_sha256"), F.sha2(F.lit("").cast("binary"), 256), F.col("digest"))
+    return narrow.join(result, "digest").select("doc_id", "n_bytes", spans.alias("spans"), kept.alias("kept_sha256"))
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(common.documents(spark, sf_dir).select("doc_id", "text"))
+    """All documents with counts of what goes, by without_repeats: see there for nulls, empty and long texts, ties, repeated
+    rows, empty tables and other columns."""
+    rows = without_repeats(common.documents(spark, sf_dir).select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
