@@ -50,12 +50,13 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", supp
 
 
 def without_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", support: float = 1e-3) -> DataFrame:
-    """The rows of df that exact_groups keeps, with all their columns. Texts aren't moved to find the others."""
+    """The rows of df that exact_groups keeps, with all their columns. No text is moved to find the others."""
     own = common.unused(df, "_row")
     rows = common.saved(df.withColumn(own, F.monotonically_increasing_id()))
     keys = common.saved(rows.select(digest(F.col(text)).alias("text_sha256"), F.col(doc_id).alias("id"), F.col(own).alias("rid")))
     gone = marked(keys, support).where(F.col("rid") != F.col("top.rid")).select(F.col("rid").alias(own))
-    return rows.join(gone, own, "left_anti").drop(own)
+    # written first, so that a list that is small by its size is broadcast
+    return rows.join(common.saved(gone), own, "left_anti").drop(own)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,8 +79,8 @@ class Words:
             self.ends.append(m.end())
 
     def patterns(self, start: int, end: int, most: int = 3) -> list[str]:
-        """The lexical patterns at a place: one to three words before it, as many after it, the last word before it with
-        the place's word shape, and the words on both sides. What is left of a word that the place cuts counts."""
+        """The lexical patterns at a place: one to three words before it, two or three after it, the last word before it
+        with the place's word shape, and the words on both sides. What is left of a word that the place cuts counts."""
         at = bisect_right(self.starts, start) - 1
         left = [self.text[self.starts[i] : min(self.ends[i], start)] for i in range(max(0, at - most), at + 1)]
         at = bisect_left(self.ends, end)
@@ -88,7 +88,7 @@ class Words:
         left, right = ([w.lower() for w in x if w.strip(EDGE + "=-")] for x in (left, right))
         left, right = left[-most:], right[:most]
         out = ["<" + " ".join(left[-n:]) for n in range(1, len(left) + 1)]
-        out += [">" + " ".join(right[:n]) for n in range(1, len(right) + 1)]
+        out += [">" + " ".join(right[:n]) for n in range(2, len(right) + 1)]
         if left:
             out.append("#" + left[-1] + " " + re.sub(r"(.)\1+", r"\1+", self.text[start:end].translate(SHAPE)))
         if left and right:

@@ -135,23 +135,23 @@ def candidates(rows: DataFrame, hubs_only: bool) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b: rows) whose texts' sets have a similarity of 0.8 or more; texts: row, text."""
-    text = lambda x: texts.select(F.col("row").alias(x), F.coalesce("text", F.lit("")).alias(f"text_{x}"))
+    """Those of pairs (a, b: rows) whose texts' sets have a similarity of 0.8 or more; texts: row, text.
+
+    The sets of the texts that are in some pair are made once. Which texts those are is written first, so that a list
+    that is small by its size is broadcast, and the other texts stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, 250):
-            held: dict[str, np.ndarray] = {}  # of these rows only
-            sides = [part.column(i).to_pylist() for i in (2, 3)]
-            for t in {*sides[0], *sides[1]}:
-                held[t] = shingles(t)
-            close = []
-            for s, t in zip(*sides):
-                both = len(np.intersect1d(held[s], held[t], assume_unique=True))
-                close.append(9 * both >= 4 * (len(held[s]) + len(held[t])))
-            yield part.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
-
-    rows = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-    return common.saved(rows.mapInArrow(run, "a long, b long"))
+        for part in common.slices(batches):
+            sets = lists([shingles(t) for t in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), sets], ["row", "set"])
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    needed = texts.join(common.saved(needed), "row", "left_semi").select("row", F.coalesce("text", F.lit("")).alias("text"))
+    sets = common.saved(needed.mapInArrow(run, "row long, set array<long>"))
+    side = lambda x: sets.select(F.col("row").alias(x), F.col("set").alias(f"set_{x}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    alike = 9 * both >= 4 * (F.size("set_a") + F.size("set_b"))
+    return common.saved(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"))
 
 
 def shared(nodes: DataFrame) -> DataFrame:

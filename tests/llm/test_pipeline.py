@@ -89,3 +89,29 @@ def test_near_copies_go_by_row(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = pipeline.near(spark, docs, "").collect()
     assert sorted((str(r.doc_id), r.text[0]) for r in got) == [("1", "a"), ("2", "b"), ("3", "c"), ("None", "d")]
+
+
+def test_near_copies_of_the_sample(spark):
+    """All pairs of sf0.01 after exact dedup, by an index of shingles: the same rows stay."""
+    docs = common.saved(pipeline.exact(spark, common.documents(spark, "/root/testdata/sf0.01"), ""))
+    lower = str.maketrans(common.UPPER, common.UPPER.lower())
+    rows = sorted((r.doc_id, (r.text or "").translate(lower).split()) for r in docs.collect())
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for _, t in rows]
+    at, sharing = list(range(len(sets))), defaultdict(list)
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    pairs = 0
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in sharing[x]).items():
+            if 9 * n >= 4 * (len(s) + len(sets[j])):
+                pairs += 1
+                a, b = sorted((root(i), root(j)))
+                at[b] = a
+        for x in s:
+            sharing[x].append(i)
+    assert pairs
+    assert {r.doc_id for r in pipeline.near(spark, docs, "").collect()} == {rows[i][0] for i in range(len(rows)) if root(i) == i}
