@@ -39,7 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows that are alone never move their texts: what goes is joined, not what stays
     several = found.groupBy("component").agg(first.alias("kept"), F.count("*").alias("n")).where("n > 1")
     gone = found.join(several.select("component", F.col("kept.row").alias("kept")), "component").where("row <> kept")
-    return rows.join(gone.select("row"), "row", "left_anti").select(COLUMNS)
+    return rows.join(common.saved(gone.select("row")), "row", "left_anti").select(COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
