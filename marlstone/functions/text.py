@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,10 +27,35 @@ def sentences(text: Column) -> Column:
 
 
 def chunks(text: Column, size: int = 200, step: int = 150) -> Column:
-    """Overlapping pieces of size characters that start every step; an empty text has one empty chunk."""
-    starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - 1, F.lit(0)), F.lit(step))
-    return F.transform(starts, lambda at: F.substring(text, at + 1, F.lit(size)))
+    """Overlapping pieces of size characters that start every step; an empty text has one empty chunk, a null one null.
+
+    The text is cut once into parts that size and step are made of, and chunks are put together from neighbours, so
+    that time is in proportion to the text (substring would count from the start each time)."""
+    part = gcd(size, step)
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{part}}}"), F.lit(0))
+
+    def put_together(parts: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)), F.lit(step // part))
+        return F.transform(starts, lambda at: F.array_join(F.slice(parts, at + 1, F.lit(size // part)), ""))
+
+    # an array of one element, so that the text is cut once and not once a chunk
+    return F.when(text.isNotNull(), F.transform(F.array(cut), put_together)[0])
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
+
+
+def normal(text: Column) -> Column:
+    """Tokens with a space before, between and after: a phrase in this form is contained where its tokens follow."""
+    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+
+
+def token_shingles(text: Column, n: int) -> Column:
+    """The distinct runs of n tokens."""
+
+    def runs(words: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size(words))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+    return F.when(text.isNotNull(), F.transform(F.array(tokens(text)), runs)[0])

@@ -1,3 +1,5 @@
+"""Arithmetic on arrays of numbers."""
+
 from __future__ import annotations
 
 from pyspark.sql import Column

@@ -1,4 +1,4 @@
-"""Scores: a label if there is one, else a rule; bands."""
+"""Scores: a label if there is one, else a rule or a model; bands."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import chunks
 
 BANDS = [(0.2, "none"), (0.4, "low"), (0.6, "medium"), (0.8, "high")]
+Scorer = Callable[[pd.Series], pd.Series]
 
 
 def rule_score(text: Column, lexicon: list[str]) -> Column:
@@ -30,6 +31,16 @@ def label_or_rule(docs: DataFrame, labels: DataFrame, lexicon: list[str]) -> Dat
     return scored.select("doc_id", F.coalesce(F.col("toxic").cast("double"), "rule").alias("score"), F.col("toxic").isNull().alias("by_rule"))
 
 
+def judged(docs: DataFrame, labels: DataFrame, by: str | Scorer = "rule", lexicon: list[str] | None = None, calls: int | None = None) -> DataFrame:
+    """doc_id, score: a label if there is one, else what by says: "rule" (the word list's) or a scorer, such as a model
+    of any provider behind a service, of which at most calls run at once. Labelled documents aren't sent to it."""
+    if by == "rule":
+        return label_or_rule(docs, labels, lexicon or []).select("doc_id", "score")
+    known = docs.select("doc_id").join(labels.select("doc_id", F.col("toxic").cast("double").alias("score")), "doc_id")
+    rest = docs.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_anti")
+    return known.unionByName(with_scorer(rest, by, calls=calls).select("doc_id", "score"))
+
+
 def band(score: Column, bands: list[tuple[float, str]] = BANDS, top: str = "severe") -> Column:
     out = F.lit(top)
     for limit, name in reversed(bands):
@@ -37,7 +48,7 @@ def band(score: Column, bands: list[tuple[float, str]] = BANDS, top: str = "seve
     return out
 
 
-def with_scorer(df: DataFrame, scorer: Callable[[pd.Series], pd.Series], text: str = "text", calls: int | None = None) -> DataFrame:
+def with_scorer(df: DataFrame, scorer: Scorer, text: str = "text", calls: int | None = None) -> DataFrame:
     """Adds score by a function over batches of texts, such as a model behind a service; at most calls run at once."""
     schema = df.withColumn("score", F.lit(0.0)).schema
 

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import dot
+from ..functions.vectors import cosine, dot
+from ..functions import udfs
 from ..operators import retrieval, scoring
+from ..sources import numbered
 from ..sources.tables import TABLES, restore_missing, table
 from ..streaming import events as E
 
@@ -114,8 +116,10 @@ COS_SQL = "round({0} / (sqrt({1}) * sqrt({2})), 6)".format(*(DOT_SQL.format(a=a,
 
 @query(f"SELECT a.vec_id AS query_id, b.vec_id, round({DOT_SQL.format(a='a.embedding', b='b.embedding')}, 4) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
 def q12_dot_products(spark, d):
+    """A stated query set (ids divisible by 100) against all rows, in bounded blocks."""
     q = _queries(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return table(spark, d, "embeddings").crossJoin(F.broadcast(q)).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 4).alias("score"))
+    pairs = retrieval.with_queries(q, table(spark, d, "embeddings").select("vec_id", "embedding"))
+    return pairs.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 4).alias("score"))
 
 
 @query(f"SELECT query_id, vec_id, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS_SQL} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5")
@@ -123,19 +127,25 @@ def q13_nearest(spark, d):
     return retrieval.nearest(_queries(spark, d), table(spark, d, "embeddings")).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def q14_nearest_by_index(spark, d):
+    """The neighbours of q13 by an inverted index: approximate, so rows only; tests measure the recall."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    centres = retrieval.index_lists(vectors)
+    found = retrieval.nearest_by_index(_queries(spark, d), retrieval.indexed(vectors, centres), centres)
+    return found.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH r AS (SELECT b.vec_id, b.label, max({COS_SQL}) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 GROUP BY ALL),
 a AS (SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM r), b AS (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) AS rank FROM r)
 SELECT vec_id, round(coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0), 8) AS score FROM a FULL JOIN b USING (vec_id) ORDER BY score DESC, vec_id LIMIT 100""")
 def q15_fusion(spark, d):
     """A report: the 100 vectors on top when nearness to the query set and label order are fused."""
-    q = _queries(spark, d).select(F.col("embedding").alias("q"))
-    from ..functions.vectors import cosine
-
-    near = table(spark, d, "embeddings").crossJoin(F.broadcast(q)).groupBy("vec_id", "label").agg(F.max(F.round(cosine(F.col("q"), F.col("embedding")), 6)).alias("s"))
-    # ranks within all rows: one ordered pass; fusion of ranks is defined on whole lists
-    a = near.select("vec_id", F.row_number().over(Window.orderBy(F.desc("s"), "vec_id")).alias("rank"))
-    b = near.select("vec_id", F.row_number().over(Window.orderBy("label", "vec_id")).alias("rank"))
-    return retrieval.fuse(a, b, "vec_id").orderBy(F.desc("score"), "vec_id").limit(100)
+    q = _queries(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = retrieval.with_queries(q, table(spark, d, "embeddings").select("vec_id", "label", "embedding"))
+    near = pairs.groupBy("vec_id", "label").agg(F.max(F.round(cosine(F.col("q"), F.col("embedding")), 6)).alias("s"))
+    orders = [F.struct((-F.col("s")).alias("s"), "vec_id"), F.struct("label", "vec_id")]
+    return retrieval.fused_top(near, orders, "vec_id")
 
 
 CHUNK_RULE_SQL = f"""SELECT doc_id, round(max(len(list_filter({LEXICON_SQL}, lambda w: contains(c, w))) / {len(LEXICON)}), 6) AS rule
@@ -255,14 +265,32 @@ def q32_sessions(spark, d):
     return E.sessions(_events(spark, d)).withColumn("start", F.unix_micros("start"))
 
 
-@query()
+@query(SQL["q31_tumbling"])
 def q33_stream_windows(spark, d):
-    """The tumbling windows as a stream run to its end (complete mode, in memory). Rows only: see the tests."""
-    import uuid
+    """The tumbling windows as a stream run to its end, in complete mode."""
+    found = E.run_to_end(E.tumbling(E.read_events(spark, d)), "complete")
+    return found.withColumn("start", F.unix_timestamp("start"))
 
-    name = f"q33_{uuid.uuid4().hex}"
-    E.tumbling(E.read_events(spark, d)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+
+@query(SQL["q32_sessions"])
+def q33_stream_sessions(spark, d):
+    found = E.run_to_end(E.sessions(E.read_events(spark, d)), "complete")
+    return found.withColumn("start", F.unix_micros("start"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def q33_stream_dedup(spark, d):
+    """Every event comes twice; the stream's own state leaves one."""
+    twice = E.read_events(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return E.run_to_end(E.distinct_events(twice).select("event_id", "user_id", "event_type"), "append")
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def q33_stream_state(spark, d):
+    """State of our own for each user; of a user's rows in several batches the last one counts."""
+    rows = E.run_to_end(E.totals(E.read_events(spark, d)), "update")
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
+    return last.select("user_id", "x.n", F.round("x.total", 4).alias("total"))
 
 
 @query("SELECT doc_id, round(length(text) / 1000, 6) AS score FROM documents")
@@ -319,3 +347,126 @@ def q41_range_join(spark, d):
 @query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, round(stddev_samp(l_quantity), 6) AS sd FROM lineitem GROUP BY 1")
 def q42_distinct(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_orderkey").alias("orders"), F.round(F.stddev("l_quantity"), 6).alias("sd"))
+
+
+PHRASES_SQL = f"SELECT DISTINCT array_to_string({TOKENS_SQL}[1:2], ' ') AS phrase FROM benchmark"
+BODY_SQL = f"' ' || array_to_string({TOKENS_SQL}, ' ') || ' '"
+
+
+@query(f"""WITH p AS (SELECT * FROM ({PHRASES_SQL}) WHERE phrase <> ''), d AS (SELECT doc_id, {BODY_SQL} AS body FROM documents)
+SELECT doc_id, phrase FROM d, p WHERE contains(body, ' ' || phrase || ' ')""")
+def q43_phrase_lexicon(spark, d):
+    """A lexicon that is a table: the first two tokens of each benchmark item, sought in all documents."""
+    lexicon = table(spark, d, "benchmark").select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 2), " ").alias("phrase"))
+    return retrieval.phrase_join(table(spark, d, "documents"), lexicon)
+
+
+RUNS_SQL = "SELECT DISTINCT {key}, array_to_string(t[i:i + 7], ' ') AS run FROM (SELECT {key}, t, unnest(range(1, len(t) - 6)) AS i FROM (SELECT {key}, {tokens} AS t FROM {table}))"
+
+
+@query(f"""WITH a AS ({RUNS_SQL.format(key='doc_id', tokens=TOKENS_SQL, table='documents')}), b AS ({RUNS_SQL.format(key='item_id', tokens=TOKENS_SQL, table='benchmark')})
+SELECT doc_id, item_id, count(*) AS shared FROM a JOIN b USING (run) GROUP BY ALL""")
+def q44_cases(spark, d):
+    """Case lookup: which benchmark items a document shares runs of eight tokens with."""
+    return retrieval.cases(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("SELECT doc_id, coalesce(toxic::DOUBLE, round(length(text) / 100000, 6)) AS score FROM documents LEFT JOIN labels USING (doc_id)")
+def q45_judged(spark, d):
+    """A label if there is one, else a model's score (here a function of the length), at most two calls at once."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    scored = scoring.judged(docs, labels, lambda texts: texts.str.len() / 100_000, calls=2)
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT 'intersect' AS op, event_type, n FROM (SELECT event_type, count(*) AS n FROM (SELECT event_type FROM events WHERE user_id % 2 = 0 INTERSECT ALL SELECT event_type FROM events WHERE user_id % 3 = 0) GROUP BY 1)
+UNION ALL SELECT 'except', event_type, n FROM (SELECT event_type, count(*) AS n FROM (SELECT event_type FROM events WHERE user_id % 2 = 0 EXCEPT ALL SELECT event_type FROM events WHERE user_id % 3 = 0) GROUP BY 1)""")
+def q46_set_all(spark, d):
+    """INTERSECT ALL and EXCEPT ALL keep repeated rows."""
+    kinds = lambda k: table(spark, d, "events").where(f"user_id % {k} = 0").select("event_type")
+    named = {"intersect": kinds(2).intersectAll(kinds(3)), "except": kinds(2).exceptAll(kinds(3))}
+    return reduce(DataFrame.unionByName, (x.groupBy("event_type").agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "event_type", "n") for k, x in named.items()))
+
+
+@query("""SELECT event_id, lead(value) OVER u AS after, first_value(value) OVER u AS first, last_value(value) OVER w AS last, nth_value(value, 2) OVER w AS second,
+round(percent_rank() OVER v, 6) AS pr, round(cume_dist() OVER v, 6) AS cd, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour
+FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id), v AS (PARTITION BY user_id ORDER BY event_type), w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def q47_more_windows(spark, d):
+    u, v = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id").orderBy("event_type")
+    w = u.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = {"after": F.lead("value").over(u), "first": F.first("value").over(u), "last": F.last("value").over(w), "second": F.nth_value("value", 2).over(w)}
+    rows = table(spark, d, "events").withColumns({**named, "pr": F.round(F.percent_rank().over(v), 6), "cd": F.round(F.cume_dist().over(v), 6)})
+    hour = F.expr("count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)")
+    return rows.withColumn("last_hour", hour).select("event_id", *named, "pr", "cd", "last_hour")
+
+
+@query("""SELECT event_id, lpad(event_type, 10, '.') AS padded, rpad(event_type, 10, '.') AS filled, replace(event_type, 'i', '1') AS swapped, levenshtein(event_type, 'click') AS distance,
+try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, date_trunc('week', ts)::DATE AS week, date_diff('day', DATE '2024-01-01', ts::DATE) AS days, strftime(ts, '%Y-%m') AS month FROM events""")
+def q48_scalars(spark, d):
+    """Pad, replace, edit distance, variant from JSON, date parts."""
+    k = F.variant_get(F.parse_json("props"), "$.k", "long")
+    return table(spark, d, "events").select(
+        "event_id", F.lpad("event_type", 10, ".").alias("padded"), F.rpad("event_type", 10, ".").alias("filled"), F.replace("event_type", F.lit("i"), F.lit("1")).alias("swapped"),
+        F.levenshtein("event_type", F.lit("click")).cast("long").alias("distance"), k.alias("k"), F.date_trunc("week", "ts").cast("date").alias("week"),
+        F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("days"), F.date_format("ts", "yyyy-MM").alias("month"),
+    )
+
+
+@query("""SELECT user_id, coalesce(sum(n) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS clicks, count(*) AS kinds, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS listed
+FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""")
+def q49_maps(spark, d):
+    """A map of counts for each user: built, looked up and listed."""
+    n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    counts = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    listed = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    found = F.coalesce(F.try_element_at("m", F.lit("click")), F.lit(0))
+    return counts.select("user_id", found.cast("long").alias("clicks"), F.size("m").cast("long").alias("kinds"), F.array_join(listed, ",").alias("listed"))
+
+
+@query(f"SELECT doc_id, len({TOKENS_SQL}) AS n, len(list_distinct({TOKENS_SQL})) AS kinds, array_to_string({TOKENS_SQL}[2:4], ' ') AS some, list_contains({TOKENS_SQL}, 'the') AS has_the FROM documents")
+def q50_arrays(spark, d):
+    words = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("kinds"), F.array_join(F.slice("w", 2, 3), " ").alias("some"), F.exists("w", lambda w: w == "the").alias("has_the"))
+
+
+@query()
+def q51_approximate_distinct(spark, d):
+    """Approximate: rows only; tests hold it to 10 % of the exact count."""
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey").alias("orders"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def q52_merge_hint(spark, d):
+    """Two large sides: a sort-merge join asked for; q53 asks for hashing of the shuffled sides."""
+    lines = table(spark, d, "lineitem").hint("merge")
+    return lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def q53_shuffle_hash_hint(spark, d):
+    orders = table(spark, d, "orders").hint("shuffle_hash")
+    return table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[aeiou]')) AS n FROM documents")
+def q54_scalar_udf(spark, d):
+    return table(spark, d, "documents").select("doc_id", udfs.vowels("text").alias("n"))
+
+
+@query("SELECT lang, (max(n_chars) - min(n_chars))::DOUBLE AS spread FROM documents GROUP BY lang")
+def q55_aggregate_udf(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(udfs.spread("n_chars").alias("spread"))
+
+
+@query(r"SELECT conv_id, turn, i - 1 AS pos, w[i] AS word FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations))")
+def q56_table_udf(spark, d):
+    udfs.register(spark)
+    table(spark, d, "conversations").createOrReplaceTempView("q56_conversations")
+    return spark.sql("SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, word FROM q56_conversations, LATERAL words_of(text)")
+
+
+@query("SELECT i % 4 AS part, count(*) AS n, sum(i)::BIGINT AS total FROM range(1000) r(i) GROUP BY 1")
+def q57_custom_source(spark, d):
+    numbered.register(spark)
+    rows = spark.read.format("numbered").options(rows=1000, parts=4).load()
+    return rows.groupBy(F.col("part").cast("long").alias("part")).agg(F.count("*").alias("n"), F.sum("id").alias("total"))

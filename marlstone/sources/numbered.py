@@ -1,0 +1,38 @@
+"""A source of its own: numbered rows, made in parts on the executors. A pattern for readers of other stores."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class NumberedRows(DataSource):
+    """Options: rows, parts."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "numbered"
+
+    def schema(self) -> str:
+        return "id long, part int"
+
+    def reader(self, schema) -> DataSourceReader:
+        return NumberedReader(int(self.options.get("rows", 100)), int(self.options.get("parts", 4)))
+
+
+class NumberedReader(DataSourceReader):
+    def __init__(self, rows: int, parts: int):
+        self.rows, self.parts = rows, parts
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(self.parts)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[int, int]]:
+        for i in range(partition.value, self.rows, self.parts):
+            yield i, partition.value
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(NumberedRows)

@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load(df: DataFrame, folder: str, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Bulk load: writes df as the table name of a folder, in place of an older one, and reads it back."""
+    df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(f"{folder}/{name}.parquet")
+    return table(df.sparkSession, folder, name)
+
+
 def jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, **options: str) -> DataFrame:
     """A database table, read in ranges of an integer key if its bounds are given."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)

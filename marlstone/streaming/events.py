@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..sources.shared import new_folder
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str | None = None) -> DataFrame:
@@ -22,10 +28,49 @@ def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """A stream of the parquet files of that name in a folder."""
+def read_events(spark: SparkSession, folder: str, name: str = "events.parquet", files: int | None = None) -> DataFrame:
+    """A stream of the parquet files of that name in a folder; at most so many files a batch if files is given."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def totals(events: DataFrame) -> DataFrame:
+    """user_id, n, total so far, of every user that a batch brings: state of our own, kept for each user."""
+
+    def add(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for batch in batches:
+            n, total = n + len(batch), total + float(batch["value"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+
+    kept = "user_id long, n long, total double"
+    return events.groupBy("user_id").applyInPandasWithState(add, kept, "n long, total double", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over all that its source has now and reads what it wrote to the shared folder.
+
+    complete: the last batch's whole table. update: all batches' rows, in batch order by the column batch. append: as the
+    sink has them. Nothing is gathered in the driver, and a restart goes on from the checkpoint."""
+    spark = stream.sparkSession
+    out, at = new_folder(spark), new_folder(spark)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+
+    def write(batch: DataFrame, number: int) -> None:
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(out)
+        else:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # the folder's name is the column
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.parquet(out)
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
