@@ -33,9 +33,14 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(simhash.shingle_hashes(text, SHINGLE))
 
 
+def first_ones(size: np.ndarray | int) -> np.ndarray | int:
+    """How many shingles of a set are its prefix; none have none."""
+    return (size - (4 * size + 4) // 5 + 1) * (size > 0)
+
+
 def prefix(found: np.ndarray, common_ones: np.ndarray) -> np.ndarray:
     """The first shingles in the common order: by hash, those of common_ones (sorted) after all others."""
-    n = len(found) - (4 * len(found) + 4) // 5 + 1 if len(found) else 0
+    n = first_ones(len(found))
     if not len(common_ones):
         return found[:n]
     last = common_ones[np.minimum(np.searchsorted(common_ones, found), len(common_ones) - 1)] == found
@@ -85,25 +90,31 @@ def sampled(df: DataFrame, docs: int = 10_000, least: int = 10) -> DataFrame:
 
 
 def candidates(rows: DataFrame, hubs_only: bool) -> DataFrame:
-    """Distinct pairs a < b of nodes whose fingerprints allow a similarity of 0.8.
+    """Distinct pairs a < b of nodes whose fingerprints and prefixes allow a similarity of 0.8.
+
+    rows: key, weight (of how many shingles the key is one), cell, node, size, root, parities. hubs_only: pairs of each
+    group's hub (its least node by a hash) alone; otherwise all pairs with different roots.
 
-    rows: key, cell, node, size, root, parities. hubs_only: pairs of each group's hub (its least node by a hash)
-    alone; otherwise all pairs with different roots."""
+    What two sets share behind their prefixes is at most what is left of the larger rest, so their prefixes must share
+    what is missing. That discards pairs of long texts, whose fingerprints are full. It is counted over all keys, which
+    in the first round sees hubs' pairs alone; what that loses, the second round finds."""
     refs = simhash.references(PIVOTS, LONGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in simhash.by_group(batches):
-            key, cell, node, size, root = simhash.columns(table, "key", "cell", "node", "size", "root")
+            key, cell, node, size, root, weight = simhash.columns(table, "key", "cell", "node", "size", "root", "weight")
             group = simhash.groups_of(key, cell)
             bits = np.frombuffer(b"".join(table.column("parities").to_pylist()), dtype=np.uint64).reshape(-1, LONGS)
             # sets of different sizes, or of one root, are never compared: leave out groups of one root
             least, largest = (f.reduceat(root, np.flatnonzero(np.diff(group, prepend=-1))) for f in (np.minimum, np.maximum))
             some = (least < largest)[group]
-            group, node, size, root, bits = (x[some] for x in (group, node, size, root, bits))
+            group, node, size, root, bits, weight = (x[some] for x in (group, node, size, root, bits, weight))
             pairs = list(hub_pairs(group, node, size, bits) if hubs_only else all_pairs(group, node, size, root, bits))
             a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*pairs) if pairs else ((), ())))
-            both = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            rest = np.maximum(size[a] - first_ones(size[a]), size[b] - first_ones(size[b]))
+            need = (4 * (size[a] + size[b]) + 8) // 9 - rest
+            ends = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*ends, weight[a], need)], ["a", "b", "weight", "need"])
 
     def allowed(size: np.ndarray):
         def limit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -131,7 +142,9 @@ def candidates(rows: DataFrame, hubs_only: bool) -> DataFrame:
             yield order[i], order[j]
 
     by_key = rows.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return common.saved(by_key.mapInArrow(run, "a long, b long").distinct())
+    found = by_key.mapInArrow(run, "a long, b long, weight long, need long")
+    found = found.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.first("need").alias("need"))
+    return common.saved(found.where("weight >= need").select("a", "b"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -197,9 +210,10 @@ def similar_components(
         other = other.select(F.col("row").alias("node"), "size", "prefix", "parities")
         nodes = common.saved(nodes.join(again.withColumnRenamed("row", "node"), "node", "left_anti").unionByName(other))
         keys = common.saved(shared(nodes))
-    chosen = common.saved(keys.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key", "n"))
-    rows = nodes.select("node", F.explode("prefix").alias("key")).join(chosen.select("key"), "key")
-    cells = simhash.in_cells(common.saved(rows.select("key", "node")), chosen, "key", "node", largest)
+    chosen = keys.groupBy("x", "y", "n").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    chosen = common.saved(chosen.select("key", "n", "weight"))
+    rows = nodes.select("node", F.explode("prefix").alias("key")).join(chosen.select("key", "weight"), "key")
+    cells = simhash.in_cells(common.saved(rows.select("key", "weight", "node")), chosen, "key", "node", largest)
     facts = nodes.select("node", "size", "parities")
 
     def pairs(roots: DataFrame | None) -> DataFrame:
