@@ -2,42 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = "\t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Where none is set, a temporary one serves in local mode (tests); on a cluster that is an error, as each executor
-    would write to its own disk."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def run_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_dir(spark)}/marlstone-{spark.sparkContext.applicationId}"
-
-
 def saved(df: DataFrame) -> DataFrame:
     """Writes df to the run folder and reads it back: cuts lineage and survives lost executors.
 
-    The files stay until released() or clean(), as results are read from them later."""
-    path = f"{run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    The files stay until released() or sources.shared.clean(), as results are read from them later."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,11 +31,6 @@ def released(df: DataFrame) -> None:
             spark.range(0).write.mode("overwrite").parquet(folder)  # leaves an empty table
 
 
-def clean(spark: SparkSession) -> None:
-    """Gives back the run folder: call it when no result of this application is read any more."""
-    spark.range(0).write.mode("overwrite").parquet(run_dir(spark))
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches (Spark bounds them by bytes) in parts of at most rows rows, so that the Python objects of few
     texts live at once; memory that Arrow doesn't use goes back after each batch."""

@@ -17,8 +17,17 @@ from .simhash import op2_simhash
 from .suffixes import op9_repeated_passages
 from .toxicity import op3_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (op1_sharding, op2_simhash, op3_toxicity, op4_sentencepiece, op5_exact_dedup, op6_secret_scan, op7_personal_data, op8_fingerprints, op9_repeated_passages, op10_packing)
-}
+OPERATORS = (
+    op1_sharding,
+    op2_simhash,
+    op3_toxicity,
+    op4_sentencepiece,
+    op5_exact_dedup,
+    op6_secret_scan,
+    op7_personal_data,
+    op8_fingerprints,
+    op9_repeated_passages,
+    op10_packing,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}

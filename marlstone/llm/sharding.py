@@ -69,27 +69,60 @@ def splitters(rows: DataFrame, key: str, size: str, shards: int, tolerance: floa
     return [found[i] for i in range(shards - 1)]
 
 
-def histogram_shards(rows: DataFrame, key: str, size: str, order: list[str], shards: int = 24, tolerance: float = 2e-4, probes: int = 128, rows_per_cell: int = 4096) -> DataFrame:
-    """Adds shard (0 to shards - 1; near equal sums of size) and slot (gapless from 0 in each shard).
-
-    rows is read several times, so hand over a saved table; only the last pass moves it. A shard's rows are spread
-    over cells by a hash of the columns of order, so that no task holds a whole shard; cells, at most 1000 a shard,
-    follow each other in the slots. Rows that share a key stay in one shard (repeated rows with one doc_id and text
-    do); an empty table gives an empty result; nulls in order are ordinary values."""
-    cuts = [min(x, (1 << 63) - 1) for x in splitters(rows, key, size, shards, tolerance, probes)]
-    shard = common.interval_of(F.col(key), cuts)
-    n = rows.count()
-    cells = max(1, min(1000, -(-n // (shards * rows_per_cell))))
-    dealt = rows.withColumns({"shard": shard.cast("int"), "_cell": F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int")})
-    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("shard", "_cell").count().select("shard", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    own = Window.partitionBy("shard", "_cell").orderBy(key, *order)
+def histogram_shards(
+    rows: DataFrame,
+    key: str,
+    size: str,
+    order: list[str],
+    shards: int = 24,
+    tolerance: float = 2e-4,
+    probes: int = 128,
+    rows_per_cell: int = 4096,
+    keys: DataFrame | None = None,
+) -> DataFrame:
+    """Adds shard (0 to shards - 1; near equal sums of size) and slot (gapless from 0 in each shard) to rows.
+
+    keys, a saved table of the columns key, size and order, is read several times; rows (keys itself, if not given) once,
+    and only that pass moves it. A shard's rows are spread over cells by a hash of the columns of order, so that no task
+    holds a whole shard; cells, at most 1000 a shard, follow each other in the slots. Rows that share a key stay in one
+    shard (repeated rows with one doc_id and text do); ties in a shard's order are broken at random; an empty table gives
+    an empty result; nulls in order are ordinary values. Columns named shard or slot are replaced, others kept; names
+    that begin with _shard_ are the operator's own."""
+    keys = rows if keys is None else keys
+    cuts = [min(x, (1 << 63) - 1) for x in splitters(keys, key, size, shards, tolerance, probes)]
+    cells = max(1, min(1000, -(-keys.count() // (shards * rows_per_cell))))
+    place = {
+        "shard": common.interval_of(F.col(key), cuts).cast("int"),
+        "_shard_cell": F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"),
+    }
+    before = Window.partitionBy("shard").orderBy("_shard_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keys.withColumns(place).groupBy("shard", "_shard_cell").count()
+    offsets = counts.select("shard", "_shard_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shard_offset"))
+    own = Window.partitionBy("shard", "_shard_cell").orderBy(key, *order)
+    ranked = rows.withColumns(place).withColumn("_shard_rank", F.row_number().over(own))
     # at most 1000 x shards rows are broadcast
-    return dealt.withColumn("_rank", F.row_number().over(own)).join(F.broadcast(offsets), ["shard", "_cell"]).withColumn("slot", F.col("_offset") + F.col("_rank") - 1).drop("_cell", "_offset", "_rank")
+    ranked = ranked.join(F.broadcast(offsets), ["shard", "_shard_cell"])
+    ranked = ranked.withColumn("slot", F.col("_shard_offset") + F.col("_shard_rank") - 1)
+    return ranked.drop("_shard_cell", "_shard_offset", "_shard_rank")
+
+
+def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
+    """All columns of docs (doc_id, text and others), and shard and slot: near equal bytes of text, 8 for each row.
+
+    To keep the shards: write it with partitionBy("shard"). Null texts count as empty."""
+    text = F.coalesce("text", F.lit(""))
+    key, size = common.unused(docs, "_key"), common.unused(docs, "_size")
+    added = {key: content_key(text, F.col("doc_id")), size: (F.octet_length(text) + 8).cast("long")}
+    whole = docs.withColumns(added)
+    keys = common.saved(whole.select(key, size, "doc_id"))
+    return histogram_shards(whole, key, size, ["doc_id"], shards, keys=keys).drop(key, size)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 24 shards of near equal bytes. A null text counts as empty (crc32 of no bytes is 0)."""
+    """All documents in 24 shards of near equal bytes. A null text counts as empty (crc32 of no bytes is 0).
+
+    Texts of any length are measured whole, and stay where they are: only sizes and keys move. For ties, repeated rows,
+    null ids, empty tables and other columns see histogram_shards."""
     text = F.coalesce("text", F.lit(""))
     rows = common.saved(
         common.documents(spark, sf_dir).select(
@@ -99,4 +132,6 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
             content_key(text, F.col("doc_id")).alias("key"),
         )
     )
-    return histogram_shards(rows, "key", "size", ["doc_id"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = histogram_shards(rows, "key", "size", ["doc_id"])
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)

@@ -97,10 +97,9 @@ def survivors(
         for part in np.array_split(at, -(-len(at) // 100_000)) if len(at) else ():
             i, j = part, part + lag
             bound = limit(i, j)
-            near = bound >= 0
-            for k in range(table.shape[1]):
-                near &= np.abs(table[i, k] - table[j, k]) <= bound
-            i, j, bound = i[near], j[near], bound[near]
+            for k in range(0, table.shape[1], 8):
+                near = np.abs(table[i, k : k + 8] - table[j, k : k + 8]).max(axis=1) <= bound
+                i, j, bound = i[near], j[near], bound[near]
             close = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= bound
             if told is not None:
                 told["pivots"] = told.get("pivots", 0) + len(i)
@@ -208,7 +207,7 @@ def keyed(nodes: DataFrame, distance: int) -> DataFrame:
     return nodes.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def links(nodes: DataFrame, distance: int = 3, pivots: int = 16, largest: int = 4000) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 3, pivots: int = 64, largest: int = 4000) -> DataFrame:
     """Edges a, b between fingerprints (column fp, distinct) that span, for each key, what links under it."""
     refs = references(pivots, 1)
 
