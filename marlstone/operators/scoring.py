@@ -28,7 +28,11 @@ def chunk_scores(docs: DataFrame, lexicon: list[str]) -> DataFrame:
 
 def label_or_rule(docs: DataFrame, labels: DataFrame, lexicon: list[str]) -> DataFrame:
     scored = chunk_scores(docs, lexicon).join(labels.select("doc_id", "toxic"), "doc_id", "left")
-    return scored.select("doc_id", F.coalesce(F.col("toxic").cast("double"), "rule").alias("score"), F.col("toxic").isNull().alias("by_rule"))
+    return scored.select(
+        "doc_id",
+        F.coalesce(F.col("toxic").cast("double"), "rule").alias("score"),
+        F.col("toxic").isNull().alias("by_rule"),
+    )
 
 
 def judged(docs: DataFrame, labels: DataFrame, by: str | Scorer = "rule", lexicon: list[str] | None = None, calls: int | None = None) -> DataFrame:

@@ -36,7 +36,10 @@ def query(sql: str | None = None):
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
 def q00_counts(spark, d):
-    return reduce(DataFrame.unionByName, (table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES))
+    return reduce(
+        DataFrame.unionByName,
+        (table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES),
+    )
 
 
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
@@ -50,7 +53,10 @@ PAGE_TEXT_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_repla
 @query(f"SELECT page_id, md5({PAGE_TEXT_SQL}) AS body, length({PAGE_TEXT_SQL}) AS n FROM pages")
 def q02_page_text(spark, d):
     body = T.page_text(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.md5(body.cast("binary")).alias("body"), F.char_length(body).cast("long").alias("n"))
+    return (
+        table(spark, d, "pages")
+        .select("page_id", F.md5(body.cast("binary")).alias("body"), F.char_length(body).cast("long").alias("n"))
+    )
 
 
 @query("SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
@@ -60,7 +66,15 @@ def q03_hosts(spark, d):
 
 @query("SELECT doc_id, length(text) AS n, octet_length(encode(text)) AS bytes, left(upper(lang), 1) AS initial FROM documents")
 def q04_lengths(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.char_length("text").cast("long").alias("n"), F.octet_length("text").cast("long").alias("bytes"), F.left(F.upper("lang"), F.lit(1)).alias("initial"))
+    return (
+        table(spark, d, "documents")
+        .select(
+            "doc_id",
+            F.char_length("text").cast("long").alias("n"),
+            F.octet_length("text").cast("long").alias("bytes"),
+            F.left(F.upper("lang"), F.lit(1)).alias("initial"),
+        )
+    )
 
 
 SENTENCES_SQL = "SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?。！？]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)"
@@ -68,12 +82,28 @@ SENTENCES_SQL = "SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1)
 
 @query(f"SELECT doc_id, pos, md5(sentence) AS sentence FROM ({SENTENCES_SQL})")
 def q05_sentences(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("s").cast("binary")).alias("sentence"))
+    return (
+        table(spark, d, "documents")
+        .select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+        .select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("s").cast("binary")).alias("sentence"))
+    )
 
 
-@query("SELECT doc_id, i // 150 AS chunk_no, md5(substring(text, i + 1, 200)) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 1, 0) + 1, 150)) AS i FROM documents)")
+@query(
+    """SELECT doc_id, i // 150 AS chunk_no, md5(substring(text, i + 1, 200)) AS chunk
+FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 1, 0) + 1, 150)) AS i
+FROM documents)"""
+)
 def q06_chunks(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_no", "c")).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.md5(F.col("c").cast("binary")).alias("chunk"))
+    return (
+        table(spark, d, "documents")
+        .select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_no", "c"))
+        .select(
+            "doc_id",
+            F.col("chunk_no").cast("long").alias("chunk_no"),
+            F.md5(F.col("c").cast("binary")).alias("chunk"),
+        )
+    )
 
 
 TOKENS_SQL = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -114,7 +144,11 @@ DOT_SQL = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOU
 COS_SQL = "round({0} / (sqrt({1}) * sqrt({2})), 6)".format(*(DOT_SQL.format(a=a, b=b) for a, b in (("a.embedding", "b.embedding"), ("a.embedding", "a.embedding"), ("b.embedding", "b.embedding"))))
 
 
-@query(f"SELECT a.vec_id AS query_id, b.vec_id, round({DOT_SQL.format(a='a.embedding', b='b.embedding')}, 4) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
+@query(
+    f"""SELECT a.vec_id AS query_id, b.vec_id, round({DOT_SQL.format(a='a.embedding', b='b.embedding')}, 4) AS score
+FROM embeddings a, embeddings b
+WHERE a.vec_id % 100 = 0"""
+)
 def q12_dot_products(spark, d):
     """A stated query set (ids divisible by 100) against all rows, in bounded blocks."""
     q = _queries(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
@@ -122,9 +156,19 @@ def q12_dot_products(spark, d):
     return pairs.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 4).alias("score"))
 
 
-@query(f"SELECT query_id, vec_id, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS_SQL} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5")
+@query(
+    f"""SELECT query_id, vec_id, rank
+FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id
+ORDER BY {COS_SQL} DESC, b.vec_id) AS rank
+FROM embeddings a, embeddings b
+WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+WHERE rank <= 5"""
+)
 def q13_nearest(spark, d):
-    return retrieval.nearest(_queries(spark, d), table(spark, d, "embeddings")).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+    return (
+        retrieval.nearest(_queries(spark, d), table(spark, d, "embeddings"))
+        .select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+    )
 
 
 @query()
@@ -159,25 +203,63 @@ def q16_label_or_rule(spark, d):
     return scoring.label_or_rule(table(spark, d, "documents"), table(spark, d, "labels"), LEXICON)
 
 
-@query(f"SELECT {BAND_SQL} AS band, count(*) AS n, round(avg(score), 6) AS mean, count_if(by_rule) AS by_rule FROM ({SCORED_SQL}) GROUP BY 1")
+@query(
+    f"""SELECT {BAND_SQL} AS band, count(*) AS n, round(avg(score), 6) AS mean, count_if(by_rule) AS by_rule
+FROM ({SCORED_SQL})
+GROUP BY 1"""
+)
 def q17_bands(spark, d):
     scored = q16_label_or_rule(spark, d)
-    return scored.groupBy(scoring.band(F.col("score")).alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.count_if("by_rule").alias("by_rule"))
+    return (
+        scored
+        .groupBy(scoring.band(F.col("score")).alias("band"))
+        .agg(
+            F.count("*").alias("n"),
+            F.round(F.avg("score"), 6).alias("mean"),
+            F.count_if("by_rule").alias("by_rule"),
+        )
+    )
 
 
-@query(f"SELECT doc_id, pos, sentence, len(list_filter({LEXICON_SQL}, lambda w: contains(sentence, w))) AS hits FROM ({SENTENCES_SQL}) WHERE len(list_filter({LEXICON_SQL}, lambda w: contains(sentence, w))) > 0")
+@query(
+    f"""SELECT doc_id, pos, sentence, len(list_filter({LEXICON_SQL}, lambda w: contains(sentence, w))) AS hits
+FROM ({SENTENCES_SQL})
+WHERE len(list_filter({LEXICON_SQL}, lambda w: contains(sentence, w))) > 0"""
+)
 def q18_evidence(spark, d):
-    return retrieval.evidence(table(spark, d, "documents"), LEXICON).select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence", F.col("hits").cast("long").alias("hits"))
+    return (
+        retrieval.evidence(table(spark, d, "documents"), LEXICON)
+        .select(
+            "doc_id",
+            F.col("pos").cast("long").alias("pos"),
+            "sentence",
+            F.col("hits").cast("long").alias("hits"),
+        )
+    )
 
 
 @query("SELECT source, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
 def q19_lookup(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id").groupBy("source", "quality").agg(F.count("*").alias("n"))
+    return (
+        table(spark, d, "documents")
+        .select("doc_id", "source")
+        .join(table(spark, d, "labels"), "doc_id")
+        .groupBy("source", "quality")
+        .agg(F.count("*").alias("n"))
+    )
 
 
-@query("SELECT lang, source, grouping(lang) * 2 + grouping(source) AS level, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+@query(
+    """SELECT lang, source, grouping(lang) * 2 + grouping(source) AS level, count(*) AS n, sum(n_chars)::BIGINT AS chars
+FROM documents
+GROUP BY ROLLUP (lang, source)"""
+)
 def q20_rollup(spark, d):
-    return table(spark, d, "documents").rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return (
+        table(spark, d, "documents")
+        .rollup("lang", "source")
+        .agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    )
 
 
 @query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY CUBE (quality, toxic)")
@@ -187,14 +269,28 @@ def q21_cube(spark, d):
 
 @query("SELECT lang, quantile_cont(n_chars, 0.5) AS median, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang")
 def q22_median(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.percentile("n_chars", F.lit(0.5)).alias("median"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    return (
+        table(spark, d, "documents")
+        .groupBy("lang")
+        .agg(
+            F.percentile("n_chars", F.lit(0.5)).alias("median"),
+            F.min("n_chars").alias("least"),
+            F.max("n_chars").alias("most"),
+        )
+    )
 
 
 @query("""SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
 def q23_star(spark, d):
     t = lambda n: table(spark, d, n)
-    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = (
+        t("lineitem")
+        .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    )
     return rows.groupBy("r_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
@@ -210,9 +306,19 @@ def q25_key_collisions(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("SELECT bool_and(quality IN (0, 1)) AS quality_ok, bool_and(toxic IN (0, 1)) AS toxic_ok, bool_or(toxic = 1) AS any_toxic FROM labels")
+@query(
+    """SELECT bool_and(quality IN (0, 1)) AS quality_ok, bool_and(toxic IN (0, 1)) AS toxic_ok, bool_or(toxic = 1) AS any_toxic
+FROM labels"""
+)
 def q26_flags(spark, d):
-    return table(spark, d, "labels").agg(F.bool_and(F.col("quality").isin(0, 1)).alias("quality_ok"), F.bool_and(F.col("toxic").isin(0, 1)).alias("toxic_ok"), F.bool_or(F.col("toxic") == 1).alias("any_toxic"))
+    return (
+        table(spark, d, "labels")
+        .agg(
+            F.bool_and(F.col("quality").isin(0, 1)).alias("quality_ok"),
+            F.bool_and(F.col("toxic").isin(0, 1)).alias("toxic_ok"),
+            F.bool_or(F.col("toxic") == 1).alias("any_toxic"),
+        )
+    )
 
 
 @query("""SELECT 'intersect' AS op, doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL
@@ -236,25 +342,41 @@ def q28_windows(spark, d):
 
 @query("SELECT event_type, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY event_type")
 def q29_json(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").try_cast("long")).alias("k"))
+    return (
+        table(spark, d, "events")
+        .groupBy("event_type")
+        .agg(F.sum(F.get_json_object("props", "$.k").try_cast("long")).alias("k"))
+    )
 
 
 @query("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, count(*) AS turns FROM conversations GROUP BY conv_id")
 def q30_roles(spark, d):
     turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["role"]), ">").alias("roles"), F.count("*").alias("turns"))
+    return (
+        table(spark, d, "conversations")
+        .groupBy("conv_id")
+        .agg(F.array_join(F.transform(turns, lambda x: x["role"]), ">").alias("roles"), F.count("*").alias("turns"))
+    )
 
 
 def _events(spark, d):
     return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query(
+    """SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM events
+GROUP BY ALL"""
+)
 def q31_tumbling(spark, d):
     return E.tumbling(_events(spark, d)).withColumn("start", F.unix_timestamp("start"))
 
 
-@query("SELECT epoch(time_bucket(INTERVAL 15 MINUTES, ts) - INTERVAL 15 MINUTES * i)::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(4) r(i) GROUP BY ALL")
+@query(
+    """SELECT epoch(time_bucket(INTERVAL 15 MINUTES, ts) - INTERVAL 15 MINUTES * i)::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM events, range(4) r(i)
+GROUP BY ALL"""
+)
 def q31_sliding(spark, d):
     return E.tumbling(_events(spark, d), "1 hour", "15 minutes").withColumn("start", F.unix_timestamp("start"))
 
@@ -306,10 +428,18 @@ def q35_grouping_sets(spark, d):
 
 @query("SELECT lang, count(*) FILTER (WHERE n_chars > 1000) AS n_long, count(*) AS n FROM documents GROUP BY lang")
 def q36_filtered(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count_if(F.col("n_chars") > 1000).alias("n_long"), F.count("*").alias("n"))
+    return (
+        table(spark, d, "documents")
+        .groupBy("lang")
+        .agg(F.count_if(F.col("n_chars") > 1000).alias("n_long"), F.count("*").alias("n"))
+    )
 
 
-@query("SELECT event_type, " + ", ".join(f"count(*) FILTER (WHERE dayofmonth(ts) % 3 = {i}) AS d{i}" for i in range(3)) + " FROM events GROUP BY event_type")
+@query(
+    """SELECT event_type, " + ", ".join(f"count(*) FILTER (WHERE dayofmonth(ts) % 3 = {i}) AS d{i}" for i in range(3)) + "
+FROM events
+GROUP BY event_type"""
+)
 def q37_pivot(spark, d):
     rows = table(spark, d, "events").select("event_type", F.concat(F.lit("d"), F.dayofmonth("ts") % 3).alias("k"))
     return rows.groupBy("event_type").pivot("k", ["d0", "d1", "d2"]).count().na.fill(0)
@@ -323,7 +453,15 @@ def q38_above_mean(spark, d):
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def q39_exists(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    return (
+        table(spark, d, "customer")
+        .join(
+            table(spark, d, "orders").where("o_totalprice > 200000"),
+            F.col("c_custkey") == F.col("o_custkey"),
+            "left_semi",
+        )
+        .select("c_custkey")
+    )
 
 
 @query("""WITH p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL)
@@ -331,14 +469,39 @@ SELECT e.event_id, p.value AS value_as_of FROM (SELECT * FROM events WHERE event
 def q40_as_of(spark, d):
     events = table(spark, d, "events")
     bought = events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
-    return E.as_of(events.where("event_type = 'click'").select("event_id", "user_id", "ts"), bought, "user_id", "ts", "value").select("event_id", "value_as_of")
+    return (
+        E.as_of(
+            events.where("event_type = 'click'").select("event_id", "user_id", "ts"),
+            bought,
+            "user_id",
+            "ts",
+            "value",
+        )
+        .select("event_id", "value_as_of")
+    )
 
 
-@query("SELECT a.event_id, count(b.event_id) AS n FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts WHERE a.event_type = 'error' GROUP BY ALL")
+@query(
+    """SELECT a.event_id, count(b.event_id) AS n
+FROM events a
+LEFT
+JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts
+WHERE a.event_type = 'error'
+GROUP BY ALL"""
+)
 def q41_range_join(spark, d):
     """Events in the hour before an error: hours are the join's buckets, so a user's rows never all meet."""
     ev = table(spark, d, "events").withColumn("h", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000))
-    a = ev.where("event_type = 'error'").select("event_id", "user_id", F.col("ts").alias("at"), F.explode(F.array(F.col("h"), F.col("h") - 1)).alias("h"))
+    a = (
+        ev
+        .where("event_type = 'error'")
+        .select(
+            "event_id",
+            "user_id",
+            F.col("ts").alias("at"),
+            F.explode(F.array(F.col("h"), F.col("h") - 1)).alias("h"),
+        )
+    )
     b = ev.select("user_id", "h", "ts", F.lit(1).alias("one"))
     near = (F.col("ts") <= F.col("at")) & (F.col("ts") >= F.col("at") - F.expr("interval 1 hour"))
     return a.join(b, ["user_id", "h"]).where(near).groupBy("event_id").agg(F.count("*").alias("n"))
@@ -346,7 +509,11 @@ def q41_range_join(spark, d):
 
 @query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, round(stddev_samp(l_quantity), 6) AS sd FROM lineitem GROUP BY 1")
 def q42_distinct(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_orderkey").alias("orders"), F.round(F.stddev("l_quantity"), 6).alias("sd"))
+    return (
+        table(spark, d, "lineitem")
+        .groupBy("l_returnflag")
+        .agg(F.count_distinct("l_orderkey").alias("orders"), F.round(F.stddev("l_quantity"), 6).alias("sd"))
+    )
 
 
 PHRASES_SQL = f"SELECT DISTINCT array_to_string({TOKENS_SQL}[1:2], ' ') AS phrase FROM benchmark"
@@ -385,7 +552,10 @@ def q46_set_all(spark, d):
     """INTERSECT ALL and EXCEPT ALL keep repeated rows."""
     kinds = lambda k: table(spark, d, "events").where(f"user_id % {k} = 0").select("event_type")
     named = {"intersect": kinds(2).intersectAll(kinds(3)), "except": kinds(2).exceptAll(kinds(3))}
-    return reduce(DataFrame.unionByName, (x.groupBy("event_type").agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "event_type", "n") for k, x in named.items()))
+    return reduce(
+        DataFrame.unionByName,
+        (x.groupBy("event_type").agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "event_type", "n") for k, x in named.items()),
+    )
 
 
 @query("""SELECT event_id, lead(value) OVER u AS after, first_value(value) OVER u AS first, last_value(value) OVER w AS last, nth_value(value, 2) OVER w AS second,
@@ -395,7 +565,10 @@ def q47_more_windows(spark, d):
     u, v = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id").orderBy("event_type")
     w = u.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     named = {"after": F.lead("value").over(u), "first": F.first("value").over(u), "last": F.last("value").over(w), "second": F.nth_value("value", 2).over(w)}
-    rows = table(spark, d, "events").withColumns({**named, "pr": F.round(F.percent_rank().over(v), 6), "cd": F.round(F.cume_dist().over(v), 6)})
+    rows = (
+        table(spark, d, "events")
+        .withColumns({**named, "pr": F.round(F.percent_rank().over(v), 6), "cd": F.round(F.cume_dist().over(v), 6)})
+    )
     hour = F.expr("count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)")
     return rows.withColumn("last_hour", hour).select("event_id", *named, "pr", "cd", "last_hour")
 
@@ -420,13 +593,27 @@ def q49_maps(spark, d):
     counts = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
     listed = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     found = F.coalesce(F.try_element_at("m", F.lit("click")), F.lit(0))
-    return counts.select("user_id", found.cast("long").alias("clicks"), F.size("m").cast("long").alias("kinds"), F.array_join(listed, ",").alias("listed"))
+    return counts.select(
+        "user_id",
+        found.cast("long").alias("clicks"),
+        F.size("m").cast("long").alias("kinds"),
+        F.array_join(listed, ",").alias("listed"),
+    )
 
 
-@query(f"SELECT doc_id, len({TOKENS_SQL}) AS n, len(list_distinct({TOKENS_SQL})) AS kinds, array_to_string({TOKENS_SQL}[2:4], ' ') AS some, list_contains({TOKENS_SQL}, 'the') AS has_the FROM documents")
+@query(
+    f"""SELECT doc_id, len({TOKENS_SQL}) AS n, len(list_distinct({TOKENS_SQL})) AS kinds, array_to_string({TOKENS_SQL}[2:4], ' ') AS some, list_contains({TOKENS_SQL}, 'the') AS has_the
+FROM documents"""
+)
 def q50_arrays(spark, d):
     words = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
-    return words.select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("kinds"), F.array_join(F.slice("w", 2, 3), " ").alias("some"), F.exists("w", lambda w: w == "the").alias("has_the"))
+    return words.select(
+        "doc_id",
+        F.size("w").cast("long").alias("n"),
+        F.size(F.array_distinct("w")).cast("long").alias("kinds"),
+        F.array_join(F.slice("w", 2, 3), " ").alias("some"),
+        F.exists("w", lambda w: w == "the").alias("has_the"),
+    )
 
 
 @query()
@@ -439,13 +626,23 @@ def q51_approximate_distinct(spark, d):
 def q52_merge_hint(spark, d):
     """Two large sides: a sort-merge join asked for; q53 asks for hashing of the shuffled sides."""
     lines = table(spark, d, "lineitem").hint("merge")
-    return lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    return (
+        lines
+        .join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("o_orderpriority")
+        .agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    )
 
 
 @query("SELECT o_orderpriority, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def q53_shuffle_hash_hint(spark, d):
     orders = table(spark, d, "orders").hint("shuffle_hash")
-    return table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    return (
+        table(spark, d, "lineitem")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("o_orderpriority")
+        .agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    )
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[aeiou]')) AS n FROM documents")
@@ -458,7 +655,12 @@ def q55_aggregate_udf(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(udfs.spread("n_chars").alias("spread"))
 
 
-@query(r"SELECT conv_id, turn, i - 1 AS pos, w[i] AS word FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations))")
+@query(
+    r"""SELECT conv_id, turn, i - 1 AS pos, w[i] AS word
+FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i
+FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w
+FROM conversations))"""
+)
 def q56_table_udf(spark, d):
     udfs.register(spark)
     table(spark, d, "conversations").createOrReplaceTempView("q56_conversations")

@@ -16,12 +16,22 @@ def tumbling(events: DataFrame, width: str = "1 hour", slide: str | None = None,
     """start, event_type, n, total; on a stream give the watermark's delay."""
     rows = events.withWatermark("ts", late) if late else events
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return rows.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return (
+        rows
+        .groupBy(w.alias("w"), "event_type")
+        .agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+        .select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    )
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     rows = events.withWatermark("ts", late) if late else events
-    return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+    return (
+        rows
+        .groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+        .agg(F.count("*").alias("n"))
+        .select("user_id", F.col("w.start").alias("start"), "n")
+    )
 
 
 def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -48,7 +58,11 @@ def totals(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
     kept = "user_id long, n long, total double"
-    return events.groupBy("user_id").applyInPandasWithState(add, kept, "n long, total double", "update", GroupStateTimeout.NoTimeout)
+    return (
+        events
+        .groupBy("user_id")
+        .applyInPandasWithState(add, kept, "n long, total double", "update", GroupStateTimeout.NoTimeout)
+    )
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
@@ -75,6 +89,13 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """Adds value as of at: the right side's latest at or before it, by one window over both sides."""
-    both = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_side": F.lit(1)}).unionByName(right.select(key, at, F.col(value).alias("_v"), F.lit(0).alias("_side")), allowMissingColumns=True)
+    both = (
+        left
+        .withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_side": F.lit(1)})
+        .unionByName(
+            right.select(key, at, F.col(value).alias("_v"), F.lit(0).alias("_side")),
+            allowMissingColumns=True,
+        )
+    )
     before = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(f"{value}_as_of", F.last("_v", ignorenulls=True).over(before)).where("_side = 1").drop("_v", "_side")

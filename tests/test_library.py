@@ -103,7 +103,13 @@ def stream(spark, folder):
 def test_late_rows_and_state(spark, tmp_path):
     """A row for a window that the watermark of the batch before has closed is dropped; later copies within the delay too; state adds up."""
     at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
-    batches = [[(1, 7, "view", 1.0, at(1)), (2, 7, "view", 2.0, at(1, 30))], [(3, 8, "view", 4.0, at(6))], [(7, 8, "view", 0.0, at(6, 10))], [(4, 7, "view", 8.0, at(1, 5)), (3, 8, "view", 4.0, at(6)), (5, 7, "view", 16.0, at(9))], [(6, 9, "view", 32.0, at(12))]]
+    batches = [[(
+        1,
+        7,
+        "view",
+        1.0,
+        at(1),
+    ), (2, 7, "view", 2.0, at(1, 30))], [(3, 8, "view", 4.0, at(6))], [(7, 8, "view", 0.0, at(6, 10))], [(4, 7, "view", 8.0, at(1, 5)), (3, 8, "view", 4.0, at(6)), (5, 7, "view", 16.0, at(9))], [(6, 9, "view", 32.0, at(12))]]
     folder = write_files(spark, tmp_path, batches)
     closed = E.run_to_end(E.tumbling(stream(spark, folder), late="1 hour"), "append").collect()
     assert {(r.start.hour, r.n, r.total) for r in closed} >= {(1, 2, 3.0), (6, 3, 8.0)} and all(r.n < 3 or r.start.hour == 6 for r in closed)
