@@ -43,10 +43,21 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", supp
     added = {"keep_id", "group_size", "kept", "text_sha256", text.lower()}
     names = [c for c in df.columns if c.lower() not in added]
     held = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in names)).alias("held")
-    rows = df.select(held, digest(F.col(text)).alias("text_sha256"), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("rid"))
+    rows = df.select(
+        held,
+        digest(F.col(text)).alias("text_sha256"),
+        F.col(doc_id).alias("id"),
+        F.monotonically_increasing_id().alias("rid"),
+    )
     found = marked(common.saved(rows), support)
     kept = (F.col("rid") == F.col("top.rid")).alias("kept")
-    return found.select(*(F.col(f"held.`{c}`").alias(c) for c in names), F.col("top.id").alias("keep_id"), F.col("n").alias("group_size"), kept, "text_sha256")
+    return found.select(
+        *(F.col(f"held.`{c}`").alias(c) for c in names),
+        F.col("top.id").alias("keep_id"),
+        F.col("n").alias("group_size"),
+        kept,
+        "text_sha256",
+    )
 
 
 def without_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", support: float = 1e-3) -> DataFrame:

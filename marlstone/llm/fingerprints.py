@@ -47,9 +47,18 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
 
     def borrowed(i: Column, attempts: int) -> Column:
         table = constant(probe_table(attempts), "array<array<int>>")
-        return F.aggregate(F.get(table, i), F.lit(None).cast("long"), lambda got, p: F.coalesce(got, F.when(full(F.get(least, p)), F.get(least, p))))
-
-    bits = F.transform(least, lambda x, i: (F.when(full(x), x).otherwise(F.coalesce(borrowed(i, 16), borrowed(i, BINS))).bitwiseAND(F.lit((1 << BITS) - 1)) - 128).cast("tinyint"))
+        return F.aggregate(
+            F.get(table, i),
+            F.lit(None).cast("long"),
+            lambda got,
+            p: F.coalesce(got, F.when(full(F.get(least, p)), F.get(least, p))),
+        )
+
+    bits = F.transform(
+        least,
+        lambda x,
+        i: (F.when(full(x), x).otherwise(F.coalesce(borrowed(i, 16), borrowed(i, BINS))).bitwiseAND(F.lit((1 << BITS) - 1)) - 128).cast("tinyint"),
+    )
     return (
         df.select(*out, F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), blank), "").alias("_words"))
         .select(*out, w, F.zip_with(w, rest(w, 2), chain).alias("_pairs"))
@@ -76,7 +85,10 @@ def interval(key: Column, starts: list[Column], first: int = 0) -> Column:
     if not starts:
         return F.lit(first)
     mid = len(starts) // 2
-    return F.when(key < starts[mid], interval(key, starts[:mid], first)).otherwise(interval(key, starts[mid + 1 :], first + mid + 1))
+    return (
+        F.when(key < starts[mid], interval(key, starts[:mid], first))
+        .otherwise(interval(key, starts[mid + 1 :], first + mid + 1))
+    )
 
 
 def cells(keys: DataFrame, rows_per_cell: int, ranges: int = 256) -> DataFrame:
@@ -110,7 +122,11 @@ def with_next(df: DataFrame, doc_id: str, carried: list[str], rows_per_cell: int
     firsts = [r["first"] for r in table.select("range", F.get("starts", F.lit(0)).alias("first")).orderBy("range").collect()]
     literal = lambda k: F.struct(*(F.lit(k[c]).alias(c) for c in ("none", "down", "tie")))
     table = table.orderBy("range").coalesce(1).select(F.monotonically_increasing_id().alias("_range"), "starts")
-    keyed = df.withColumn("_key", key).withColumn("_range", interval(F.col("_key"), [literal(k) for k in firsts[1:]]).cast("long"))
+    keyed = (
+        df
+        .withColumn("_key", key)
+        .withColumn("_range", interval(F.col("_key"), [literal(k) for k in firsts[1:]]).cast("long"))
+    )
     inside = F.coalesce(F.size(F.filter("starts", lambda s: s <= F.col("_key"))), F.lit(0))
     # at most 65,792 keys are broadcast
     celled = keyed.join(F.broadcast(table), "_range").withColumn("_cell", F.coalesce("_range", F.lit(0)) * 100_000 + inside)
@@ -124,7 +140,12 @@ def with_next(df: DataFrame, doc_id: str, carried: list[str], rows_per_cell: int
     ends = placed.where("_more is null").drop(*(f"next_{c}" for c in carried))
     by_cell = Window.orderBy("_cell")  # a row a cell
     every = by_cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = celled.select("_cell").distinct().select("_cell", F.coalesce(F.lead("_cell").over(by_cell), F.first("_cell").over(every)).alias("_next"))
+    follow = (
+        celled
+        .select("_cell")
+        .distinct()
+        .select("_cell", F.coalesce(F.lead("_cell").over(by_cell), F.first("_cell").over(every)).alias("_next"))
+    )
     tails = ends.join(follow, "_cell").join(heads, "_next")
     result = [*columns, *(f"next_{c}" for c in carried)]
     return placed.where("_more").select(result).unionByName(tails.select(result))

@@ -30,4 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    return at.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return (
+        at
+        .select(F.col("a").alias("node"), F.col("b").alias("root"))
+        .unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    )

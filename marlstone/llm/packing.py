@@ -248,7 +248,11 @@ def packed(pieces: DataFrame, capacity: int = 4096, rows_per_cell: int = 4096) -
     ranked = dealt.withColumn("_own", F.row_number().over(own)).join(shifted, ["length", "_cell"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_own") - 1)
     # at most capacity rows and, in all, as many runs as the patterns have slots: counts of patterns, not of pieces
-    found = ranked.join(F.broadcast(places), "length").withColumn("_run", F.size(F.filter("firsts", lambda x: x <= F.col("_rank"))) - 1)
+    found = (
+        ranked
+        .join(F.broadcast(places), "length")
+        .withColumn("_run", F.size(F.filter("firsts", lambda x: x <= F.col("_rank"))) - 1)
+    )
     sequence = (F.get("shifts", F.col("_run")) + F.col("_rank")).alias("sequence_id")
     return found.select(*pieces.columns, sequence, F.get("ats", F.col("_run")).alias("offset"))
 

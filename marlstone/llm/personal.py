@@ -130,7 +130,10 @@ def extracted(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("start", pa.int64()), ("ord", pa.int32()), ("end", pa.int64())]))
-        hint = [("start", pa.int64()), ("end", pa.int64()), ("patterns", pa.list_(pa.string())), ("instance", pa.int64()), ("seed", pa.bool_())]
+        hint = [(
+            "start",
+            pa.int64(),
+        ), ("end", pa.int64()), ("patterns", pa.list_(pa.string())), ("instance", pa.int64()), ("seed", pa.bool_())]
         for part in common.slices(batches):
             texts = part.column(2).to_pylist()
             base = [base_spans(t) for t in texts]
@@ -171,7 +174,10 @@ def trusted(edges: DataFrame, confidence: float = 0.6, least: int = 3) -> tuple[
 
 def joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
-    said = F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["ord"]), s["start"].cast("string"), s["end"].cast("string")))
+    said = F.transform(
+        spans,
+        lambda s: F.concat_ws(":", F.get(names, s["ord"]), s["start"].cast("string"), s["end"].cast("string")),
+    )
     return F.array_join(said, ",")
 
 

@@ -77,7 +77,11 @@ def pieces(text: Column, lowered: Column, pattern: str, kind: str, valued: bool
 def all_spans(found: DataFrame) -> DataFrame:
     """row, start, ord, end of every match, weak ones too, by running sums over the pieces of one text and kind."""
     order = Window.partitionBy("row", "p.ord").orderBy("p.at")
-    ends = found.select("row", F.explode("pieces").alias("p")).withColumn("end", F.sum(F.col("p.gap") + F.col("p.hit")).over(order))
+    ends = (
+        found
+        .select("row", F.explode("pieces").alias("p"))
+        .withColumn("end", F.sum(F.col("p.gap") + F.col("p.hit")).over(order))
+    )
     value, ord_ = F.col("p.value"), F.col("p.ord")
     short = F.when(value >= 12, ord_).when(value >= 6, F.lit(KINDS.index("weak_secret")))
     kind = F.when(ord_ == KINDS.index("assign"), short).otherwise(ord_)
@@ -91,7 +95,11 @@ def linked(spans: DataFrame, scope: int) -> DataFrame:
     text with many parts never makes pairs."""
     role = F.get(F.array(*map(F.lit, ROLES)), F.col("ord"))
     parts = spans.withColumns({"role": role, "bin": F.expr(f"start div {scope}")}).where("role >= 0")
-    bins = parts.groupBy("row", "bin", F.col("role").alias("other")).agg(F.min("start").alias("least"), F.max("start").alias("most"))
+    bins = (
+        parts
+        .groupBy("row", "bin", F.col("role").alias("other"))
+        .agg(F.min("start").alias("least"), F.max("start").alias("most"))
+    )
     weak = parts.where(F.col("ord") >= FIRST_WEAK)
     weak = weak.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
     near = (
@@ -110,7 +118,11 @@ def reported(df: DataFrame, text: str, scope: int) -> tuple[DataFrame, DataFrame
     held = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in df.columns if c.lower() != text.lower())).alias("held")
     kinds = [(ASSIGN, "assign", True), (ACCESS, "access"), (HEX, "hex"), (WEAK_ID, "weak_id"), (ENDPOINT, "endpoint")]
     every = F.concat(*(pieces(F.col("t"), F.col("low"), *k) for k in kinds)).alias("pieces")
-    rows = df.select(held, t.alias("t"), F.lower(t).alias("low")).select(F.monotonically_increasing_id().alias("row"), "held", every)
+    rows = (
+        df
+        .select(held, t.alias("t"), F.lower(t).alias("low"))
+        .select(F.monotonically_increasing_id().alias("row"), "held", every)
+    )
     found = common.saved(rows)
     spans = all_spans(found.select("row", "pieces"))
     return found.drop("pieces"), spans.where(F.col("ord") < FIRST_WEAK).unionByName(linked(spans, scope))
@@ -129,12 +141,18 @@ def secret_spans(df: DataFrame, text: str = "text", scope: int = 400) -> DataFra
     listed = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end"))).alias("spans"))
     kept = [c for c in df.columns if c.lower() not in (text.lower(), "spans")]
     out = rows.join(listed, "row", "left")
-    return out.select(*(F.col(f"held.`{c}`").alias(c) for c in kept), F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    return out.select(
+        *(F.col(f"held.`{c}`").alias(c) for c in kept),
+        F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"),
+    )
 
 
 def joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
-    said = F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["ord"]), s["start"].cast("string"), s["end"].cast("string")))
+    said = F.transform(
+        spans,
+        lambda s: F.concat_ws(":", F.get(names, s["ord"]), s["start"].cast("string"), s["end"].cast("string")),
+    )
     return F.array_join(said, ",")
 
 

@@ -316,7 +316,10 @@ def texts(df: DataFrame, groups: int) -> DataFrame:
                     least[digest] = own
             yield pd.DataFrame(rows, columns=["g", "digest", "doc_id", "body"]).astype({"g": "int64", "doc_id": "int64"})
 
-    rows = df.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    rows = df.select(
+        F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"),
+        F.coalesce("text", F.lit("")).cast("binary").alias("body"),
+    )
     return rows.mapInPandas(run, "g long, digest string, doc_id long, body binary")
 
 

@@ -317,7 +317,12 @@ def fit(spark: SparkSession, sf_dir: str, sample: int = 2500, longest: int = 1_0
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = common.documents(spark, sf_dir).select("doc_id", "text").where(F.octet_length("text") <= longest)
     # at most sample rows of two numbers are broadcast
-    one = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    one = (
+        docs
+        .join(F.broadcast(some), "doc_id")
+        .groupBy("doc_id", "toxic")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, marks, size = [], [], 0

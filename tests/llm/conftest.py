@@ -30,7 +30,11 @@ def write(spark, folder, rows):
     schema = "doc_id long, text string, lang string, source string, n_chars long, key string, shard int"
     data = [(d, t, None if i % 9 == 0 else "en", "src0", None, "clash", 99) for i, (d, t) in enumerate(rows)]
     spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
-    labels = [Row(doc_id=d, quality=1, toxic=int("idiot" in t or "scum" in t)) for d, t in rows if d is not None and t is not None]
+    labels = [Row(
+        doc_id=d,
+        quality=1,
+        toxic=int("idiot" in t or "scum" in t),
+    ) for d, t in rows if d is not None and t is not None]
     spark.createDataFrame(labels or [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return str(folder)
 

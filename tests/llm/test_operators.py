@@ -74,7 +74,10 @@ def test_ids_stay_whole(spark, tmp_path, name):
 def test_clashing_columns(spark):
     """Columns named like those that the operators add, or use inside, are replaced or kept, and never in the way."""
     names = ["score", "spans", "row", "held", "pieces", "keep_id", "kept", "text_sha256", "_text", "_row", "_scanned", "start", "end", "ord", "rid", "id", "n", "top", "t", "low"]
-    df = spark.createDataFrame([(1, "token=abcdefghijklmnop a", *names), (2, None, *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    df = spark.createDataFrame(
+        [(1, "token=abcdefghijklmnop a", *names), (2, None, *names), (2, None, *names)],
+        "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names),
+    )
     rest = lambda found, *gone: [[x[n] for n in names if n not in gone] for x in found] == [[n for n in names if n not in gone]] * len(found)
     scored = toxicity.score_documents(df, toxicity.train([], [])).collect()
     assert len(scored) == 3 and rest(scored, "score") and all(isinstance(x.score, float) for x in scored)
@@ -93,7 +96,12 @@ def test_sharding_balance(spark):
     """A text with half of all rows is cut between its documents."""
     text = F.when(F.col("id") % 2 == 0, F.lit("copy")).otherwise(F.concat(F.lit("t"), "id"))
     table = common.saved(spark.range(20000).select("id", sharding.content_key(text, F.col("id")).alias("key"), (F.lit(10) + F.col("id") % 7).alias("size")))
-    sums = [r["s"] for r in sharding.histogram_shards(table, "key", "size", ["id"]).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    sums = [r["s"] for r in sharding.histogram_shards(
+        table,
+        "key",
+        "size",
+        ["id"],
+    ).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
     assert len(sums) == 24 and max(sums) - min(sums) <= 0.002 * sum(sums) / 24 + 16
 
 
@@ -238,7 +246,13 @@ def test_exact_dedup(spark, folder, rows):
 
 
 def test_exact_dedup_heavy(spark):
-    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("t"), (F.col("id") % 4000).cast("string"))).alias("text"))
+    df = (
+        spark.range(9000)
+        .select(
+            F.col("id").alias("doc_id"),
+            F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("t"), (F.col("id") % 4000).cast("string"))).alias("text"),
+        )
+    )
     got = {r.text_sha256: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(df).collect()}
     assert got[sha("hot")] == (8997, 3000) and sum(n for _, n in got.values()) == 9000
 

@@ -43,7 +43,10 @@ def test_run(spark, folder, empty):
 def test_near_copies_go(spark):
     base = " ".join(f"w{i * i % 977}x{i}" for i in range(300))
     rows = [(1, base), (2, base.replace("w49x7 ", "other ")), (3, " ".join(f"v{i * 7}" for i in range(300)))]
-    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(
+        [(d, t, "en", "s", len(t)) for d, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
     assert {r.doc_id for r in pipeline.near(spark, docs, "").collect()} == {1, 3}
 
 
@@ -76,7 +79,10 @@ def test_near_copies_are_those_of_brute_force(spark):
                 at[b] = a
         for x in s:
             sharing[x].append(i)
-    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(
+        [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
     want = {root(i) for i in range(len(sets))}
     assert len(want) > 250
     assert {r.doc_id for r in pipeline.near(spark, docs, "").collect()} == want
@@ -85,8 +91,14 @@ def test_near_copies_are_those_of_brute_force(spark):
 def test_near_copies_go_by_row(spark):
     """Copies that share a doc_id or have none leave one row, and another text under a dropped doc_id stays."""
     text = lambda c, last="": " ".join(f"{c}{i}" for i in range(60)) + last
-    rows = [(1, text("a")), (2, text("a", " x")), (2, text("b")), (3, text("c")), (3, text("c", " x")), (None, text("d")), (None, text("d", " x"))]
-    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(
+        1,
+        text("a"),
+    ), (2, text("a", " x")), (2, text("b")), (3, text("c")), (3, text("c", " x")), (None, text("d")), (None, text("d", " x"))]
+    docs = spark.createDataFrame(
+        [(d, t, "en", "s", len(t)) for d, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
     got = pipeline.near(spark, docs, "").collect()
     assert sorted((str(r.doc_id), r.text[0]) for r in got) == [("1", "a"), ("2", "b"), ("3", "c"), ("None", "d")]
 
