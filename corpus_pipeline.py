@@ -61,8 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage; each stage's table is written to the shared folder and read again."""
+    """The result of the last stage; each stage's table is written to the shared folder and read again, and given back
+    when the next one is there."""
     docs = common.documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = common.saved(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES):
+        made = common.saved(stage(spark, docs, sf_dir))
+        if i:
+            common.released(docs)
+        docs = made
     return docs
