@@ -199,20 +199,24 @@ class Group:
         times = np.diff(np.append(heads, len(key)))
         several = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
         # stretches of a key that occurs more than once are told apart by their lengths and 16 bytes at their ends
-        which = np.repeat(np.arange(len(heads)), times)
-        again = np.flatnonzero(times[which] > 1)
-        at, count = self.start[order[again]], self.count[order[again]]
+        which = np.repeat(np.arange(len(heads), dtype=np.int32), times)
+        again = np.repeat(times > 1, times)
+        which, at, count = which[again], self.start[order[again]], self.count[order[again]]
         sign = (self._word(at) * MIX ^ self._word(at + count + (LENGTH - 9))) * MIX + count.astype(np.uint64)
-        place = np.lexsort((sign, which[again]))
+        del at, count, order, again
+        place = np.lexsort((sign, which))
+        which, sign = which[place], sign[place]
         new = np.ones(len(place), dtype=bool)
-        new[1:] = (which[again][place][1:] != which[again][place][:-1]) | (sign[place][1:] != sign[place][:-1])
-        kinds = np.ones(len(heads), dtype=np.int64)
-        kinds[times > 1] = np.bincount(which[again][place][new], minlength=len(heads))[times > 1]
+        new[1:] = (which[1:] != which[:-1]) | (sign[1:] != sign[:-1])
+        kinds = np.maximum(np.bincount(which[new], minlength=len(heads)), 1)
         return key[heads], several, kinds
 
     def _word(self, at: np.ndarray) -> np.ndarray:
-        byte = np.frombuffer(self.data, dtype=np.uint8)
-        return np.ascontiguousarray(byte[at[:, None] + np.arange(8)]).view(np.uint64).ravel()
+        """The 8 bytes at each place as one number, made in pieces that stay small."""
+        byte, out = np.frombuffer(self.data, dtype=np.uint8), np.zeros(len(at), dtype=np.uint64)
+        for a in range(0, len(at), PIECE):
+            out[a : a + PIECE] = byte[at[a : a + PIECE, None] + np.arange(8)].view(np.uint64).ravel()
+        return out
 
     def _string_key(self, at: np.ndarray) -> np.ndarray:
         """A key for each string of 50 bytes, from its hash, distributed as least hashes are (see bucket_of)."""
@@ -229,7 +233,7 @@ class Group:
     def repeated(self, answers: pd.DataFrame, buckets: int) -> Part:
         """The stretches whose keys another text has, those of hot keys string by string: from the buckets' bits, which
         are in the order of distinct()."""
-        keys = self.distinct()[0]
+        keys = np.unique(self.key)
         if not len(keys):
             return Part(self.start, self.count, self.key, self.owner)
         found, hot = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
@@ -323,7 +327,7 @@ def texts(df: DataFrame, groups: int) -> DataFrame:
     return rows.mapInPandas(run, "g long, digest string, doc_id long, body binary")
 
 
-def without_repeats(df: DataFrame, group_bytes: int = 8_000_000, hot: int = 20_000) -> DataFrame:
+def without_repeats(df: DataFrame, group_bytes: int = 5_000_000, hot: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, spans (array of start and end of each maximal removed run, in bytes) and kept_sha256 (of the
     remaining bytes) for every row.
 
