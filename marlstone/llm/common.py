@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,21 +16,38 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = "\t\n\x0b\x0c\r"
 
 
+#: Folders that saved() uses instead of the run folder, the innermost last.
+_within: list[str] = []
+
+
+@contextmanager
+def folder_of_its_own(spark: SparkSession) -> Iterator[str]:
+    """What saved() writes meanwhile goes to one folder, which given_back() empties as a whole."""
+    _within.append(new_folder(spark))
+    try:
+        yield _within[-1]
+    finally:
+        _within.pop()
+
+
+def given_back(spark: SparkSession, folder: str) -> None:
+    spark.range(0).write.mode("overwrite").parquet(folder)  # leaves an empty table
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Writes df to the run folder and reads it back: cuts lineage and survives lost executors.
 
     The files stay until released() or sources.shared.clean(), as results are read from them later."""
-    path = new_folder(df.sparkSession)
+    path = f"{_within[-1]}/{uuid.uuid4().hex}" if _within else new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def released(df: DataFrame) -> None:
     """Gives back the files of a table made by saved(); nothing may read it any more."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if folder.rsplit("/", 2)[-2].startswith("marlstone-"):
-            spark.range(0).write.mode("overwrite").parquet(folder)  # leaves an empty table
+            given_back(df.sparkSession, folder)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
