@@ -1,18 +1,45 @@
 """A corpus pipeline over documents: five stages, each on all that the one before kept.
 
 All stages take nulls in any column, and read and return the columns of documents; more columns, whatever their names,
-are left out. An empty table gives an empty table."""
+are left out. An empty table gives an empty table.
+
+Write a stage's result before the next stage is called: the tables that a stage made on its way are given back then,
+unless the next one's documents read them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import common, exact_dedup, packing, secrets_scan, similar, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: By application, the folders of what stages made on their way and hasn't been given back.
+_left: dict[str, list[str]] = {}
+
+
+def tidy(stage: Stage) -> Stage:
+    """A stage whose tables go to a folder of its own, and which first gives back those of the stages before it."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left, read = _left.setdefault(spark.sparkContext.applicationId, []), docs.inputFiles()
+        for folder in [f for f in left if not any(f.split(":", 1)[-1].lstrip("/") in file for file in read)]:
+            common.given_back(spark, folder)
+            left.remove(folder)
+        with common.folder_of_its_own(spark) as folder:
+            left.append(folder)
+            return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@tidy
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the model, trained on the labels of sf_dir, scores 0.5 or more.
 
@@ -21,6 +48,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("score < 0.5").select(COLUMNS)
 
 
+@tidy
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) one row of the largest doc_id stays, whatever its other columns.
 
@@ -28,6 +56,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.without_copies(docs.select(COLUMNS))
 
 
+@tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts connected by similarities of 0.8 and more (sets of five-word shingles), one row of the least doc_id stays.
 
@@ -42,11 +71,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(common.saved(gone.select("row")), "row", "left_anti").select(COLUMNS)
 
 
+@tidy
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts [SECRET] in place of every span that the secret scan reports; n_chars follows. Null texts stay null."""
     return secrets_scan.redacted(docs.select(COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
+@tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document with its place in a sequence, see packing.pack_documents.
 
