@@ -21,13 +21,22 @@ def rule_score(text: Column, lexicon: list[str]) -> Column:
 
 
 def chunk_scores(docs: DataFrame, lexicon: list[str]) -> DataFrame:
-    """doc_id, rule: the greatest score of a document's chunks."""
+    """doc_id, rule: the greatest score of a document's chunks; a null text has a null one."""
     score = F.transform(chunks(F.col("text")), lambda c: rule_score(c, lexicon))
     return docs.select("doc_id", F.round(F.array_max(score), 6).alias("rule"))
 
 
+def one_label(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic: the greatest label of each document, so that repeated ones don't repeat documents; null ones don't
+    count, nor do labels of no document."""
+    known = labels.where("doc_id is not null and toxic is not null")
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def label_or_rule(docs: DataFrame, labels: DataFrame, lexicon: list[str]) -> DataFrame:
-    scored = chunk_scores(docs, lexicon).join(labels.select("doc_id", "toxic"), "doc_id", "left")
+    """doc_id, score, by_rule for every row of docs: the document's label (see one_label), else chunk_scores' rule. Rows with
+    a null doc_id have no label, repeated rows stay, and a null text without a label has a null score."""
+    scored = chunk_scores(docs, lexicon).join(one_label(labels), "doc_id", "left")
     return scored.select(
         "doc_id",
         F.coalesce(F.col("toxic").cast("double"), "rule").alias("score"),
@@ -37,19 +46,23 @@ def label_or_rule(docs: DataFrame, labels: DataFrame, lexicon: list[str]) -> Dat
 
 def judged(docs: DataFrame, labels: DataFrame, by: str | Scorer = "rule", lexicon: list[str] | None = None, calls: int | None = None) -> DataFrame:
     """doc_id, score: a label if there is one, else what by says: "rule" (the word list's) or a scorer, such as a model
-    of any provider behind a service, of which at most calls run at once. Labelled documents aren't sent to it."""
+    of any provider behind a service, of which at most calls run at once. Labelled documents aren't sent to it.
+
+    Labels are those of one_label; rows with a null doc_id have none, and repeated rows stay."""
     if by == "rule":
         return label_or_rule(docs, labels, lexicon or []).select("doc_id", "score")
+    labels = one_label(labels)
     known = docs.select("doc_id").join(labels.select("doc_id", F.col("toxic").cast("double").alias("score")), "doc_id")
     rest = docs.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_anti")
     return known.unionByName(with_scorer(rest, by, calls=calls).select("doc_id", "score"))
 
 
 def band(score: Column, bands: list[tuple[float, str]] = BANDS, top: str = "severe") -> Column:
+    """The band's name; null for a null score and for one that isn't a number."""
     out = F.lit(top)
     for limit, name in reversed(bands):
         out = F.when(score < limit, F.lit(name)).otherwise(out)
-    return out
+    return F.when(score.isNotNull() & ~F.isnan(score), out)
 
 
 def with_scorer(df: DataFrame, scorer: Scorer, text: str = "text", calls: int | None = None) -> DataFrame:

@@ -31,6 +31,14 @@ def new_folder(spark: SparkSession) -> str:
     return f"{run_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def given_back(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder under run_dir(), by whatever file system it is on; nothing may read it any more."""
+    if not f"{folder}/".startswith(f"{run_dir(spark)}/"):
+        raise ValueError(f"{folder} isn't of this application's run folder")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Gives back the run folder: call it when no result of this application is read any more."""
-    spark.range(0).write.mode("overwrite").parquet(run_dir(spark))  # leaves an empty table
+    given_back(spark, run_dir(spark))

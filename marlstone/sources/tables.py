@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -26,5 +27,8 @@ def jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, bound
 
 
 def restore_missing(stored: DataFrame, backup: DataFrame, key: str) -> DataFrame:
-    """stored and the rows of backup whose key it doesn't have."""
-    return stored.unionByName(backup.join(stored.select(key), key, "left_anti"))
+    """stored and the rows of backup whose key it doesn't have. A null key counts as a key: rows with it come back if
+    stored has none, so that restoring twice adds nothing. Repeated rows of the backup come back as they are."""
+    kept, back = stored.select(F.col(key).alias("_key")), backup.withColumn("_sought", F.col(key))
+    missing = back.join(kept, F.col("_sought").eqNullSafe(F.col("_key")), "left_anti")
+    return stored.unionByName(missing.drop("_sought"))

@@ -2,14 +2,15 @@
 
 import datetime
 import random
+from collections import Counter
 
 import pytest
-from oracle import SF
+from oracle import SF, connect
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import retrieval, scoring
-from marlstone.plans.queries import QUERIES
+from marlstone.plans.queries import QUERIES, SQL
 from marlstone.sources import shared, tables
 from marlstone.streaming import events as E
 
@@ -26,6 +27,39 @@ def test_load_and_jdbc(spark, tmp_path):
 def test_restored_rows(spark):
     old, backup = (spark.createDataFrame(x, "k long, v string") for x in ([(1, "a")], [(1, "b"), (2, "c")]))
     assert sorted(map(tuple, tables.restore_missing(old, backup, "k").collect())) == [(1, "a"), (2, "c")]
+    nulls = spark.createDataFrame([(None, "n"), (None, "n"), (3, "d")], "k long, v string")
+    once = tables.restore_missing(old, nulls, "k")
+    assert Counter(map(tuple, once.collect())) == Counter([(1, "a"), (None, "n"), (None, "n"), (3, "d")])
+    assert tables.restore_missing(once, nulls, "k").count() == 4
+
+
+def test_null_scores_and_repeated_labels(spark):
+    """A null score has no band, and a label that comes twice doesn't repeat its document."""
+    docs = spark.createDataFrame([(1, None), (2, "idiot"), (3, None), (None, "a"), (2, "idiot")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    scored = scoring.label_or_rule(docs, labels, ["idiot"])
+    got = Counter((r.doc_id, r.score, r.band) for r in scored.withColumn("band", scoring.band(F.col("score"))).collect())
+    assert got == Counter([(1, 1.0, "severe"), (2, 1.0, "severe"), (2, 1.0, "severe"), (3, None, None), (None, 0.0, "none")])
+    judged = scoring.judged(docs, labels, lambda texts: texts.fillna("").str.len() / 10)
+    assert Counter(map(tuple, judged.collect())) == Counter([(1, 1.0), (2, 0.5), (2, 0.5), (3, 0.0), (None, 0.1)])
+    assert spark.range(1).select(scoring.band(F.lit(float("nan")))).first()[0] is None
+
+
+def test_every_oracle_parses():
+    """An oracle that isn't SQL shows at once, whatever its query gives."""
+    con = connect()
+    for sql in SQL.values():
+        con.execute(f"EXPLAIN {sql}")
+
+
+def test_shared_folder_gives_back_its_own_only(spark, tmp_path):
+    folder = shared.new_folder(spark)
+    spark.range(3).write.parquet(folder)
+    shared.given_back(spark, folder)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder).count()
+    with pytest.raises(ValueError, match="run folder"):
+        shared.given_back(spark, str(tmp_path))
 
 
 def test_index_recall(spark):
