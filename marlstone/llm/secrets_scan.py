@@ -18,7 +18,7 @@ HEX = r"[0-9a-f]{16,}"
 WEAK_ID = (
     r"""(?i:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
     r"""|AKIA[A-Z0-9]{4,13}(?![A-Z0-9])"""
-    r"""|(?<![A-Za-z0-9_.%+-])[A-Za-z0-9_.%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"""
+    r"""|(?<![A-Za-z0-9_.%+-])[A-Za-z0-9_.%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"""
 )
 ENDPOINT = (
     r"""(?<![A-Za-z0-9+])[a-z][a-z0-9+]{1,9}://[A-Za-z0-9_.:@/?&=%-]{4,}"""
@@ -191,4 +191,4 @@ def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: i
         return F.concat(F.array_join(gaps, ""), cut(F.element_at("cuts", -1)["end"], most))
 
     new = F.when(F.col("chars").isNotNull(), without(quick)).when(F.size("cuts") > 0, without(plain)).otherwise(F.col("body"))
-    return out.select(*((new.alias(c) if c == text else F.col(f"held.`{c}`").alias(c)) for c in df.columns))
+    return out.select(*((new.alias(c) if c.lower() == text.lower() else F.col(f"held.`{c}`").alias(c)) for c in df.columns))
