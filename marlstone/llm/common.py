@@ -5,49 +5,49 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_folder
+from ..sources.shared import given_back, new_folder, run_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = "\t\n\x0b\x0c\r"
 
 
-#: Folders that saved() uses instead of the run folder, the innermost last.
-_within: list[str] = []
+#: The folder that saved() uses instead of the run folder: each thread of the driver has its own.
+_within: ContextVar[str | None] = ContextVar("_within", default=None)
 
 
 @contextmanager
 def folder_of_its_own(spark: SparkSession) -> Iterator[str]:
-    """What saved() writes meanwhile goes to one folder, which given_back() empties as a whole."""
-    _within.append(new_folder(spark))
+    """What saved() writes meanwhile in this thread goes to one folder, which given_back() empties as a whole."""
+    before = _within.set(new_folder(spark))
     try:
-        yield _within[-1]
+        yield _within.get()
     finally:
-        _within.pop()
-
-
-def given_back(spark: SparkSession, folder: str) -> None:
-    spark.range(0).write.mode("overwrite").parquet(folder)  # leaves an empty table
+        _within.reset(before)
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Writes df to the run folder and reads it back: cuts lineage and survives lost executors.
 
     The files stay until released() or sources.shared.clean(), as results are read from them later."""
-    path = f"{_within[-1]}/{uuid.uuid4().hex}" if _within else new_folder(df.sparkSession)
+    path = f"{_within.get()}/{uuid.uuid4().hex}" if _within.get() else new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def released(df: DataFrame) -> None:
-    """Gives back the files of a table made by saved(); nothing may read it any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.rsplit("/", 2)[-2].startswith("marlstone-"):
-            given_back(df.sparkSession, folder)
+    """Gives back the files of a table made by saved(); nothing may read it any more. An empty table may have none."""
+    run = run_dir(df.sparkSession)
+    for file in df.inputFiles()[:1]:
+        # a file's URI may be written with one slash after the scheme, and with three
+        within = file.partition(f"/{run.rpartition('/')[2]}/")[2]
+        if within:
+            given_back(df.sparkSession, f"{run}/{within.rpartition('/')[0]}")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

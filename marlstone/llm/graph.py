@@ -11,7 +11,8 @@ from . import common
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (columns a, b): root is the least node of its component.
 
-    Each round writes its edges to the shared folder; the driver sees a count and a checksum. A node with very many
+    Each round writes its edges to the shared folder and gives back those of the round before; the driver sees a count and
+    a checksum. A node with very many
     neighbours is never gathered: its rows are joined with its minimum, and adaptive execution splits such a join."""
 
     def checksum(df: DataFrame) -> tuple:
@@ -22,10 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = common.saved(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        before, large = at, common.saved(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         at = common.saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        for old in (before, large):
+            common.released(old)
         now = checksum(at)
         if now == seen:
             break

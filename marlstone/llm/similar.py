@@ -9,11 +9,12 @@ fingerprint of 1024 parities: each shingle that only one of two sets has flips o
 as many shingles as bits, and those at 0.8 or more in at most a ninth of their sizes' sum. Majority fingerprints
 (SimHash proper) have no such bound, and lost a fifth of the pairs. Survivors are compared as whole sets.
 
-A group of n similar texts would make n * n survivors, so a first round compares each text with one hub of its group,
-and the second, complete one leaves out pairs that the first has connected already: components are the same."""
+A group of n similar texts would make n * n survivors, so rounds compare each text with a few hubs of its group alone,
+and the last, complete one leaves out pairs that those have connected already: components are the same."""
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,16 +90,17 @@ def sampled(df: DataFrame, docs: int = 10_000, least: int = 10) -> DataFrame:
     return tokens.groupBy("token").count().where(F.col("count") >= least)
 
 
-def candidates(rows: DataFrame, hubs_only: bool) -> DataFrame:
-    """Distinct pairs a < b of nodes whose fingerprints and prefixes allow a similarity of 0.8.
+def candidates(rows: DataFrame, hubs: int = 0, turn: int = 0) -> DataFrame:
+    """Distinct pairs a < b of nodes with different roots whose fingerprints and prefixes allow a similarity of 0.8.
 
-    rows: key, weight (of how many shingles the key is one), cell, node, size, root, parities. hubs_only: pairs of each
-    group's hub (its least node by a hash) alone; otherwise all pairs with different roots.
+    rows: key, weight (of how many shingles the key is one), cell, node, size, root, parities. With hubs, only pairs with
+    one of so many hubs of each group, its least nodes by a hash that differs from turn to turn.
 
     What two sets share behind their prefixes is at most what is left of the larger rest, so their prefixes must share
     what is missing. That discards pairs of long texts, whose fingerprints are full. It is counted over all keys, which
-    in the first round sees hubs' pairs alone; what that loses, the second round finds."""
+    with hubs sees their pairs alone; what that loses, the complete round finds."""
     refs = simhash.references(PIVOTS, LONGS)
+    salt = np.uint64(random.Random(turn).getrandbits(64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in simhash.by_group(batches):
@@ -109,7 +111,7 @@ def candidates(rows: DataFrame, hubs_only: bool) -> DataFrame:
             least, largest = (f.reduceat(root, np.flatnonzero(np.diff(group, prepend=-1))) for f in (np.minimum, np.maximum))
             some = (least < largest)[group]
             group, node, size, root, bits, weight = (x[some] for x in (group, node, size, root, bits, weight))
-            pairs = list(hub_pairs(group, node, size, bits) if hubs_only else all_pairs(group, node, size, root, bits))
+            pairs = list((hub_pairs if hubs else all_pairs)(group, node, size, root, bits))
             a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*pairs) if pairs else ((), ())))
             rest = np.maximum(size[a] - first_ones(size[a]), size[b] - first_ones(size[b]))
             need = (4 * (size[a] + size[b]) + 8) // 9 - rest
@@ -123,14 +125,18 @@ def candidates(rows: DataFrame, hubs_only: bool) -> DataFrame:
 
         return limit
 
-    def hub_pairs(group, node, size, bits):
-        turn = node.view(np.uint64) * simhash.MIX
-        order = np.lexsort((turn, group))
+    def hub_pairs(group, node, size, root, bits):
+        order = np.lexsort((node.view(np.uint64) * simhash.MIX ^ salt, group))
         heads = np.flatnonzero(np.diff(group[order], prepend=-1))
-        hub = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
-        i, j = hub[hub != order], order[hub != order]
-        close = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= allowed(size)(i, j)
-        yield i[close], j[close]
+        many = np.diff(np.append(heads, len(order)))
+        place = np.arange(len(order)) - np.repeat(heads, many)
+        for h in range(hubs):
+            with_hub = np.flatnonzero(place > h)
+            i, j = order[with_hub - place[with_hub] + h], order[with_hub]
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            close = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= allowed(size)(i, j)
+            yield i[close], j[close]
 
     def all_pairs(group, node, size, root, bits):
         order = np.lexsort((np.bitwise_count(bits ^ refs[0]).sum(axis=1), group))
@@ -175,7 +181,7 @@ def shared(nodes: DataFrame) -> DataFrame:
 
 
 def similar_components(
-    df: DataFrame, frequent: int = 1000, most_frequent: int = 200_000, largest: int = 4000
+    df: DataFrame, frequent: int = 1000, most_frequent: int = 200_000, largest: int = 4000, hubs: int = 8, turns: int = 3
 ) -> DataFrame:
     """row and component (a row of it; one value for all rows connected by similarities of 0.8 or more), for every row.
 
@@ -185,7 +191,8 @@ def similar_components(
 
     Shingles that are common in a sample or in over `frequent` prefixes (most_frequent of each at most) are put last in
     the order. Any set of them may be: it only saves pairs. Of shingles that the very same texts share, one is enough.
-    Groups of over largest texts are dealt in cells."""
+    Groups of over largest texts are dealt in cells. Rounds with hubs go on, turns of them at most, while the groups'
+    pairs with different roots are many times their rows."""
 
     def last(counts: DataFrame) -> np.ndarray:
         top = counts.orderBy(F.desc("count"), "token").limit(most_frequent).select("token")
@@ -216,14 +223,25 @@ def similar_components(
     cells = simhash.in_cells(common.saved(rows.select("key", "weight", "node")), chosen, "key", "node", largest)
     facts = nodes.select("node", "size", "parities")
 
-    def pairs(roots: DataFrame | None) -> DataFrame:
+    def rooted(roots: DataFrame | None) -> DataFrame:
         known = facts.join(roots, "node", "left") if roots else facts.withColumn("root", F.lit(None).cast("long"))
-        known = known.withColumn("root", F.coalesce("root", "node"))
-        return candidates(cells.join(known, "node"), roots is None)
+        return known.withColumn("root", F.coalesce("root", "node"))
 
-    edges = verified(pairs(None), df)
+    def apart(roots: DataFrame) -> bool:
+        """Whether the groups have more than 4 pairs with different roots for each row."""
+        by_root = cells.join(rooted(roots).select("node", "root"), "node").groupBy("key", "cell", "root").agg(F.count("*").alias("n"))
+        by_group = by_root.groupBy("key", "cell").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        rows, other = by_group.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        return (other or 0) > 4 * (rows or 0)
+
+    edges = verified(candidates(cells.join(rooted(None), "node"), hubs), df)
     roots = common.saved(graph.components(edges))
-    more = verified(pairs(roots), df)
+    for turn in range(1, turns):
+        if not apart(roots):
+            break
+        edges = edges.unionByName(verified(candidates(cells.join(rooted(roots), "node"), hubs, turn), df))
+        roots = common.saved(graph.components(edges))
+    more = verified(candidates(cells.join(rooted(roots), "node")), df)
     if not more.isEmpty():
         roots = common.saved(graph.components(edges.unionByName(more)))
     named = df.select("row").join(copies, "row", "left").select("row", F.coalesce("node", "row").alias("node"))

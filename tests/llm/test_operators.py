@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marlstone.llm import common, exact_dedup, fingerprints, packing, personal, pieces, queries, secrets_scan, sharding, simhash, suffixes, toxicity
+from marlstone.llm import common, exact_dedup, fingerprints, graph, packing, personal, pieces, queries, secrets_scan, sharding, simhash, suffixes, toxicity
 
 sha = lambda b: hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -547,3 +547,37 @@ def test_packing_plan():
         assert used == Counter(histogram)
         alone = sum(c for n, c in histogram.items() if n > 2048)
         assert sum(t for _, t in made) <= 1.02 * max(alone, -(-int(lengths.sum()) // 4096), len(lengths) / 2 if (lengths == 1500).all() else 0) + 1
+
+
+def test_patterns_take_long_runs(spark):
+    """No pattern needs a deep stack or time out of proportion: 100,000 labels, 1,000,000 equal characters of each kind."""
+    texts = ["a@" + "b." * 100_000 + "c x"]
+    texts += [start + c * 1_000_000 for start, c in (("token=", "z"), ("AKIA", "B"), ("", "f"), ("login: ", "x"), ("http://", "a"), ("host=", "b"), ("", "1.1."), ("", "a@"), ("a@", "b"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets_scan.secret_spans(df).collect()}
+    assert got[0] == [] and got[1] == [(0, 0, 1_000_006)] and got[2] == [(0, 1, 1_000_004)] and got[3] == [(0, 2, 1_000_000)]
+    near = spark.createDataFrame([(0, "a@" + "b." * 100_000 + "c token=abcdef")], "doc_id long, text string")
+    assert secrets_scan.secret_spans(near, scope=300_000).first().spans[0].end == 200_003
+
+
+def test_redaction_whatever_the_columns_case(spark):
+    df = spark.createDataFrame([(1, "a token=abcdefghijklmnop b")], "doc_id long, Text string")
+    got = secrets_scan.redacted(df)
+    assert got.columns == ["doc_id", "Text"] and got.first()[1] == "a [SECRET] b"
+
+
+def test_components(spark):
+    """Chains, stars, cycles and negative ids, against a plain search; earlier rounds' tables are given back."""
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(200)] + [(-5, 1000 + i) for i in range(50)] + [(3000, 3001), (3001, 3002), (3002, 3000), (7, 7)]
+    edges += [(5000 + r.randrange(150), 5000 + r.randrange(150)) for _ in range(110)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a != b and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    found = graph.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {x.node: x.root for x in found.collect()} == root and found.count() == len(root)

@@ -127,3 +127,14 @@ def test_near_copies_of_the_sample(spark):
             sharing[x].append(i)
     assert pairs
     assert {r.doc_id for r in pipeline.near(spark, docs, "").collect()} == {rows[i][0] for i in range(len(rows)) if root(i) == i}
+
+
+def test_stages_may_be_called_before_the_first_is_written(spark):
+    docs = [
+        spark.createDataFrame([(i, f"{n} some words of text {i // 2} and more", "en", "s", 9) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+        for n in "ab"
+    ]
+    a, b = (pipeline.near(spark, d, "") for d in docs)
+    assert (a.count(), b.count()) == (2, 2)
+    c, d = pipeline.secrets(spark, a, ""), pipeline.pack(spark, b, "")
+    assert (c.count(), d.count(), a.count()) == (2, 2, 2)
