@@ -3,13 +3,12 @@
 All stages take nulls in any column, and read and return the columns of documents; more columns, whatever their names,
 are left out. An empty table gives an empty table.
 
-Write a stage's result before the next stage is called: the tables that a stage made on its way are given back then,
-unless the next one's documents read them."""
+A stage keeps the tables that its result reads until sources.shared.clean(), so stages may be called in any order and
+their results written later; run() alone gives them back, stage by stage."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,27 +18,7 @@ from marlstone.llm import common, exact_dedup, packing, secrets_scan, similar, t
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: By application, the folders of what stages made on their way and hasn't been given back.
-_left: dict[str, list[str]] = {}
 
-
-def tidy(stage: Stage) -> Stage:
-    """A stage whose tables go to a folder of its own, and which first gives back those of the stages before it."""
-
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        left, read = _left.setdefault(spark.sparkContext.applicationId, []), docs.inputFiles()
-        for folder in [f for f in left if not any(f.split(":", 1)[-1].lstrip("/") in file for file in read)]:
-            common.given_back(spark, folder)
-            left.remove(folder)
-        with common.folder_of_its_own(spark) as folder:
-            left.append(folder)
-            return stage(spark, docs, sf_dir)
-
-    return run
-
-
-@tidy
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the model, trained on the labels of sf_dir, scores 0.5 or more.
 
@@ -48,7 +27,6 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("score < 0.5").select(COLUMNS)
 
 
-@tidy
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) one row of the largest doc_id stays, whatever its other columns.
 
@@ -56,28 +34,29 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.without_copies(docs.select(COLUMNS))
 
 
-@tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts connected by similarities of 0.8 and more (sets of five-word shingles), one row of the least doc_id stays.
 
     Null doc_ids come last. Rows count one by one, so different texts under one doc_id stay or go by themselves, and
     of repeated rows one stays. Texts without words are copies of each other."""
     rows = common.saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
-    found = similar.similar_components(rows.select("row", "text")).join(rows.select("row", "doc_id"), "row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    # rows that are alone never move their texts: what goes is joined, not what stays
-    several = found.groupBy("component").agg(first.alias("kept"), F.count("*").alias("n")).where("n > 1")
-    gone = found.join(several.select("component", F.col("kept.row").alias("kept")), "component").where("row <> kept")
-    return rows.join(common.saved(gone.select("row")), "row", "left_anti").select(COLUMNS)
+    with common.folder_of_its_own(spark) as folder:
+        found = similar.similar_components(rows.select("row", "text")).join(rows.select("row", "doc_id"), "row")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+        # rows that are alone never move their texts: what goes is joined, not what stays
+        several = found.groupBy("component").agg(first.alias("kept"), F.count("*").alias("n")).where("n > 1")
+        gone = found.join(several.select("component", F.col("kept.row").alias("kept")), "component").where("row <> kept")
+        gone = gone.select("row")
+    gone = common.saved(gone)
+    common.given_back(spark, folder)
+    return rows.join(gone, "row", "left_anti").select(COLUMNS)
 
 
-@tidy
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts [SECRET] in place of every span that the secret scan reports; n_chars follows. Null texts stay null."""
     return secrets_scan.redacted(docs.select(COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
-@tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document with its place in a sequence, see packing.pack_documents.
 
@@ -93,10 +72,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage; each stage's table is written to the shared folder and read again, and given back
-    when the next one is there."""
+    when the next one is there, as are the tables that a stage made on its way."""
     docs = common.documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        made = common.saved(stage(spark, docs, sf_dir))
+        with common.folder_of_its_own(spark) as folder:
+            result = stage(spark, docs, sf_dir)
+        made = common.saved(result)
+        common.given_back(spark, folder)
         if i:
             common.released(docs)
         docs = made
