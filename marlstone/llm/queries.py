@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .codes import OP13_SQL, op13_vector_codes
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .fingerprints import op8_fingerprints
 from .packing import op10_packing
+from .perplexity import op12_quality_rules
 from .personal import op7_personal_data
 from .pieces import op4_sentencepiece
+from .prefixes import OP11_SQL, op11_prefix_trie
 from .secrets_scan import op6_secret_scan
 from .sharding import op1_sharding
 from .simhash import op2_simhash
@@ -28,6 +31,9 @@ OPERATORS = (
     op8_fingerprints,
     op9_repeated_passages,
     op10_packing,
+    op11_prefix_trie,
+    op12_quality_rules,
+    op13_vector_codes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
-SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op11_prefix_trie": OP11_SQL, "op13_vector_codes": OP13_SQL}
