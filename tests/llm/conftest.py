@@ -36,9 +36,40 @@ def write(spark, folder, rows):
         toxic=int("idiot" in t or "scum" in t),
     ) for d, t in rows if d is not None and t is not None]
     spark.createDataFrame(labels or [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    turns, vectors = (make_turns(), make_vectors()) if rows else ([], [])
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, node string, t string, cell long").repartition(3).write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, code string, error string").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
+def make_turns():
+    """Copies, shared beginnings, ties, nulls in all columns, missing bases, a conversation that is shorter than what is
+    taken from it, negative and very large ids, repeated rows, and long conversations that part late."""
+    r = random.Random(6)
+    said = ["hello there", "how are you", "", None, "fine, thanks a lot", "x " * 300]
+    out = []
+    for c in [*range(0, 9), *range(20, 47), *range(61, 70), *range(100, 104), -20, -19, -3, 2**60, 2**60 + 5, None]:
+        if c in (61, 62, 63, 64):  # four times the same
+            out += [(c, i, "user", f"copy {i}") for i in range(6)]
+        elif c in (100, 101, 102, 103):
+            out += [(c, i, "user", f"long {i if i < 20 + 7 * c % 3 else (i, c)}") for i in range(30)]
+        else:
+            out += [(c, r.choice([None, 1, 2, 2, 700, 3 * 10**9]), r.choice(["user", "assistant", None]), r.choice(said)) for _ in range(r.randrange(1, 7))]
+    out += out[5:8]
+    return [(*x, "clash", "clash", 7) for x in out]
+
+
+def make_vectors():
+    """Nulls, nulls and non-finite numbers inside, an empty and a short vector, equal vectors, repeated rows and ids."""
+    r = random.Random(7)
+    nan, inf = float("nan"), float("inf")
+    vector = lambda: [r.gauss(0, 0.2) for _ in range(8)]
+    out = [(i * 3, vector() if i % 5 else [round(x, 1) for x in vector()], r.choice([0, 1, None])) for i in range(400)]
+    out += [(1, None, 1), (2, [0.1, None, *[0.0] * 6], 1), (4, [nan, *[0.0] * 7], 1), (5, [-inf, *[0.0] * 7], None), (7, [], 1), (8, [0.5], 1)]
+    out += [(None, vector(), None), out[3], out[3], (out[4][0], vector(), 0), (10, [1e30, -1e30, *[0.0] * 6], 3), (2**60, [0.0] * 8, None)]
+    return [(*x, "clash", "clash") for x in out]
+
+
 @pytest.fixture(scope="session")
 def folder(spark, rows, tmp_path_factory):
     return write(spark, tmp_path_factory.mktemp("docs"), rows)
