@@ -253,7 +253,8 @@ def bands(scored: DataFrame, width: float) -> DataFrame:
     rows = scored.where("bits is not null and not base_failed").select("lang", F.round(F.col("bits") * 1000).cast("long").alias("x"))
 
     def median(df: DataFrame) -> DataFrame:
-        steps = df.groupBy("lang", "x").agg(F.count("*").alias("n"))
+        # written, so that all of a language's counts are added up before they meet in one task
+        steps = common.saved(df.groupBy("lang", "x").agg(F.count("*").alias("n")))
         upto = F.sum("n").over(Window.partitionBy("lang").orderBy("x"))
         whole = F.sum("n").over(Window.partitionBy("lang"))
         return steps.select("lang", "x", (2 * upto >= whole).alias("past")).where("past").groupBy("lang").agg(F.min("x").alias("middle"))
