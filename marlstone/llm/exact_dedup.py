@@ -61,13 +61,23 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", supp
 
 
 def without_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", support: float = 1e-3) -> DataFrame:
-    """The rows of df that exact_groups keeps, with all their columns. No text is moved to find the others."""
-    own = common.unused(df, "_row")
-    rows = common.saved(df.withColumn(own, F.monotonically_increasing_id()))
-    keys = common.saved(rows.select(digest(F.col(text)).alias("text_sha256"), F.col(doc_id).alias("id"), F.col(own).alias("rid")))
-    gone = marked(keys, support).where(F.col("rid") != F.col("top.rid")).select(F.col("rid").alias(own))
-    # written first, so that a list that is small by its size is broadcast
-    return rows.join(common.saved(gone), own, "left_anti").drop(own)
+    """The rows of df that exact_groups keeps, with all their columns. Of rows that share text and doc_id any one stays.
+
+    df is read again for its texts, and no copy of it is made. Rows whose digest has no copy, by a list of 64-bit hashes
+    that is broadcast if it is small by its size, stay where they are; only the others meet their group's answer."""
+    sha, theirs, top, times = (common.unused(df, c) for c in ("_sha", "_theirs", "_top", "_times"))
+    known, id_ = df.withColumn(sha, digest(F.col(f"`{text}`"))), F.col(f"`{doc_id}`")
+    keys = common.saved(known.select(F.col(sha).alias("text_sha256"), id_.alias("id"), F.monotonically_increasing_id().alias("rid")))
+    several = marked(keys, support).where("n > 1").groupBy(F.col("text_sha256").alias(theirs))
+    several = common.saved(several.agg(F.max("top.id").alias(top), F.count_if(F.col("id").eqNullSafe(F.col("top.id"))).alias(times)))
+    mark = F.xxhash64(sha) == F.col(theirs)
+    marks = common.saved(several.select(F.xxhash64(theirs).alias(theirs)).distinct())
+    found = known.join(marks, mark, "left_semi").join(several, F.col(sha) == F.col(theirs), "left")
+    stay = found.where(F.col(times).isNull() | id_.eqNullSafe(F.col(top)))
+    out = known.join(marks, mark, "left_anti").drop(sha).unionByName(stay.where(F.coalesce(times, F.lit(1)) == 1).select(*df.columns))
+    if not several.where(F.col(times) > 1).isEmpty():
+        out = out.unionByName(stay.where(F.col(times) > 1).dropDuplicates([sha]).select(*df.columns))
+    return out
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
