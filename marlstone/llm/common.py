@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -50,9 +50,24 @@ def released(df: DataFrame) -> None:
             given_back(df.sparkSession, f"{run}/{within.rpartition('/')[0]}")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+#: What a worker keeps from task to task: one operator's caches at a time.
+_kept: dict[tuple, object] = {}
+
+
+def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
+    """make()'s result, made once in a worker as long as no other key is asked for."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, keeps: bool = False) -> Iterator[pa.RecordBatch]:
     """Arrow batches (Spark bounds them by bytes) in parts of at most rows rows, so that the Python objects of few
-    texts live at once; memory that Arrow doesn't use goes back after each batch."""
+    texts live at once; memory that Arrow doesn't use goes back after each batch. An operator that doesn't keep caches
+    in its worker drops those of others."""
+    if not keeps:
+        _kept.clear()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

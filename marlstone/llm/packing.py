@@ -73,9 +73,6 @@ class WordEncoder:
                 yield b"".join([known[w] for w in words])
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """A row for each piece of at most capacity tokens: doc_id, piece, start, length, ids (little-endian, 32 bits each).
 
@@ -83,12 +80,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     its cache of words, of bounded size, from task to task."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordEncoder(tokenizer)
+        encoder = common.kept_in_worker(("packing", tokenizer), lambda: WordEncoder(tokenizer))
         end, size = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
-        for part in common.slices(batches, 250):
+        for part in common.slices(batches, 250, keeps=True):
             owner, cut = [], []
-            for row, raw in enumerate(_encoders[tokenizer].encode(part.column(1).to_pylist())):
+            for row, raw in enumerate(encoder.encode(part.column(1).to_pylist())):
                 raw += end
                 owner += [row] * -(-len(raw) // size)
                 cut += [(at, raw[at : at + size]) for at in range(0, len(raw), size)]

@@ -203,13 +203,8 @@ class PieceCoder:
         return [b"".join(map(known, w)) for w in some], [b"".join(map(shown, w)).removeprefix(b" ") for w in some]
 
 
-_coders: dict[str, PieceCoder] = {}
-
-
 def coder(model_file: str) -> PieceCoder:
-    if model_file not in _coders:
-        _coders[model_file] = PieceCoder(model_file)
-    return _coders[model_file]
+    return common.kept_in_worker(("pieces", model_file), lambda: PieceCoder(model_file))
 
 
 def encoded(docs: DataFrame, model_file: str) -> DataFrame:
@@ -220,7 +215,7 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
     names. An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, 100):
+        for part in common.slices(batches, 100, keeps=True):
             raw, shown = coder(model_file).coded(part.column(1).to_pylist())
             flat = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
             starts = pa.array(np.cumsum([0, *(len(r) // 4 for r in raw)]), pa.int32())
