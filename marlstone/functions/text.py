@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # What is taken out of a page, in this order.
 PAGE_PARTS = [r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<[^>]*>"]
 SENTENCE_END = "[.!?。！？]+"
+#: Scripts that are written without spaces: Han, Hiragana, Katakana.
+UNSPACED = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+WORD = r"[\p{L}\p{M}\p{N}]+"
 
 
 def page_title(html: Column) -> Column:
@@ -42,8 +45,24 @@ def chunks(text: Column, size: int = 200, step: int = 150) -> Column:
     return F.when(text.isNotNull(), F.transform(F.array(cut), put_together)[0])
 
 
+def bigrams(run: Column) -> Column:
+    """The overlapping pairs of a run's characters; one character stands alone. In time in proportion to the run."""
+    pairs = lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.concat(a, b))
+    # an array of one element, so that the run is split once
+    return F.when(F.char_length(run) < 2, F.array(run)).otherwise(F.transform(F.array(F.split(run, "")), pairs)[0])
+
+
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
+    """Lower-cased words in order: runs of letters, marks and digits of any script; of scripts that are written without
+    spaces, each run's pairs of characters. A null text has null.
+
+    Texts in ASCII are split by a simpler pattern, and only those that have an unspaced script are looked at for pairs."""
+    low = F.lower(text)
+    plain = F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
+    words = lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+    apart = words(F.regexp_replace(low, f"([{UNSPACED}]+)", " $1 "))
+    paired = F.flatten(F.transform(apart, lambda w: F.when(w.rlike(f"^[{UNSPACED}]"), bigrams(w)).otherwise(F.array(w))))
+    return F.when(F.octet_length(text) == F.char_length(text), plain).when(text.rlike(f"[{UNSPACED}]"), paired).otherwise(words(low))
 
 
 def normal(text: Column) -> Column:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import cosine, dot
 from ..functions import udfs
-from ..operators import retrieval, scoring
+from ..operators import retrieval, scoring, search, vector_index
 from ..sources import numbered
+from ..sources.shared import new_folder
 from ..sources.tables import TABLES, restore_missing, table
 from ..streaming import events as E
 
@@ -106,7 +107,9 @@ def q06_chunks(spark, d):
     )
 
 
-TOKENS_SQL = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
+WORDS_SQL = rf"regexp_extract_all(regexp_replace(lower(text), '([{T.UNSPACED}]+)', ' \1 ', 'g'), '{T.WORD}')"
+PAIRS_SQL = f"CASE WHEN regexp_matches(x, '^[{T.UNSPACED}]') THEN list_transform(range(1, greatest(length(x) - 1, 1) + 1), lambda i: substring(x, i, 2)) ELSE [x] END"
+TOKENS_SQL = f"flatten(list_transform({WORDS_SQL}, lambda x: {PAIRS_SQL}))"
 
 
 @query(f"SELECT doc_id, len({TOKENS_SQL}) AS n FROM documents")
@@ -173,23 +176,51 @@ def q13_nearest(spark, d):
 
 @query()
 def q14_nearest_by_index(spark, d):
-    """The neighbours of q13 by an inverted index: approximate, so rows only; tests measure the recall."""
+    """The neighbours of q13 by an index of product codes, written and read: approximate, so rows only; tests measure the
+    recall and what is read."""
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
-    centres = retrieval.index_lists(vectors)
-    found = retrieval.nearest_by_index(_queries(spark, d), retrieval.indexed(vectors, centres), centres)
+    index = vector_index.write_index(vectors, new_folder(spark))
+    found = vector_index.nearest(index, _queries(spark, d), vectors)
     return found.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH r AS (SELECT b.vec_id, b.label, max({COS_SQL}) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 GROUP BY ALL),
-a AS (SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM r), b AS (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) AS rank FROM r)
-SELECT vec_id, round(coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0), 8) AS score FROM a FULL JOIN b USING (vec_id) ORDER BY score DESC, vec_id LIMIT 100""")
+BM25_SQL = f"""d AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, unnest(w) AS term, len(w) AS len FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark WHERE item_id % 2 = 0),
+scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 6) AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term), s GROUP BY query_id, doc_id),
+words AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
+
+
+def _keyword_top(spark, d, k):
+    """The benchmark items with even ids, a stated set, as queries over all documents."""
+    index = search.write_index(table(spark, d, "documents"), new_folder(spark))
+    asked = table(spark, d, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return search.bm25_top(index, asked, k)
+
+
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM words WHERE rank <= 10")
+def q58_bm25(spark, d):
+    """A report: each query's ten best documents by BM25, exact, from an inverted index that is written and read."""
+    return _keyword_top(spark, d, 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {BM25_SQL}, near AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank
+  FROM (SELECT a.vec_id AS query_id, b.vec_id, {COS_SQL} AS cos FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 2 = 0) AND a.vec_id <> b.vec_id)),
+fused AS (SELECT query_id, doc_id, round(coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0), 8) AS score
+  FROM (FROM words WHERE rank <= 50) a FULL JOIN (FROM near WHERE rank <= 50) b USING (query_id, doc_id))
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 10""")
 def q15_fusion(spark, d):
-    """A report: the 100 vectors on top when nearness to the query set and label order are fused."""
-    q = _queries(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = retrieval.with_queries(q, table(spark, d, "embeddings").select("vec_id", "label", "embedding"))
-    near = pairs.groupBy("vec_id", "label").agg(F.max(F.round(cosine(F.col("q"), F.col("embedding")), 6)).alias("s"))
-    orders = [F.struct((-F.col("s")).alias("s"), "vec_id"), F.struct("label", "vec_id")]
-    return retrieval.fused_top(near, orders, "vec_id")
+    """A report: each query's ten best when its 50 best by BM25 and its 50 nearest vectors are fused.
+
+    The tables don't say which vector is whose text, so vec_id stands for doc_id and item_id here: a made-up link."""
+    vectors = table(spark, d, "embeddings")
+    asked = table(spark, d, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("vec_id"))
+    near = retrieval.nearest(vectors.join(asked, "vec_id", "left_semi"), vectors, 50)
+    fused = search.hybrid(_keyword_top(spark, d, 50), near.withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    return fused.withColumn("rank", F.col("rank").cast("long"))
 
 
 CHUNK_RULE_SQL = f"""SELECT doc_id, round(max(len(list_filter({LEXICON_SQL}, lambda w: contains(c, w))) / {len(LEXICON)}), 6) AS rule

@@ -1,7 +1,10 @@
 """What the oracle can't hold: sources, streams with late data, recall, plans, choices by argument."""
 
 import datetime
+import math
 import random
+import re
+import time
 from collections import Counter
 
 import pytest
@@ -9,7 +12,7 @@ from oracle import SF, connect
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import retrieval, scoring
+from marlstone.operators import retrieval, scoring, search, vector_index
 from marlstone.plans.queries import QUERIES, SQL
 from marlstone.sources import shared, tables
 from marlstone.streaming import events as E
@@ -69,6 +72,99 @@ def test_index_recall(spark):
         assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_vector_index_reads_little(spark, tmp_path):
+    """Recall of the five nearest at least 0.9, with at most a tenth of the vectors' bytes read for a query."""
+    vectors = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/embeddings.parquet")
+    index = vector_index.write_index(vectors, str(tmp_path))
+    again = vector_index.read_index(spark, str(tmp_path))
+    assert again.codes.count() == vectors.count() and (again.centres == index.centres).all()
+    asked = vectors.where("vec_id % 40 = 0")
+    exact, found = ({(r.query_id, r.vec_id) for r in x.collect()} for x in (retrieval.nearest(asked, vectors), vector_index.nearest(again, asked, vectors)))
+    n, width = vectors.count(), 4 * 64
+    assert len(exact & found) >= 0.9 * len(exact) and n * 16 + 50 * width <= 0.1 * n * width
+
+
+def test_vector_index_of_odd_rows(spark, tmp_path):
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, 0.1]), (6, [0.0, 2.0]), (7, [None, 1.0]), (5, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = vector_index.write_index(df, str(tmp_path / "a"), parts=2)
+    assert [r.vec_id for r in vector_index.nearest(index, df.where("vec_id = 1"), vector_index.usable(df).distinct(), 2).orderBy("rank").collect()][:1] == [5]
+    none = df.limit(0)
+    assert vector_index.nearest(vector_index.write_index(none, str(tmp_path / "b"), parts=2), none, none).count() == 0
+    assert vector_index.nearest(index, none, df).count() == 0
+
+
+def test_keyword_ranks_are_those_of_all_documents(spark, tmp_path):
+    """Many cells, repeated and null doc_ids, documents without tokens, ties: the ranks of plain BM25, with cells skipped."""
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(40)] + ["école", "世界"]
+    rows = [(i, " ".join(r.choice(words[: r.choice([3, 10, 42])]) for _ in range(r.choice([1, 5, 40, 300])))) for i in range(600)]
+    rows += [(700, "w1 w2"), (700, "w2 w3"), (None, "w1 w1 w1"), (701, None), (702, "...")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = Counter()
+    for d, t in rows:
+        if d is not None:
+            texts.setdefault(d, [])
+            texts[d] = texts[d] + (re.findall(r"\w+", t or "") if t != "..." else [])
+    n, mean = len(texts), sum(map(len, texts.values())) / len(texts)
+    df = Counter(w for t in texts.values() for w in set(t))
+    queries = [(1, "w1 w1 w39"), (2, "École 世界 w20"), (3, "w0"), (4, "nowhere"), (5, None), (6, " ".join(words))]
+    want = set()
+    for q, asked in queries:
+        terms = set((asked or "").lower().split()) & set(df)
+        score = {d: sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in terms) for d, t in texts.items() if terms & set(t)}
+        best = sorted(score, key=lambda d: (-round(score[d], 6), d))[:7]
+        want |= {(q, d, i) for i, d in enumerate(best, 1)}
+    index, told = search.write_index(docs, str(tmp_path), cell_docs=20), {}
+    got = search.bm25_top(index, spark.createDataFrame(queries, "query_id long, text string"), 7, told=told)
+    assert {(x.query_id, x.doc_id, x.rank) for x in got.collect()} == want
+    assert told["read"] < 0.8 * told["cells"]
+    again = search.bm25_top(search.read_index(spark, str(tmp_path)), spark.createDataFrame(queries[:1], "query_id long, text string"), 7)
+    assert {(x.query_id, x.doc_id, x.rank) for x in again.collect()} == {x for x in want if x[0] == 1}
+    empty = search.write_index(docs.limit(0), str(tmp_path / "none"))
+    assert search.bm25_top(empty, spark.createDataFrame(queries, "query_id long, text string")).count() == 0
+
+
+def test_tokens_of_any_script(spark):
+    texts = {"École, ÉLAN x1": ["école", "élan", "x1"], "你好，世界。abc漢1": ["你好", "世界", "abc", "漢", "1"], "カタカナ": ["カタ", "タカ", "カナ"], "한국어 мир": ["한국어", "мир"], "": [], "😀!": []}
+    df = spark.createDataFrame([*((t,) for t in texts), (None,), ("漢" * 300_000,)], "text string")
+    got = {r.text: r.t for r in df.select("text", T.tokens(F.col("text")).alias("t")).collect()}
+    assert all(got[t] == want for t, want in texts.items()) and got[None] is None and len(got["漢" * 300_000]) == 299_999
+
+
+def test_cases_and_keywords_without_spaces(spark):
+    """Retrieval in a script without spaces finds what is there."""
+    docs = spark.createDataFrame([(1, "天气预报说明天会下雨"), (2, "今天天气很好"), (3, "no")], "doc_id long, text string")
+    words = spark.createDataFrame([("天气",), ("下雨",)], "word string")
+    assert Counter(map(tuple, retrieval.token_join(docs, words).select("doc_id", "word", "n").collect())) == Counter([(1, "天气", 1), (1, "下雨", 1), (2, "天气", 1)])
+    phrases = spark.createDataFrame([("天气预报",), ("天气很",), ("气候",)], "phrase string")
+    assert {tuple(r) for r in retrieval.phrase_join(docs, phrases).collect()} == {(1, "天气预报"), (2, "天气很")}
+
+
+def test_many_phrases(spark):
+    """10,000 phrases over rows of any kind, in one set and in several: what a search for each one finds, in linear time."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    phrases = [" ".join(r.choice(words) for _ in range(r.choice([1, 2, 2, 3, 4]))) for _ in range(10_000)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.choice([0, 1, 50, 400])))) for i in range(60)]
+    rows += [(None, "W7 w8."), (None, "w7"), (3, rows[3][1]), (99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = spark.createDataFrame([*((p,) for p in phrases), (phrases[0],), (phrases[0].upper(),), (None,), ("--",)], "phrase string")
+    want = Counter()
+    for d, t in rows:
+        body = " ".join(re.findall(r"\w+", (t or "").lower()))
+        own = body.split()
+        there = {" ".join(own[i : i + n]) for n in range(1, 5) for i in range(len(own) - n + 1)}
+        want.update((d, p) for p in {*phrases, phrases[0].upper()} if p.lower() in there)
+    for most in (200_000, 3_000):
+        assert Counter(map(tuple, retrieval.phrase_join(docs, lexicon, most).collect())) == want
+    assert retrieval.phrase_join(docs, lexicon.limit(0)).count() == 0
+    began = time.time()
+    assert retrieval.phrase_join(spark.createDataFrame([(1, " ".join(words * 3000))], "doc_id long, text string"), lexicon).count() > 0
+    assert time.time() - began < 60
+
+
 def test_query_blocks(spark):
     """Many small blocks in several joins bring every pair once."""
     q, v = spark.range(50).select(F.col("id").alias("query_id"), F.col("id").alias("q")), spark.range(7).select(F.col("id").alias("vec_id"))
