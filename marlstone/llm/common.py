@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
 import pyarrow as pa
@@ -62,17 +63,26 @@ def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
     return _kept[key]
 
 
+def trim() -> None:
+    """Memory that the C library holds for later goes back to the system, where it can: other workers may need it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, keeps: bool = False) -> Iterator[pa.RecordBatch]:
     """Arrow batches (Spark bounds them by bytes) in parts of at most rows rows, so that the Python objects of few
-    texts live at once; memory that Arrow doesn't use goes back after each batch. An operator that doesn't keep caches
-    in its worker drops those of others."""
+    texts live at once; memory that Arrow doesn't use goes back after each batch, and all that is free before a task and
+    after it. An operator that doesn't keep caches in its worker drops those of others."""
     if not keeps:
         _kept.clear()
+    trim()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         del batch
         pa.default_memory_pool().release_unused()
+    trim()
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -73,16 +73,17 @@ class WordEncoder:
                 yield b"".join([known[w] for w in words])
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, cached: int = 300_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, cached: int = 300_000, keep: bool = True) -> DataFrame:
     """A row for each piece of at most capacity tokens: doc_id, piece, start, length, ids (little-endian, 32 bits each).
 
     Ids are the tokenizer's without special tokens, then end_id; null texts count as empty (one id). A worker keeps
-    its cache of words, of bounded size (cached words, and three times as many runs of letters), from task to task."""
+    its cache of words, of bounded size (cached words, and three times as many runs of letters), from task to task if keep says so."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = common.kept_in_worker(("packing", tokenizer, cached), lambda: WordEncoder(tokenizer, cached))
+        make = lambda: WordEncoder(tokenizer, cached)
+        encoder = common.kept_in_worker(("packing", tokenizer, cached), make) if keep else make()
         end, size = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
-        for part in common.slices(batches, 250, keeps=True):
+        for part in common.slices(batches, 250, keeps=keep):
             owner, cut = [], []
             for row, raw in enumerate(encoder.encode(part.column(1).to_pylist())):
                 raw += end
@@ -259,13 +260,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, cached: int = 300_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, cached: int = 300_000, keep: bool = True) -> DataFrame:
     """A row for each piece of each document (see token_pieces), with its ids, sequence_id and offset (see packed).
 
     Null and empty texts are one id, the end's; longer ones than a sequence are cut into pieces. Pieces of one length are
     ranked by doc_id (nulls too), piece and start; repeated rows are pieces of their own. Other columns of docs aren't
     read, whatever their names. An empty table gives no rows."""
-    return packed(common.saved(token_pieces(docs, tokenizer or tokenizer_path(), cached=cached)))
+    return packed(common.saved(token_pieces(docs, tokenizer or tokenizer_path(), cached=cached, keep=keep)))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

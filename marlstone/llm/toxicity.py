@@ -271,9 +271,9 @@ def train(texts: list[str], labels: list[int], steps: int = 240, batch: int = 48
         if step % 75 == 0:
             x_all, e_row, g_row = model.features([*names, ""])
             score = np.zeros(len(at))
-            for a in range(0, len(at), 4096):
-                idx, n = of(np.arange(a, min(len(at), a + 4096)))
-                score[a : a + 4096] = model.forward(x_all[idx] @ p["W"] + p["b"], n)
+            for a in range(0, len(at), 1024):
+                idx, n = of(np.arange(a, min(len(at), a + 1024)))
+                score[a : a + 1024] = model.forward(x_all[idx] @ p["W"] + p["b"], n)
             top = tops(score)
         own = np.concatenate([r.choice(positive, batch // 3), r.choice(negative, batch - batch // 3)])
         idx, n = of(top[own])
@@ -332,6 +332,7 @@ def fit(spark: SparkSession, sf_dir: str, sample: int = 2500, longest: int = 1_0
                 if size <= sample_bytes:
                     texts.append(text)
                     marks.append(mark)
+        common.trim()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, marks))], pa.binary())], ["model"])
 
     rows = one.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
