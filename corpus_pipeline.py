@@ -60,8 +60,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document with its place in a sequence, see packing.pack_documents.
 
-    Null texts count as empty: every document has a piece. Workers have other stages' memory too, so caches are small."""
-    return packing.pack_documents(docs, cached=80_000)
+    Null texts count as empty: every document has a piece. Workers have other stages' memory too, so caches are small, and
+    go with the task."""
+    return packing.pack_documents(docs, cached=80_000, keep=False)
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("simhash_dedup", near), ("secret_scan", secrets), ("packing", pack)]
