@@ -32,12 +32,23 @@ def folder_of_its_own(spark: SparkSession) -> Iterator[str]:
         _within.reset(before)
 
 
-def saved(df: DataFrame) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def saved(df: DataFrame, batch: int = 1000) -> DataFrame:
     """Writes df to the run folder and reads it back: cuts lineage and survives lost executors.
 
+    Meanwhile Arrow batches have at most batch rows, as the JVM and Python workers both hold them, two at a time.
+
     The files stay until released() or sources.shared.clean(), as results are read from them later."""
     path = f"{_within.get()}/{uuid.uuid4().hex}" if _within.get() else new_folder(df.sparkSession)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH)
+    conf.set(BATCH, min(int(before), batch) if int(before) > 0 else batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -168,6 +168,8 @@ def by_group(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    common.trim()
 
 
 def columns(table: pa.Table, *names: str) -> list[np.ndarray]:
