@@ -22,7 +22,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the model, trained on the labels of sf_dir, scores 0.5 or more.
 
-    Null and empty texts are scored like others; repeated rows go or stay together."""
+    Null and empty texts are scored like others; repeated rows go or stay together. From here on the session's Arrow
+    batches have at most 1000 rows, as the JVM and the workers hold them beside what other stages have left there."""
+    spark.conf.set(common.BATCH, min(int(spark.conf.get(common.BATCH)), 1000))
     scored = toxicity.score_documents(docs.select(COLUMNS), toxicity.fit(spark, sf_dir))
     return scored.where("score < 0.5").select(COLUMNS)
 
@@ -62,7 +64,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts count as empty: every document has a piece. Workers have other stages' memory too, so caches are small, and
     go with the task."""
-    return packing.pack_documents(docs, cached=80_000, keep=False)
+    return packing.pack_documents(docs, cached=20_000, keep=False)
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("simhash_dedup", near), ("secret_scan", secrets), ("packing", pack)]
