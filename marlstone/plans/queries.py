@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.vectors import cosine, dot
 from ..functions import udfs
 from ..operators import retrieval, scoring, search, vector_index
-from ..sources import numbered
+from ..sources import dump
 from ..sources.shared import new_folder
 from ..sources.tables import TABLES, restore_missing, table
 from ..streaming import events as E
@@ -698,8 +698,19 @@ def q56_table_udf(spark, d):
     return spark.sql("SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, word FROM q56_conversations, LATERAL words_of(text)")
 
 
-@query("SELECT i % 4 AS part, count(*) AS n, sum(i)::BIGINT AS total FROM range(1000) r(i) GROUP BY 1")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, epoch(o_orderdate)::BIGINT AS ordered, o_orderpriority FROM orders")
 def q57_custom_source(spark, d):
-    numbered.register(spark)
-    rows = spark.read.format("numbered").options(rows=1000, parts=4).load()
-    return rows.groupBy(F.col("part").cast("long").alias("part")).agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+    """A source of its own: a dump of INSERT statements, written from a table and read back in ranges of bytes."""
+    orders, folder = table(spark, d, "orders"), new_folder(spark)
+    dump.write(orders, folder, "orders")
+    back = dump.read(spark, folder, "orders", orders.schema, split=1 << 20)
+    return back.withColumn("ordered", F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).drop("o_orderdate")
+
+
+@query("SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM documents")
+def q59_dumped_texts(spark, d):
+    """Texts with quotes, backslashes and line breaks through a dump."""
+    docs, folder = table(spark, d, "documents"), new_folder(spark)
+    dump.write(docs, folder, "documents")
+    back = dump.read(spark, folder, "documents", docs.schema, split=8 << 20)
+    return back.withColumn("text", F.md5(F.col("text").cast("binary")))
