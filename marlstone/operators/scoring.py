@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +78,55 @@ def with_scorer(df: DataFrame, scorer: Scorer, text: str = "text", calls: int |
             yield batch.assign(score=scorer(batch[text]).astype("float64"))
 
     return (df.repartition(calls) if calls else df).mapInPandas(run, schema)
+
+
+def with_ledger(df: DataFrame, scorer: Scorer, folder: str, text: str = "text", rows: int = 64, calls: int | None = None) -> DataFrame:
+    """Adds score as with_scorer does, and pays for each text once: for repeated texts, after lost tasks, and in later
+    runs over the same table.
+
+    Different texts are put into batches by their digest, at most rows in each, whatever task has them. A batch's answers
+    are written to folder, which executors share, under the digest of its texts before the next batch is asked for; a
+    task that starts again, or another run, finds them there. A batch that fails leaves nothing. Two tries of one task at
+    once may ask twice; both answers are whole files, and the later one stays.
+
+    Null texts aren't sent and have a null score; an empty table asks nothing; repeated rows stay. calls: at most so many
+    run at once, which is the number of tasks; as answers are kept, a long task that is lost only reads them again."""
+    key = F.sha2(F.col(text).cast("binary"), 256)
+    texts = df.where(F.col(text).isNotNull()).select(key.alias("_digest"), F.col(text).alias("_text")).dropDuplicates(["_digest"])
+    n = df.agg(F.approx_count_distinct(key).alias("n")).first().n  # only sets how full the batches are
+    batch = F.pmod(F.xxhash64("_digest"), F.lit(1 << (n * 2 // rows).bit_length()))
+    texts = texts.withColumn("_batch", batch)
+    texts = (texts.repartition(calls, "_batch") if calls else texts.repartition("_batch")).sortWithinPartitions("_batch", "_digest")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, at = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(at)
+        held = pd.DataFrame()
+        for frame in frames:
+            # a batch may go on in the next frame, so its last one waits
+            held = pd.concat([held, frame]) if len(held) else frame
+            last = held["_batch"].iloc[-1] if len(held) else None
+            for _, part in held[held["_batch"] != last].groupby("_batch", sort=False):
+                yield from answered(part, fs, at)
+            held = held[held["_batch"] == last]
+        for _, part in held.groupby("_batch", sort=False) if len(held) else ():
+            yield from answered(part, fs, at)
+
+    def answered(batch: pd.DataFrame, fs: pafs.FileSystem, at: str) -> Iterator[pd.DataFrame]:
+        for start in range(0, len(batch), rows):
+            part = batch.iloc[start : start + rows]
+            path = f"{at}/{hashlib.sha256(''.join(part['_digest']).encode()).hexdigest()}"
+            if fs.get_file_info(path).type == pafs.FileType.File:
+                with fs.open_input_file(path) as file:
+                    scores = pa.ipc.open_file(file).read_all().column("score").to_numpy()
+            else:
+                scores = scorer(part["_text"]).astype("float64").to_numpy()
+                trial = f"{path}.{uuid.uuid4().hex}"
+                answers = pa.table({"score": scores})
+                with fs.open_output_stream(trial) as file, pa.ipc.new_file(file, answers.schema) as to:
+                    to.write_table(answers)
+                fs.move(trial, path)  # a whole file or none
+            yield pd.DataFrame({"_digest": part["_digest"].to_numpy(), "score": scores})
+
+    scores = texts.mapInPandas(run, "_digest string, score double")
+    return df.withColumn("_digest", key).join(scores, "_digest", "left").drop("_digest")

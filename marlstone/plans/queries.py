@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sketches
 from ..functions import text as T
 from ..functions.vectors import cosine, dot
 from ..functions import udfs
@@ -15,6 +16,7 @@ from ..operators import retrieval, scoring, search, vector_index
 from ..sources import dump
 from ..sources.shared import new_folder
 from ..sources.tables import TABLES, restore_missing, table
+from ..streaming import alerts, dashboard
 from ..streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -446,6 +448,23 @@ def q33_stream_state(spark, d):
     return last.select("user_id", "x.n", F.round("x.total", 4).alias("total"))
 
 
+@query(SQL["q31_sliding"])
+def q33_stream_sliding(spark, d):
+    """The sliding windows as a stream."""
+    found = E.run_to_end(E.tumbling(E.read_events(spark, d), "1 hour", "15 minutes"), "complete")
+    return found.withColumn("start", F.unix_timestamp("start"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER u + INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS began, epoch_us(max(ts)) AS ended, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 13 HOURS <= (SELECT max(ts) FROM events)""")
+def q33_stream_silences(spark, d):
+    """Users who fell silent for over 12 hours, by timers in event time and state in RocksDB."""
+    with alerts.rocksdb(spark):
+        found = E.run_to_end(alerts.silences(E.read_events(spark, d)), "append")
+    return found.withColumns({c: F.unix_micros(c) for c in ("began", "ended")})
+
+
 @query("SELECT doc_id, round(length(text) / 1000, 6) AS score FROM documents")
 def q34_scorer_hook(spark, d):
     scored = scoring.with_scorer(table(spark, d, "documents").select("doc_id", "text"), lambda texts: texts.str.len() / 1000)
@@ -714,3 +733,33 @@ def q59_dumped_texts(spark, d):
     dump.write(docs, folder, "documents")
     back = dump.read(spark, folder, "documents", docs.schema, split=8 << 20)
     return back.withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query(SQL["q20_rollup"])
+def q60_kept_dashboard(spark, d):
+    """The rollup of q20 from a kept table that a stream's batches are merged into."""
+    kept = dashboard.Dashboard(spark, new_folder(spark), ["lang", "source"], ["n_chars"])
+    docs = E.read_table(spark, d, "documents")
+    docs.writeStream.option("checkpointLocation", new_folder(spark)).trigger(availableNow=True).foreachBatch(kept.merge).start().awaitTermination()
+    levels = kept.table().rollup("lang", "source")
+    return levels.agg(F.grouping_id().alias("level"), F.sum("n").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT doc_id, round(length(text) / 100000, 6) AS score FROM documents")
+def q61_ledger(spark, d):
+    """A model's scores (here a function of the length), with answers kept in a ledger: each text is asked for once."""
+    scored = scoring.with_ledger(table(spark, d, "documents"), lambda texts: texts.str.len() / 100_000, new_folder(spark), calls=4)
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT event_type, count(*) AS n, true AS users_close, true AS values_close FROM events GROUP BY 1")
+def q62_sketches(spark, d):
+    """Sketches kept by day and merged: users within 5 % of the exact number, three quantiles within 3 % of their ranks."""
+    events, folder = _events(spark, d), new_folder(spark)
+    sketches.daily(events, ["event_type"], "user_id", "value").write.parquet(folder)
+    ranks = [0.25, 0.5, 0.75]
+    got = sketches.estimates(sketches.merged(spark.read.parquet(folder), ["event_type"]), ["event_type"], ranks)
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", F.array(*(F.lit(max(0.0, r + e)) for r in ranks for e in (-0.03, 0.03)))).alias("bounds"))
+    close = [F.col("quantiles")[i].between(F.col("bounds")[2 * i], F.col("bounds")[2 * i + 1]) for i in range(3)]
+    users = F.abs(F.col("distinct") - F.col("users")) <= 0.05 * F.col("users")
+    return got.join(exact, "event_type").select("event_type", "n", users.alias("users_close"), reduce(lambda a, b: a & b, close).alias("values_close"))

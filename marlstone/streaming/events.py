@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.shared import new_folder
@@ -38,13 +39,17 @@ def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def read_events(spark: SparkSession, folder: str, name: str = "events.parquet", files: int | None = None) -> DataFrame:
+def read_table(spark: SparkSession, folder: str, name: str, files: int | None = None) -> DataFrame:
     """A stream of the parquet files of that name in a folder; at most so many files a batch if files is given."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(folder)
+
+
+def read_events(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    return read_table(spark, folder, "events", files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def totals(events: DataFrame) -> DataFrame:
@@ -65,16 +70,30 @@ def totals(events: DataFrame) -> DataFrame:
     )
 
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
+def late_rows(running: StreamingQuery) -> int:
+    """Rows that came after the watermark in the batches whose progress is kept (rows of partial aggregates, where a stage
+    before the state makes them)."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in running.recentProgress for s in p["stateOperators"])
+
+
+def run_to_end(stream: DataFrame, mode: str, out: str | None = None, at: str | None = None, told: dict[str, int] | None = None) -> DataFrame:
     """Runs a stream over all that its source has now and reads what it wrote to the shared folder.
 
     complete: the last batch's whole table. update: all batches' rows, in batch order by the column batch. append: as the
-    sink has them. Nothing is gathered in the driver, and a restart goes on from the checkpoint."""
+    sink has them. Nothing is gathered in the driver, and a restart goes on from the checkpoint.
+
+    out, at: folders of the result and the checkpoint, new ones if not given. told: gets late, see late_rows."""
     spark = stream.sparkSession
-    out, at = new_folder(spark), new_folder(spark)
+    out, at = out or new_folder(spark), at or new_folder(spark)
+
+    def to_the_end(running: StreamingQuery) -> None:
+        running.awaitTermination()
+        if told is not None:
+            told["late"] = late_rows(running)
+
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True)
     if mode == "append":
-        writer.format("parquet").option("path", out).start().awaitTermination()
+        to_the_end(writer.format("parquet").option("path", out).start())
         return spark.read.schema(stream.schema).parquet(out)
 
     def write(batch: DataFrame, number: int) -> None:
@@ -83,7 +102,7 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
         else:
             batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # the folder's name is the column
 
-    writer.foreachBatch(write).start().awaitTermination()
+    to_the_end(writer.foreachBatch(write).start())
     return spark.read.parquet(out)
 
 
