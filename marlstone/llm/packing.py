@@ -8,12 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
+#: The task that made a piece, and how many pieces of the same length it had made before.
+RANKED = "part int, own long"
+#: Rows of counts (a length in a part) up to which they are broadcast, some 20 MB.
+BROADCAST = 200_000
 UNIT = 16
 
 
@@ -74,7 +79,8 @@ class WordEncoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, cached: int = 300_000, keep: bool = True) -> DataFrame:
-    """A row for each piece of at most capacity tokens: doc_id, piece, start, length, ids (little-endian, 32 bits each).
+    """A row for each piece of at most capacity tokens: doc_id, piece, start, length, ids (little-endian, 32 bits each), and
+    part and own, which number the pieces of one length within a task: save the table before using them.
 
     Ids are the tokenizer's without special tokens, then end_id; null texts count as empty (one id). A worker keeps
     its cache of words, of bounded size (cached words, and three times as many runs of letters), from task to task if keep says so."""
@@ -83,23 +89,30 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
         make = lambda: WordEncoder(tokenizer, cached)
         encoder = common.kept_in_worker(("packing", tokenizer, cached), make) if keep else make()
         end, size = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        number, made = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for part in common.slices(batches, 250, keeps=keep):
             owner, cut = [], []
             for row, raw in enumerate(encoder.encode(part.column(1).to_pylist())):
                 raw += end
                 owner += [row] * -(-len(raw) // size)
                 cut += [(at, raw[at : at + size]) for at in range(0, len(raw), size)]
+            own = []
+            for _, ids in cut:
+                own.append(made[len(ids) // 4])
+                made[len(ids) // 4] += 1
             out = [
                 part.column(0).take(pa.array(owner, pa.int64())),
                 pa.array([at // size for at, _ in cut], pa.int32()),
                 pa.array([at // 4 for at, _ in cut], pa.int64()),
                 pa.array([len(ids) // 4 for _, ids in cut], pa.int64()),
                 pa.array([ids for _, ids in cut], pa.binary()),
+                pa.array([number] * len(cut), pa.int32()),
+                pa.array(own, pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids"])
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids", "part", "own"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(pieces, PIECE)
+    return rows.mapInArrow(pieces, f"{PIECE}, {RANKED}")
 
 
 def best_configuration(price: np.ndarray, size: np.ndarray, capacity: int) -> list[int]:
@@ -212,18 +225,28 @@ def plan(histogram: dict[int, int], capacity: int = 4096) -> list[tuple[tuple[in
     return done
 
 
-def packed(pieces: DataFrame, capacity: int = 4096, rows_per_cell: int = 4096) -> DataFrame:
+def numbered(pieces: DataFrame, rows_per_cell: int = 4096) -> DataFrame:
+    """Adds part and own to pieces that don't have them: numbers within cells of a length, by doc_id (nulls too), piece and
+    start, so that no task holds all pieces of a length. Columns of these names are replaced."""
+    cells = max(1, min(4096, -(-pieces.count() // rows_per_cell)))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)).cast("int"))
+    own = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start")
+    return dealt.withColumn("own", F.row_number().over(own).cast("long") - 1)
+
+
+def packed(pieces: DataFrame, capacity: int = 4096, broadcast: int = BROADCAST) -> DataFrame:
     """Adds sequence_id and offset (gapless from 0 in each sequence) to pieces: a saved table with doc_id, piece, start,
-    length and any other columns (those named sequence_id or offset are replaced).
+    length, part, own (see token_pieces, numbered) and any other columns (those named sequence_id or offset are replaced);
+    part and own go.
 
     The driver gets counts of at most capacity lengths and gives back runs: pieces of one length and a range of ranks
-    go to one slot of one pattern. Ranks come from cells of a length, so that no task holds all pieces of a length.
-    Repeated rows are pieces like others; an empty table gives no rows."""
-    n = pieces.count()
-    cells = max(1, min(4096, -(-n // rows_per_cell)))
-    dealt = pieces.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
-    counts = common.saved(dealt.groupBy("length", "_cell").count())
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    go to one slot of one pattern. A piece's rank is its own number and the count of its length in the parts before, so
+    only counts are shuffled and pieces stay where they were written, unless there are more than broadcast counts: then
+    pieces are joined to them by part and length. Which pieces of one length share a sequence isn't fixed. Repeated rows
+    are pieces like others; an empty table gives no rows."""
+    counts = common.saved(pieces.groupBy("length", "part").count())
+    sums = counts.groupBy("length").agg(F.sum("count").alias("n"), F.count("*").alias("parts")).collect()
+    histogram = {r["length"]: r["n"] for r in sums}
     runs, used, sequence = [], dict.fromkeys(histogram, 0), 0
     for pattern, times in plan(histogram, capacity):
         at = 0
@@ -236,14 +259,14 @@ def packed(pieces: DataFrame, capacity: int = 4096, rows_per_cell: int = 4096) -
     for length, first, _, shift, at in runs:
         starts.setdefault(length, []).append((first, shift, at))
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset")
+    kept = pieces.drop("sequence_id", "offset", "part", "own").columns
     table = [(length, [s[0] for s in x], [s[1] for s in x], [s[2] for s in x]) for length, x in starts.items()]
     places = spark.createDataFrame(table, "length long, firsts array<long>, shifts array<long>, ats array<long>")
-    before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    shifted = counts.select("length", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("length", "_cell").orderBy("doc_id", "piece", "start")
-    ranked = dealt.withColumn("_own", F.row_number().over(own)).join(shifted, ["length", "_cell"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_own") - 1)
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifted = counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    if sum(r["parts"] for r in sums) <= broadcast:
+        shifted = F.broadcast(shifted)
+    ranked = pieces.join(shifted, ["length", "part"]).withColumn("_rank", F.col("_before") + F.col("own"))
     # at most capacity rows and, in all, as many runs as the patterns have slots: counts of patterns, not of pieces
     found = (
         ranked
@@ -251,7 +274,7 @@ def packed(pieces: DataFrame, capacity: int = 4096, rows_per_cell: int = 4096) -
         .withColumn("_run", F.size(F.filter("firsts", lambda x: x <= F.col("_rank"))) - 1)
     )
     sequence = (F.get("shifts", F.col("_run")) + F.col("_rank")).alias("sequence_id")
-    return found.select(*pieces.columns, sequence, F.get("ats", F.col("_run")).alias("offset"))
+    return found.select(*kept, sequence, F.get("ats", F.col("_run")).alias("offset"))
 
 
 def tokenizer_path() -> str:
@@ -263,8 +286,8 @@ def tokenizer_path() -> str:
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, cached: int = 300_000, keep: bool = True) -> DataFrame:
     """A row for each piece of each document (see token_pieces), with its ids, sequence_id and offset (see packed).
 
-    Null and empty texts are one id, the end's; longer ones than a sequence are cut into pieces. Pieces of one length are
-    ranked by doc_id (nulls too), piece and start; repeated rows are pieces of their own. Other columns of docs aren't
+    Null and empty texts are one id, the end's; longer ones than a sequence are cut into pieces. Null doc_ids
+    are like others; repeated rows are pieces of their own. Other columns of docs aren't
     read, whatever their names. An empty table gives no rows."""
     return packed(common.saved(token_pieces(docs, tokenizer or tokenizer_path(), cached=cached, keep=keep)))
 

@@ -138,3 +138,22 @@ def test_stages_may_be_called_before_the_first_is_written(spark):
     assert (a.count(), b.count()) == (2, 2)
     c, d = pipeline.secrets(spark, a, ""), pipeline.pack(spark, b, "")
     assert (c.count(), d.count(), a.count()) == (2, 2, 2)
+
+
+def test_packed_by_own_numbers_and_by_cells(spark):
+    """Numbers from tasks or from cells, counts broadcast or joined: every piece once, sequences without gaps or excess."""
+    from marlstone.llm import common, packing
+
+    rows = [(i % 40 if i % 9 else None, i // 40, 0, 4096 if i % 7 == 0 else i % 13 * 100 + 1, bytes([i % 251])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids binary").repartition(5)
+    pieces = common.saved(packing.numbered(df, rows_per_cell=50))
+    assert pieces.select("length", "part", "own").distinct().count() == 600
+    for broadcast in (10**6, 0):
+        got = packing.packed(pieces, broadcast=broadcast).collect()
+        assert sorted(map(str, (r[:5] for r in got))) == sorted(map(str, rows))
+        ends = {}
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == ends.get(r.sequence_id, 0)
+            ends[r.sequence_id] = r.offset + r.length
+        assert max(ends.values()) <= 4096 and len(ends) <= 1.05 * sum(r[3] for r in rows) / 4096 + 1
+    assert packing.packed(common.saved(packing.numbered(df.limit(0)))).count() == 0
