@@ -8,13 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import sketches
+from ..functions import pages, sketches
 from ..functions import text as T
 from ..functions.vectors import cosine, dot
 from ..functions import udfs
-from ..operators import retrieval, scoring, search, vector_index
+from ..operators import latent, retrieval, scoring, search, similarity, vector_index
 from ..sources import dump
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, written
 from ..sources.tables import TABLES, restore_missing, table
 from ..streaming import alerts, dashboard
 from ..streaming import events as E
@@ -763,3 +763,29 @@ def q62_sketches(spark, d):
     close = [F.col("quantiles")[i].between(F.col("bounds")[2 * i], F.col("bounds")[2 * i + 1]) for i in range(3)]
     users = F.abs(F.col("distinct") - F.col("users")) <= 0.05 * F.col("users")
     return got.join(exact, "event_type").select("event_type", "n", users.alias("users_close"), reduce(lambda a, b: a & b, close).alias("values_close"))
+
+
+@query(
+    f"""SELECT page_id, count(*) AS blocks, count(*) FILTER (WHERE kept) AS kept, md5(coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE kept), '')) AS body
+FROM ({pages.blocks_sql()}) GROUP BY page_id"""
+)
+def q63_body_text(spark, d):
+    """Body text by the density of text and links in blocks; comments, quoted > in tags and character references are read."""
+    blocks = table(spark, d, "pages").select("page_id", pages.page_blocks(F.col("html")).alias("blocks"))
+    kept = F.size(F.filter("blocks", lambda b: b["kept"])).cast("long")
+    body = F.md5(pages.body_text(F.col("blocks")).cast("binary"))
+    return blocks.where(F.size("blocks") > 0).select("page_id", F.size("blocks").cast("long").alias("blocks"), kept.alias("kept"), body.alias("body"))
+
+
+@query()
+def q64_similarity_join(spark, d):
+    """Documents whose latent vectors (q65) have a cosine of 0.95 or more to others, counted; tests measure the recall."""
+    vectors = written(q65_text_vectors(spark, d).withColumnRenamed("doc_id", "vec_id"))
+    return similarity.similarity_join(vectors, 0.95, bits=10)
+
+
+@query()
+def q65_text_vectors(spark, d):
+    """Documents as unit vectors of latent directions, fitted on all of them."""
+    docs = table(spark, d, "documents")
+    return latent.embedded(docs.select("doc_id", "text"), latent.fitted(docs)).drop("text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +31,13 @@ def new_folder(spark: SparkSession) -> str:
     return f"{run_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the run folder, so that it is worked out once; it stays until clean()."""
+    folder = new_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def given_back(spark: SparkSession, folder: str) -> None:
     """Deletes a folder under run_dir(), by whatever file system it is on; nothing may read it any more."""
     if not f"{folder}/".startswith(f"{run_dir(spark)}/"):
