@@ -23,8 +23,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the model, trained on the labels of sf_dir, scores 0.5 or more.
 
     Null and empty texts are scored like others; repeated rows go or stay together. From here on the session's Arrow
-    batches have at most 1000 rows, as the JVM and the workers hold them beside what other stages have left there."""
+    batches have at most 1000 rows, and row groups that it writes common.GROUP_BYTES, as the JVM and the workers hold them
+    beside what other stages have left there."""
     spark.conf.set(common.BATCH, min(int(spark.conf.get(common.BATCH)), 1000))
+    spark.conf.set(common.GROUP, min(int(spark.conf.get(common.GROUP, str(common.GROUP_BYTES))), common.GROUP_BYTES))
     scored = toxicity.score_documents(docs.select(COLUMNS), toxicity.fit(spark, sf_dir))
     return scored.where("score < 0.5").select(COLUMNS)
 

@@ -33,12 +33,15 @@ def folder_of_its_own(spark: SparkSession) -> Iterator[str]:
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of a row group, which a writing task holds in its JVM, and a reading one by columns.
+GROUP, GROUP_BYTES = "parquet.block.size", 32 << 20
 
 
 def saved(df: DataFrame, batch: int = 1000) -> DataFrame:
     """Writes df to the run folder and reads it back: cuts lineage and survives lost executors.
 
-    Meanwhile Arrow batches have at most batch rows, as the JVM and Python workers both hold them, two at a time.
+    Meanwhile Arrow batches have at most batch rows, as the JVM and Python workers both hold them, two at a time. Row
+    groups have at most GROUP_BYTES.
 
     The files stay until released() or sources.shared.clean(), as results are read from them later."""
     path = f"{_within.get()}/{uuid.uuid4().hex}" if _within.get() else new_folder(df.sparkSession)
@@ -46,7 +49,7 @@ def saved(df: DataFrame, batch: int = 1000) -> DataFrame:
     before = conf.get(BATCH)
     conf.set(BATCH, min(int(before), batch) if int(before) > 0 else batch)
     try:
-        df.write.parquet(path)
+        df.write.option(GROUP, GROUP_BYTES).parquet(path)
     finally:
         conf.set(BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
