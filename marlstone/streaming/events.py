@@ -40,12 +40,13 @@ def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def read_table(spark: SparkSession, folder: str, name: str, files: int | None = None) -> DataFrame:
-    """A stream of the parquet files of that name in a folder; at most so many files a batch if files is given."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A stream of the table of that name in a folder, whether it is one file or a folder of files; at most so many files a
+    batch if files is given."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}.parquet").schema)
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
-    return reader.parquet(folder)
+    # as a pattern, since a stream's path may match one file but not be one
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def read_events(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:

@@ -146,3 +146,14 @@ def test_sketches_of_days_are_those_of_all_rows(spark):
         assert (found.quantiles is None) == (r.b is None)
         assert r.b is None or all(r.b[2 * i] <= q <= r.b[2 * i + 1] for i, q in enumerate(found.quantiles))
     assert not got and sketches.merged(sketches.daily(rows.limit(0), ["kind"], "user", "v"), ["kind"]).count() == 0
+
+
+def test_stream_of_a_table_in_many_files(spark, tmp_path):
+    """A table may be one file or a folder of files; a stream reads all of either."""
+    events = spark.range(90).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    some = tmp_path / "one"
+    some.mkdir()
+    next((tmp_path / "events.parquet").glob("part-*.parquet")).rename(some / "events.parquet")
+    for folder, want in ((tmp_path, 60), (some, 30)):
+        assert E.run_to_end(E.read_events(spark, str(folder)), "append").distinct().count() == want
