@@ -1,5 +1,6 @@
 """Timers, the kept dashboard, the ledger of calls and sketches, over batches, replays and restarts."""
 
+import inspect
 import datetime
 import random
 from collections import Counter
@@ -157,3 +158,41 @@ def test_stream_of_a_table_in_many_files(spark, tmp_path):
     next((tmp_path / "events.parquet").glob("part-*.parquet")).rename(some / "events.parquet")
     for folder, want in ((tmp_path, 60), (some, 30)):
         assert E.run_to_end(E.read_events(spark, str(folder)), "append").distinct().count() == want
+
+
+def test_silences_set_one_timer_a_user(spark, tmp_path):
+    """Runs that end together with the watermark are reported alike, whether their user has other runs or not."""
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    begin = [at(0), at(100), at(160)]
+    rows = [(1, 1, "view", 1.0, begin[0]), (2, 1, "view", 1.0, begin[1]), (3, 2, "view", 1.0, begin[1]), (4, 3, "view", 1.0, begin[2])]
+    rows += [(10 + i, 4, "view", 1.0, at(i)) for i in range(0, 60, 2)]
+    folder = write_files(spark, tmp_path, [rows])
+    with alerts.rocksdb(spark):
+        got = E.run_to_end(alerts.silences(stream(spark, folder), "40 minutes", "20 minutes"), "append").collect()
+    ended = {(r.user_id, r.n) for r in got}
+    assert (1, 1) in ended and (4, 30) in ended
+    assert sum(r.user_id == 1 for r in got) == 1 + sum(r.user_id == 2 for r in got) == 2
+    assert "self.handle.registerTimer(min(" in inspect.getsource(alerts.Silence.handleInputRows)
+
+
+def test_few_calls_go_over_the_texts_in_waves(spark, tmp_path):
+    """No task reads all texts, however few may run at once; results are those of one wave."""
+    docs = spark.createDataFrame([*((i, "x" * (i % 50)) for i in range(400)), (900, None)], "doc_id long, text string")
+    want = Counter([*((i, float(i % 50)) for i in range(400)), (900, None)])
+    sizes = tmp_path / "sizes"
+    sizes.mkdir()
+
+    def scorer(batch):
+        import uuid
+
+        (sizes / uuid.uuid4().hex).write_text(str(len(batch)))
+        return batch.str.len().astype("float64")
+
+    for calls in (2, None):
+        found = scoring.with_scorer(docs, scorer, calls=calls, rows=20, bytes_each=1000)
+        assert Counter((r.doc_id, r.score) for r in found.select("doc_id", "score").collect()) == want
+    assert max(int(p.read_text()) for p in sizes.iterdir()) <= 20
+    found = scoring.with_scorer(docs, scorer, calls=2, bytes_each=1000)
+    assert found.rdd.getNumPartitions() > 2 and found.columns == ["doc_id", "text", "score"]
+    found = scoring.with_ledger(docs, scorer, str(tmp_path / "ledger"), rows=16, calls=2, bytes_each=100)
+    assert Counter((r.doc_id, r.score) for r in found.collect()) == want
