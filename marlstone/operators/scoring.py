@@ -5,14 +5,17 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import chunks
+from ..sources.shared import new_folder, written
 
 BANDS = [(0.2, "none"), (0.4, "low"), (0.6, "medium"), (0.8, "high")]
 Scorer = Callable[[pd.Series], pd.Series]
@@ -69,18 +72,45 @@ def band(score: Column, bands: list[tuple[float, str]] = BANDS, top: str = "seve
     return F.when(score.isNotNull() & ~F.isnan(score), out)
 
 
-def with_scorer(df: DataFrame, scorer: Scorer, text: str = "text", calls: int | None = None) -> DataFrame:
-    """Adds score by a function over batches of texts, such as a model behind a service; at most calls run at once."""
-    schema = df.withColumn("score", F.lit(0.0)).schema
+#: Bytes of text for one task where few tasks may run at once.
+TASK_BYTES = 128 << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def in_waves(df: DataFrame, text: str, calls: int, share: Column, bytes_each: int, work: Callable[[DataFrame], DataFrame], total: int | None = None) -> DataFrame:
+    """work(df), where at most `calls` tasks may run at once and none may read more than about bytes_each of text: rows are
+    dealt into waves by share, a whole number, which are worked on one after the other and written. A small df is one wave. total: bytes of text, if known."""
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] if total is None else total
+    waves = -(-(total or 0) // (calls * bytes_each))
+    if waves < 2:
+        return work(df)
+    spark, folder, name = df.sparkSession, new_folder(df.sparkSession), f"wave{uuid.uuid4().hex}"
+    df.withColumn(name, F.pmod(share, F.lit(waves)).cast("int")).write.partitionBy(name).parquet(folder)
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField(name, IntegerType())])).parquet(folder)
+    return reduce(DataFrame.unionByName, (written(work(rows.where(F.col(name) == i).drop(name))) for i in range(waves)))
+
+
+def with_scorer(df: DataFrame, scorer: Scorer, text: str = "text", calls: int | None = None, rows: int = 500, bytes_each: int = TASK_BYTES) -> DataFrame:
+    """Adds score by a function over batches of texts (at most rows in each), such as a model behind a service; at most calls
+    run at once, over waves of rows where a task would read much more than bytes_each."""
+    schema = df.withColumn("score", F.lit(None).cast("double")).schema
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(score=scorer(batch[text]).astype("float64"))
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                columns = dict(zip(part.schema.names, part.columns))
+                columns["score"] = pa.array(scorer(part.column(at).to_pandas()).astype("float64"), pa.float64(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([columns[n] for n in schema.names], schema.names)
+            del batch
+            pa.default_memory_pool().release_unused()
 
-    return (df.repartition(calls) if calls else df).mapInPandas(run, schema)
+    if not calls:
+        return df.mapInArrow(run, schema)
+    return in_waves(df, text, calls, F.monotonically_increasing_id(), bytes_each, lambda x: x.repartition(calls).mapInArrow(run, schema))
 
 
-def with_ledger(df: DataFrame, scorer: Scorer, folder: str, text: str = "text", rows: int = 64, calls: int | None = None) -> DataFrame:
+def with_ledger(df: DataFrame, scorer: Scorer, folder: str, text: str = "text", rows: int = 64, calls: int | None = None, bytes_each: int = TASK_BYTES) -> DataFrame:
     """Adds score as with_scorer does, and pays for each text once: for repeated texts, after lost tasks, and in later
     runs over the same table.
 
@@ -90,13 +120,13 @@ def with_ledger(df: DataFrame, scorer: Scorer, folder: str, text: str = "text",
     once may ask twice; both answers are whole files, and the later one stays.
 
     Null texts aren't sent and have a null score; an empty table asks nothing; repeated rows stay. calls: at most so many
-    run at once, which is the number of tasks; as answers are kept, a long task that is lost only reads them again."""
+    run at once, which is the number of tasks of a wave (see in_waves); as answers are kept, a long task that is lost only reads them again."""
     key = F.sha2(F.col(text).cast("binary"), 256)
     texts = df.where(F.col(text).isNotNull()).select(key.alias("_digest"), F.col(text).alias("_text")).dropDuplicates(["_digest"])
-    n = df.agg(F.approx_count_distinct(key).alias("n")).first().n  # only sets how full the batches are
+    # the number only sets how full the batches are, the bytes how many waves there are
+    n, total = df.agg(F.approx_count_distinct(key), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     batch = F.pmod(F.xxhash64("_digest"), F.lit(1 << (n * 2 // rows).bit_length()))
     texts = texts.withColumn("_batch", batch)
-    texts = (texts.repartition(calls, "_batch") if calls else texts.repartition("_batch")).sortWithinPartitions("_batch", "_digest")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, at = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
@@ -128,5 +158,10 @@ def with_ledger(df: DataFrame, scorer: Scorer, folder: str, text: str = "text",
                 fs.move(trial, path)  # a whole file or none
             yield pd.DataFrame({"_digest": part["_digest"].to_numpy(), "score": scores})
 
-    scores = texts.mapInPandas(run, "_digest string, score double")
+    def asked(x: DataFrame) -> DataFrame:
+        dealt = (x.repartition(calls, "_batch") if calls else x.repartition("_batch")).sortWithinPartitions("_batch", "_digest")
+        return dealt.mapInPandas(run, "_digest string, score double")
+
+    # a batch is in one wave
+    scores = in_waves(texts, "_text", calls, F.xxhash64("_batch"), bytes_each, asked, total) if calls else asked(texts)
     return df.withColumn("_digest", key).join(scores, "_digest", "left").drop("_digest")
