@@ -148,3 +148,14 @@ def test_similarity_join_recall(spark, block):
     near = [j for p in found for i, j in (p, p[::-1]) if i == 5]
     assert linked[5].links == 1 + len(near)
     assert similarity.similarity_join(df.where("vec_id < 0"), 0.85).count() == 0
+
+
+def test_linked_pairs_by_codes_are_the_similar_pairs(spark):
+    """Links need no whole vectors but close to the threshold, and copies of codes are of few bytes."""
+    x = planted(150, 24, np.random.default_rng(3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    codes = similarity.coded(df)
+    assert {len(r.code) for r in codes.collect()} == {48}
+    assert [f.name for f in similarity.in_buckets(codes, 1.0, 9, 8, range(3, 5), True).schema] == ["table", "key", "vec_id", "code"]
+    pairs = {(r.a, r.b) for r in similarity.similar_pairs(df, 0.85, bits=4).collect()}
+    assert pairs and pairs == {(r.a, r.b) for r in similarity.linked_pairs(df, 0.85, bits=4).collect()}
