@@ -128,6 +128,26 @@ def test_keyword_ranks_are_those_of_all_documents(spark, tmp_path):
     assert search.bm25_top(empty, spark.createDataFrame(queries, "query_id long, text string")).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that this session has shuffled until now."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_keyword_index_shuffles_little(spark, tmp_path):
+    """An index shuffles its texts once and its rows once; a query shuffles rows of its terms, not what they hold."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    asked = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id AS query_id", "text")
+    before = shuffled(spark)
+    index = search.write_index(docs, str(tmp_path))
+    built = shuffled(spark)
+    assert search.bm25_top(index, asked).count()
+    whole = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert built - before < 3 * whole and shuffled(spark) - built < whole
+
+
 def test_tokens_of_any_script(spark):
     texts = {"École, ÉLAN x1": ["école", "élan", "x1"], "你好，世界。abc漢1": ["你好", "世界", "abc", "漢", "1"], "カタカナ": ["カタ", "タカ", "カナ"], "한국어 мир": ["한국어", "мир"], "": [], "😀!": []}
     df = spark.createDataFrame([*((t,) for t in texts), (None,), ("漢" * 300_000,)], "text string")
