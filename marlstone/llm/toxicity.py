@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +18,7 @@ TOKEN = re.compile(r"\w+")
 GRAMS = (3, 4, 5)
 PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 GRAM_BITS = 22
-BLOCK = 10_000  # words whose n-grams are held at once
+BLOCK = 4_000  # words whose n-grams are held at once
 
 
 def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +57,7 @@ class Model:
     hidden: int = 8
     window: int = 64
     stride: int = 48
-    cached: int = 150_000
+    cached: int = 80_000
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
     _inputs: np.ndarray | None = field(default=None, repr=False)
 
@@ -155,7 +155,7 @@ class Model:
         g["W"], g["b"] = np.einsum("tbd,tbk->dk", x_in, dx), dx.sum(axis=(0, 1))
         return g, dx @ p["W"].T
 
-    def scores(self, texts: list[str], tokens_at_once: int = 120_000) -> np.ndarray:
+    def scores(self, texts: list[str], tokens_at_once: int = 60_000) -> np.ndarray:
         """The largest window's probability for each whole text."""
         out, group, size = np.zeros(len(texts)), [], 0
         for i, text in enumerate(texts):
@@ -190,8 +190,8 @@ class Model:
             base += len(tokens)
         starts, lengths, owner = np.array(starts), np.array(lengths), np.array(owner)
         logits = np.zeros(len(starts))
-        for at in range(0, len(starts), 2048):
-            part = slice(at, at + 2048)
+        for at in range(0, len(starts), 512):
+            part = slice(at, at + 512)
             n = max(1, int(lengths[part].max()))
             idx = flat[starts[part][None, :] + np.arange(n)[:, None]]
             idx[np.arange(n)[:, None] >= lengths[part]] = 0
@@ -199,18 +199,21 @@ class Model:
         np.maximum.at(out, owner, 1 / (1 + np.exp(-logits)))
 
 
-def train(texts: list[str], labels: list[int], steps: int = 240, batch: int = 48, rows: int = 4096, seed: int = 3) -> Model:
+def train(texts: Iterable[str], labels: list[int], steps: int = 240, batch: int = 48, rows: int = 4096, seed: int = 3) -> Model:
     """Embedding rows are the words and n-grams whose presence tells the labels apart (4 documents and 2.5 standard
     deviations at least); the first dimension starts as that statistic, all else at random, and all is learnt.
 
     A document's label is its likeliest window's: every so often all windows are scored, and each document trains
-    the window that is on top. Adam, cross entropy, a third of a batch with label 1."""
+    the window that is on top. Adam, cross entropy, a third of a batch with label 1.
+
+    Texts are read once, one by one, and only their words' numbers are kept; labels are looked at after that."""
     r = np.random.default_rng(seed)
-    y = np.array(labels, dtype=np.int64)
-    docs = [TOKEN.findall(t.lower()) for t in texts]
     vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d], dtype=np.int64) for d in docs]
+    number = lambda t: np.array([vocabulary.setdefault(w, len(vocabulary)) for w in TOKEN.findall(t.lower())], dtype=np.int32)
+    ids = [number(t) for t in texts]
+    y = np.array(labels, dtype=np.int64)
     names = list(vocabulary)
+    vocabulary.clear()
     grams, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for at in range(0, len(names), BLOCK):
         some = names[at : at + BLOCK]
@@ -234,6 +237,7 @@ def train(texts: list[str], labels: list[int], steps: int = 240, batch: int = 48
         return keep[order], np.clip(z[order] / 4, -1.5, 2).astype(np.float32)
 
     (w_keep, w_z), (g_keep, g_z) = chosen(word_df), chosen(gram_df)
+    del grams, edges, word_df, gram_df
     h, dw, dg, att = 8, 4, 6, 8
     small = lambda *shape, s=0.3: (r.standard_normal(shape) * s).astype(np.float32)
     e, g = small(len(w_keep) + 1, dw, s=0.05), small(len(g_keep) + 1, dg, s=0.05)
@@ -251,7 +255,7 @@ def train(texts: list[str], labels: list[int], steps: int = 240, batch: int = 48
     at = [(i, s) for i, d in enumerate(ids) for s in model.windows(len(d))]
     owner, start = np.array([i for i, _ in at]), np.array([s for _, s in at])
     lengths = np.array([min(model.window, len(ids[i]) - s) for i, s in at])
-    padded = [np.append(d, np.full(model.window, len(names))) for d in ids]
+    padded = [np.append(d, np.full(model.window, len(names), np.int32)) for d in ids]
     x_all, e_row, g_row = model.features([*names, ""])
 
     def of(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,15 +329,19 @@ def fit(spark: SparkSession, sf_dir: str, sample: int = 2500, longest: int = 1_0
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, marks, size = [], [], 0
-        for batch in batches:
-            for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                size += len(text)
-                if size <= sample_bytes:
-                    texts.append(text)
-                    marks.append(mark)
+        marks = []
+
+        def texts() -> Iterator[str]:
+            size = 0
+            for batch in common.slices(batches, 100):
+                for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    size += len(text)
+                    if size <= sample_bytes:
+                        marks.append(mark)
+                        yield text
+
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts(), marks))], pa.binary())], ["model"])
         common.trim()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, marks))], pa.binary())], ["model"])
 
     rows = one.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
     found = rows.mapInArrow(run, "model binary").first()

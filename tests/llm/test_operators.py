@@ -1,4 +1,5 @@
 """Each operator against brute force on a small table with nulls, empty and long texts, ties and repeated rows."""
+import tracemalloc
 
 import hashlib
 import random
@@ -198,6 +199,24 @@ def test_toxicity_scores(rows):
     assert np.allclose(model.scores(texts), [plain_score(model, t) for t in texts], atol=1e-4)
 
 
+def test_toxicity_training_keeps_numbers_of_words():
+    """A further text adds some bytes a word to what training holds, not the words themselves."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(r.choices(words, k=1000)) + " idiot" * (i % 2) for i in range(150)]
+
+    def most(n: int) -> int:
+        marks = [i % 2 for i in range(n)]
+        tracemalloc.start()
+        try:
+            toxicity.train(iter(texts[:n]), marks, steps=1)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert (most(150) - most(50)) / (100 * 1000) < 40
+
+
 def test_toxicity_gradients():
     model = toxicity.train(["bad words here"] * 6 + ["good words there"] * 6, [1] * 6 + [0] * 6, steps=2)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
