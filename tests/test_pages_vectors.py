@@ -159,3 +159,40 @@ def test_linked_pairs_by_codes_are_the_similar_pairs(spark):
     assert [f.name for f in similarity.in_buckets(codes, 1.0, 9, 8, range(3, 5), True).schema] == ["table", "key", "vec_id", "code"]
     pairs = {(r.a, r.b) for r in similarity.similar_pairs(df, 0.85, bits=4).collect()}
     assert pairs and pairs == {(r.a, r.b) for r in similarity.linked_pairs(df, 0.85, bits=4).collect()}
+
+
+def test_links_are_those_of_all_pairs(spark):
+    """Every link counts, also at the threshold itself, of copies and negative ids; what leaves a task doesn't grow with links."""
+    made = np.random.default_rng(4)
+    a = made.standard_normal((300, 16))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    across = made.standard_normal((300, 16))
+    across -= (across * a).sum(axis=1, keepdims=True) * a
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    cos = 0.9 + np.repeat([-1e-9, 1e-9, 3e-7], 100)[:, None]
+    group = np.ones(16) + 1e-3 * made.standard_normal((200, 16))  # all of them similar
+    x = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * across, group])
+    ids = [*range(-400, 400), *range(1000, 1040)]  # the last are copies
+    x = np.concatenate([x, x[:40]])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((unit @ unit.T >= 0.9).sum(axis=1) - 1).tolist()
+    df = spark.createDataFrame(list(zip(ids, x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    for block in (120_000, 350):
+        got = {r.vec_id: r.links for r in similarity.similarity_join(df, 0.9, block=block).collect()}
+        assert [got[i] for i in ids] == want
+    sizes = df.select(F.col("vec_id").alias("representative"), F.lit(1).alias("n"))
+    found = similarity.link_counts(similarity.unit_rows(df, sizes), 0.9, 350).collect()
+    assert sum(want) > 40_000 and sum(r.b is None for r in found) <= 3 * len(ids) and any(r.b is not None for r in found)
+
+
+def test_links_of_rows_with_one_id_and_great_weights():
+    """Rows of one name are no pair, wherever they are; weights beyond what four bytes add up exactly are added exactly."""
+    names = np.array([5, 7, 5, 5, 9] * 300)
+    n = np.where(names == 9, (1 << 24) + 1, 1)
+    rows = np.tile(np.array([[0.6, 0.8]], dtype=np.float32), (len(names), 1))
+    far: dict[int, int] = {}
+    for a, b, sums in similarity.counted((names, n, rows), None, 0.9, tile=64):
+        assert b is None
+        for k, v in zip(a.tolist(), sums.tolist()):
+            far[k] = far.get(k, 0) + v
+    assert far == {k: sum(int(w) for m, w in zip(names, n) if m != k) * int((names == k).sum()) for k in (5, 7, 9)}
