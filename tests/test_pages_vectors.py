@@ -196,3 +196,23 @@ def test_links_of_rows_with_one_id_and_great_weights():
         for k, v in zip(a.tolist(), sums.tolist()):
             far[k] = far.get(k, 0) + v
     assert far == {k: sum(int(w) for m, w in zip(names, n) if m != k) * int((names == k).sum()) for k in (5, 7, 9)}
+
+
+def test_vectors_on_counted_features_are_those_of_texts(spark):
+    """Texts are cut into tokens once, for the fit and for the vectors; null, empty, CJK and repeated texts too."""
+    made = random.Random(8)
+    texts = [" ".join(made.choice("abcdefgh") * 3 for _ in range(made.randrange(1, 600))) for _ in range(300)]
+    rows = [*enumerate(texts), (300, None), (301, ""), (302, "你好，世界。"), (302, "aaa " * 70_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = latent.counted(df, 256)
+    assert counts.columns == ["doc_id", "found", "times"] and counts.count() == len(rows)
+    space, on = latent.fitted(df, rank=8, width=256), latent.fitted_on(counts, rank=8, width=256)
+    assert np.array_equal(space.idf, on.idf) and np.allclose(space.values, on.values)
+    key = lambda r: (r.doc_id, r.embedding is None, r.embedding)
+    want, got = (sorted(x.select("doc_id", "embedding").collect(), key=key) for x in (latent.embedded(df, space), latent.embedded_on(counts, space)))
+    assert len(got) == len(rows) and sum(r.embedding is None for r in got) == 2
+    for a, b in zip(want, got):
+        assert a.doc_id == b.doc_id and (a.embedding is None) == (b.embedding is None)
+        assert a.embedding is None or np.allclose(a.embedding, b.embedding, atol=1e-12)
+    nothing = latent.counted(df.where("doc_id < 0"), 64)
+    assert latent.embedded_on(nothing, latent.fitted_on(nothing, rank=4, width=64)).count() == 0
