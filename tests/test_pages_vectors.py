@@ -216,3 +216,12 @@ def test_vectors_on_counted_features_are_those_of_texts(spark):
         assert a.embedding is None or np.allclose(a.embedding, b.embedding, atol=1e-12)
     nothing = latent.counted(df.where("doc_id < 0"), 64)
     assert latent.embedded_on(nothing, latent.fitted_on(nothing, rank=4, width=64)).count() == 0
+
+
+def test_passes_have_no_more_tasks_than_cores_ask_for(spark, monkeypatch):
+    seen = []
+    whole = latent.times_gram
+    monkeypatch.setattr(latent, "times_gram", lambda found, *rest: (seen.append(found.rdd.getNumPartitions()), whole(found, *rest))[1])
+    df = spark.createDataFrame([(i, f"some words of {i}") for i in range(60)], "doc_id long, text string").repartition(40)
+    latent.fitted_on(latent.counted(df, 64), rank=4, width=64, rounds=1)
+    assert len(seen) == 2 and max(seen) <= 2 * spark.sparkContext.defaultParallelism
